@@ -140,11 +140,7 @@ def resolve_ids(customers: DataFrame, requests: DataFrame) -> DataFrame:
 
 # ---- names -------------------------------------------------------------
 
-def _substrings(text: Column, length: Column) -> Column:
-    """All substrings of one length."""
-    last = F.length(text) - length + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substr(text, i, length))
+NAME_END = "\u0001"
 
 
 def find_containing(customers: DataFrame, needles: DataFrame) -> DataFrame:
@@ -152,17 +148,26 @@ def find_containing(customers: DataFrame, needles: DataFrame) -> DataFrame:
 
     ``needles`` has (tenant_id, needle), lower-case and not empty.  Accounts are cut
     into their substrings of the lengths that occur among the needles and meet the
-    needles in an equality join, so only true pairs come out of it.
+    needles in an equality join, so only true pairs come out of it.  Written needles
+    are broadcast while they are small, and the substrings are then not shuffled.
     """
-    needles = needles.select("tenant_id", "needle").filter("needle <> ''").distinct()
+    needles = settle(needles.select("tenant_id", "needle").filter("needle <> ''").distinct(), "needles")
     lengths = needles.select(F.collect_set(F.length("needle"))).scalar()
-    name, email = F.lower("customer_full_name"), F.lower("customer_email")
-    of_name = F.flatten(F.transform("_lengths", lambda n: _substrings(name, n)))
-    of_email = F.flatten(F.transform("_lengths", lambda n: _substrings(email, n)))
-    pieces = F.array_distinct(F.concat(F.coalesce(of_name, F.array()), F.coalesce(of_email, F.array())))
-    texts = customers.withColumn("_lengths", lengths)
-    texts = texts.select("tenant_id", "customer_id", "risk_score", name.alias("low_name"), F.explode(pieces).alias("needle"))
-    return texts.join(needles, ["tenant_id", "needle"])
+    low_name = F.lower("customer_full_name")
+    # every account grows into hundreds of pieces: spread the accounts over all cores first
+    spread = int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = customers.repartition(spread, "tenant_id", "customer_id").select(
+        "tenant_id", "customer_id", "risk_score", low_name.alias("low_name"),
+        F.concat_ws(NAME_END, low_name, F.lower("customer_email")).alias("text"),
+    )
+    starts = texts.select("*", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("start"), lengths.alias("lengths"))
+    pieces = starts.select("*", F.explode("lengths").alias("size")).drop("lengths")
+    pieces = pieces.filter(F.col("start") + F.col("size") <= F.length("text") + 1)
+    pieces = pieces.withColumn("needle", F.substr("text", F.col("start"), F.col("size")))
+    # a semi join can only broadcast its right side: the planner cannot see how much the pieces grew
+    found = pieces.join(needles, ["tenant_id", "needle"], "left_semi")
+    once = found.select("tenant_id", "needle", "customer_id", "risk_score", "low_name")
+    return once.dropDuplicates(["tenant_id", "needle", "customer_id"])
 
 
 def resolve_names(

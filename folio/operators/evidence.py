@@ -11,6 +11,7 @@ from folio.functions.columns import BLIND_DROP_FIELDS, GENERATOR_TAGS, LEAKY_FIE
 from folio.operators.activity import ACCOUNT, FEED_DATE, recent
 from folio.operators.ranking import top_per
 from folio.schemas import PRIMARY_KEY, RECORD_COLUMNS
+from folio.session import join_small, settle
 
 Tables = Mapping[str, DataFrame]
 
@@ -49,7 +50,8 @@ def evidence_bundle(
     feeds = dict(BUNDLE_FEEDS)
     sources = {f: tables[f] for f in (*feeds, "customer_review_logs")}
     if cases is not None:
-        wanted = cases.select(*ACCOUNT).distinct()
+        cases = settle(cases.select(*ACCOUNT, "review_id"), "cases")
+        wanted = settle(cases.select(*ACCOUNT).distinct(), "wanted")
         who = who.join(wanted, ACCOUNT, "left_semi")
         sources = {f: df.join(wanted, ACCOUNT, "left_semi") for f, df in sources.items()}
 
@@ -63,7 +65,9 @@ def evidence_bundle(
     bundle = bundle.join(prior, ACCOUNT, "left")
     reviews = F.coalesce("_reviews", F.array().cast(prior.schema["_reviews"].dataType))
     if cases is not None:
-        bundle = bundle.join(cases.select(*ACCOUNT, "review_id"), ACCOUNT)
+        # written: cases of a busy account are then split by AQE
+        bundle = join_small(cases, bundle.withColumn("_reviews", reviews), ACCOUNT, "inner")
+        reviews = F.col("_reviews")
         reviews = F.filter(reviews, lambda r: ~r["review_id"].eqNullSafe(F.col("review_id")))
     prior_reviews = F.transform(reviews, lambda r: F.struct(*[r[f].alias(f) for f in REVIEW_FIELDS]))
     extra = ["review_id"] if cases is not None else []
@@ -78,9 +82,9 @@ def valid_record_ids(bundle: DataFrame) -> Column:
 
 def record_ids(tables: Tables, accounts: DataFrame, per_feed: int = PER_FEED) -> DataFrame:
     """Only the citable ids per account, without building the bundles."""
-    out = accounts.select(*ACCOUNT).distinct()
+    out = wanted = settle(accounts.select(*ACCOUNT).distinct(), "wanted")
     for feed, field in BUNDLE_FEEDS.items():
-        df = tables[feed].join(accounts.select(*ACCOUNT).distinct(), ACCOUNT, "left_semi")
+        df = tables[feed].join(wanted, ACCOUNT, "left_semi")
         columns = {*ACCOUNT, PRIMARY_KEY[feed], FEED_DATE[feed], *(["message_sequence"] if feed == "customer_email_logs" else [])}
         ids = recent(df.select(*columns), feed, per_feed).groupBy(*ACCOUNT).agg(F.collect_set(PRIMARY_KEY[feed]).alias(field))
         out = out.join(ids, ACCOUNT, "left")
@@ -192,8 +196,8 @@ def label_cases(tables: Tables, n: int = 80, seed: int = 7) -> DataFrame:
     leaves a gap.  A case that still leaks fails the query.
     """
     sample = stratified_sample(one_case_per_customer(tables["customer_review_logs"]), n, seed)
-    chosen = sample.select(*ACCOUNT, "review_id", "position", F.col("reviewed_at").alias("review_date"))
-    blind = blind_bundle(evidence_bundle(tables, chosen))
+    chosen = settle(sample.select(*ACCOUNT, "review_id", "position", F.col("reviewed_at").alias("review_date")), "chosen")
+    blind = settle(blind_bundle(evidence_bundle(tables, chosen)), "blind")
     found = leaks(blind, BLIND_FIELDS)
     message = F.concat(F.lit("case for review "), "review_id", F.lit(" still reveals: "), F.array_join(found, ", "))
     checked = F.when(F.size(found) > 0, F.raise_error(message)).otherwise(F.struct(*BLIND_FIELDS))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folio.functions.columns import blank, content_key
 from folio.operators.activity import ACCOUNT
 from folio.operators.ranking import top_per
+from folio.session import join_small, settle
 
 ACTION = ["tenant_id", "action_id"]
 
@@ -63,12 +64,17 @@ def effective_events(events: DataFrame) -> DataFrame:
     do nothing.  The payload can be edited until the first decision.  Decisions may
     be repeated, and sends are recorded whatever the status.
     """
-    proposed = events.filter("event_type = 'propose'").groupBy(*ACTION).agg(F.min(_at()).alias("_proposed"))
-    alive = events.join(proposed, ACTION).withColumn("_at", _at())
-    alive = alive.filter((F.col("_at") > F.col("_proposed")) & (F.col("event_type") != "propose") | (F.col("_at") == F.col("_proposed")))
-    decided = alive.filter("event_type = 'decide'").groupBy(*ACTION).agg(F.min("_at").alias("_decided"))
-    late = (F.col("event_type") == "edit") & (F.col("_at") > F.col("_decided"))
-    return alive.join(decided, ACTION, "left").filter(~F.coalesce(late, F.lit(False))).drop("_at", "_proposed", "_decided")
+    kind = F.col("event_type")
+    proposed = events.filter(kind == "propose").groupBy(*ACTION).agg(F.min(_at()).alias("_proposed"))
+    # one row per action, written before it meets the events: a busy action is then split by AQE
+    proposed = settle(proposed, "proposed")
+    choices = events.filter(kind == "decide").select(*ACTION, _at().alias("_at")).join(proposed, ACTION)
+    decided = choices.filter("_at > _proposed").groupBy(*ACTION).agg(F.min("_at").alias("_decided"))
+    alive = join_small(events, proposed.join(decided, ACTION, "left"), ACTION, "inner").withColumn("_at", _at())
+    after = F.col("_at") > F.col("_proposed")
+    open_edit = (kind == "edit") & after & F.coalesce(F.col("_at") < F.col("_decided"), F.lit(True))
+    kept = (F.col("_at") == F.col("_proposed")) | open_edit | (kind.isin("decide", "send") & after)
+    return alive.filter(kept).drop("_at", "_proposed", "_decided")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -122,6 +128,9 @@ def decisions(events: DataFrame) -> DataFrame:
 def decided_actions(state: DataFrame, trail: DataFrame, n: int = 20, latest_only: bool = False) -> DataFrame:
     """Decided actions with their decisions, newest first; one row per decision unless ``latest_only``."""
     d = trail.select("tenant_id", F.col("related_action_id").alias("action_id"), "decision_id", "decision_notes", F.col("decided_at").alias("_when"))
+    if not latest_only:
+        # the shown list never holds more than ``n`` decisions of one action
+        d = top_per(d, ACTION, [F.col("decision_id").asc_nulls_last()], n, "_n").drop("_n")
     if latest_only:
         row = F.struct("_when", "decision_id", "decision_notes")
         d = d.groupBy(*ACTION).agg(F.max(row).alias("r")).select(*ACTION, "r.*")

@@ -12,6 +12,7 @@ from folio.functions.columns import EMAIL_PATTERN, PHONE_PATTERN, blank, seeded_
 from folio.operators.activity import ACCOUNT, activity_counts
 from folio.operators.ranking import top_per
 from folio.schemas import DATE_COLUMNS, PRIMARY_KEY
+from folio.session import settle
 
 Tables = Mapping[str, DataFrame]
 
@@ -124,12 +125,10 @@ def audit_columns(tables: Tables) -> DataFrame:
     """Every column of every table in file order, with the rows that have a value in it."""
     parts = []
     for name, df in tables.items():
-        filled = df.agg(*[F.count(c).alias(c) for c in df.columns])
-        entries = [
-            F.struct(F.lit(name).alias("table_name"), F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(c).alias("filled_rows"))
-            for i, c in enumerate(df.columns, start=1)
-        ]
-        parts.append(filled.select(F.explode(F.array(*entries)).alias("r")).select("r.*"))
+        filled = df.selectExpr(*[f"count(`{c}`) as `{c}`" for c in df.columns])
+        entries = ", ".join(f"{i}, '{c}', `{c}`" for i, c in enumerate(df.columns, start=1))
+        stacked = f"stack({len(df.columns)}, {entries}) as (position, column_name, filled_rows)"
+        parts.append(filled.selectExpr(f"'{name}' as table_name", stacked))
     return _stack(parts)
 
 
@@ -155,7 +154,7 @@ SAMPLE_FEEDS = ("orders", "support_tickets", "customer_notes", "customer_email_l
 def audit_sample(customers: DataFrame, feeds: Tables, seed: int = 42, n: int = 3) -> DataFrame:
     """A seeded sample of accounts per tenant with the size of their feeds."""
     drawn = top_per(customers, ["tenant_id"], [seeded_order(seed, F.col("customer_id")).asc(), F.col("customer_id").asc()], n)
-    drawn = drawn.select(*ACCOUNT, "customer_full_name", "customer_segment", "total_sales", "late_delivery_rate")
+    drawn = settle(drawn.select(*ACCOUNT, "customer_full_name", "customer_segment", "total_sales", "late_delivery_rate"), "drawn")
     chosen = drawn.select(*ACCOUNT)
     sizes = activity_counts(chosen, {f: feeds[f].join(chosen, ACCOUNT, "left_semi") for f in SAMPLE_FEEDS})
     return drawn.join(sizes, ACCOUNT)

@@ -26,7 +26,8 @@ NOTE_RANGE = (1, 12)
 EMAIL_RANGE = (2, 20)
 BROKEN_TICKET_COLUMNS = ("first_response_time", "time_to_resolution")
 
-INLINE_REFS = 1000
+# with one more to notice the overflow, tasks may still cut a group to this many before the shuffle
+INLINE_REFS = 999
 LINEAGE = ["tenant_id", "customer_id", "scenario", "topic"]
 
 
@@ -105,10 +106,10 @@ def backfill_lineage(emails: DataFrame, notes: DataFrame, overwrite: bool = Fals
     """
     refs = lineage_refs(notes)
     sizes = refs.groupBy(*LINEAGE).agg(F.count("*").alias("ref_count"))
-    # one more than fits tells a full cell from an overflowing one; tasks cut before the shuffle
     first = top_per(refs, LINEAGE, [F.col("ref").asc()], inline + 1, "_n")
     packed = first.groupBy(*LINEAGE).agg(F.array_sort(F.collect_list("ref")).alias("_refs"))
-    joined = emails.join(sizes, LINEAGE, "left").join(packed, LINEAGE, "left")
+    # one row per group, written: emails of a busy group are then split by AQE
+    joined = join_small(emails, sizes.join(packed, LINEAGE, "left"), LINEAGE)
     text = F.when(F.col("ref_count") <= inline, F.array_join("_refs", ";"))
     filled = F.when(F.col("ref_count").isNull(), F.lit("")).otherwise(text)
     if not overwrite:
@@ -194,7 +195,8 @@ def spread_tickets(customers: DataFrame, tickets: DataFrame, seed: int = 42) ->
     )
     urgent = [priority_rank(F.col("ticket_priority")).asc(), F.col("ticket_id").asc()]
     numbered = number_rows(tickets, ["tenant_id"], urgent, "slot")
-    handed = numbered.join(slots, ["tenant_id", "slot"])
+    # both sides have a row per ticket; the planner would take the unexploded slots for a small side
+    handed = numbered.join(slots.hint("merge"), ["tenant_id", "slot"])
     return handed.withColumns({
         "customer_id": F.col("new_id"), "customer_full_name": F.col("new_name"), "source_customer_id": F.col("new_source"),
     }).select(*tickets.columns)

@@ -7,6 +7,8 @@ load needs no extra pass over the files.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -220,6 +222,7 @@ RECORD_COLUMNS: dict[str, tuple[str, ...]] = {
 SPINE_TABLES: tuple[str, ...] = tuple(SPINE_DDL)
 
 
+@cache
 def declared(table: str) -> StructType:
     """The declared columns of a table, without ``tenant_id``."""
     return StructType.fromDDL(SPINE_DDL.get(table) or RUNTIME_DDL[table])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  forceOptimizeSkewedJoin lets AQE split a hot join
 # key even when that costs one more exchange before the following aggregate.
@@ -17,9 +17,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-# A side is broadcast only when its rows were counted and there are at most this many.
-SMALL_SIDE_ROWS = 50_000
-
 _own_folder: dict[str, str] = {}
 
 
@@ -37,6 +34,8 @@ def local_session(cores: str = "*", name: str = "folio", partitions: int = 8, **
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # recording the call site of every column expression doubles the time to build a plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -74,10 +73,12 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(
-    df: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = SMALL_SIDE_ROWS
-) -> DataFrame:
-    """Join a side expected to be small: settled and counted first, broadcast only within the bound."""
-    kept = settle(small, "small")
-    side = F.broadcast(kept) if kept.count() <= max_rows else kept
-    return df.join(side, on, how)
+def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a side expected to be small, without a hint.
+
+    The side is written first, so the planner knows its real size: up to
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and ``df`` is not shuffled;
+    beyond that both sides are shuffled, and since both shuffles feed the join
+    directly, AQE can split a hot key.  (It cannot where one side is an aggregate.)
+    """
+    return df.join(settle(small, "small"), on, how)

@@ -13,8 +13,9 @@ import threading
 from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from folio.schemas import RUNTIME_DDL, SPINE_TABLES, conform
+from folio.schemas import RUNTIME_DDL, SPINE_TABLES, conform, declared
 from folio.session import shared_folder, tune
 from folio.sources.spine import write_table
 
@@ -381,6 +382,7 @@ class Book(Mapping):
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self.root = f"{shared_folder(spark)}/folio/{spark.sparkContext.applicationId}/book-{_stamp(spark, folder)}"
+        self.opened: dict[str, DataFrame] = {}
 
     def path(self, table: str) -> str:
         path = f"{self.root}/{table}"
@@ -393,7 +395,10 @@ class Book(Mapping):
     def __getitem__(self, table: str) -> DataFrame:
         if table not in self:
             raise KeyError(table)
-        return self.spark.read.parquet(self.path(table))
+        if table not in self.opened:
+            schema = StructType([StructField("tenant_id", StringType()), *declared(table)])
+            self.opened[table] = self.spark.read.schema(schema).parquet(self.path(table))
+        return self.opened[table]
 
     def __iter__(self) -> Iterator[str]:
         return iter((*SPINE_TABLES, *RUNTIME_DDL))
