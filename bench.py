@@ -59,9 +59,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores, "bench", partitions=int(cores) if cores.isdigit() else 8)
     start = time.perf_counter()
-    tables = book(spark, folder)
-    for name in tables:
-        tables.path(name)
+    book(spark, folder).store()
     load = round(time.perf_counter() - start, 3)
     catalogue = all_queries()
 

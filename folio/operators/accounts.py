@@ -141,30 +141,41 @@ def resolve_ids(customers: DataFrame, requests: DataFrame) -> DataFrame:
 # ---- names -------------------------------------------------------------
 
 NAME_END = "\u0001"
+GRAM = 3
 
 
 def find_containing(customers: DataFrame, needles: DataFrame) -> DataFrame:
     """Pairs of a needle and an account whose name or email contains it.
 
-    ``needles`` has (tenant_id, needle), lower-case and not empty.  Accounts are cut
-    into their substrings of the lengths that occur among the needles and meet the
-    needles in an equality join, so only true pairs come out of it.  Written needles
-    are broadcast while they are small, and the substrings are then not shuffled.
+    ``needles`` has (tenant_id, needle), lower-case and not empty.  A place in an
+    account's text is kept if the first three characters there begin some needle
+    (shorter needles count whole); the substrings at the kept places, of the lengths
+    that occur among the needles, then meet the needles by equality.  Only true pairs
+    come out, and no account is compared with every needle.
+
+    Both steps are semi joins with written needles: these are broadcast while they are
+    small, and the growing side never is, whatever size the planner expects of it.
     """
     needles = settle(needles.select("tenant_id", "needle").filter("needle <> ''").distinct(), "needles")
-    lengths = needles.select(F.collect_set(F.length("needle"))).scalar()
+    head = F.substring("needle", 1, GRAM)
+    heads = needles.select("tenant_id", head.alias("head")).distinct()
+    head_sizes = needles.select(F.collect_set(F.length(head))).scalar()
+    sizes = needles.select(F.collect_set(F.length("needle"))).scalar()
+
     low_name = F.lower("customer_full_name")
-    # every account grows into hundreds of pieces: spread the accounts over all cores first
+    # every account grows into many pieces: spread the accounts over all cores first
     spread = int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = customers.repartition(spread, "tenant_id", "customer_id").select(
         "tenant_id", "customer_id", "risk_score", low_name.alias("low_name"),
         F.concat_ws(NAME_END, low_name, F.lower("customer_email")).alias("text"),
     )
-    starts = texts.select("*", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("start"), lengths.alias("lengths"))
-    pieces = starts.select("*", F.explode("lengths").alias("size")).drop("lengths")
+    starts = texts.select("*", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("start"), head_sizes.alias("sizes"))
+    starts = starts.select("*", F.explode("sizes").alias("size")).drop("sizes")
+    starts = starts.withColumn("head", F.substr("text", F.col("start"), F.col("size"))).drop("size")
+    places = starts.join(heads, ["tenant_id", "head"], "left_semi").drop("head")
+    pieces = places.select("*", sizes.alias("sizes")).select("*", F.explode("sizes").alias("size")).drop("sizes")
     pieces = pieces.filter(F.col("start") + F.col("size") <= F.length("text") + 1)
     pieces = pieces.withColumn("needle", F.substr("text", F.col("start"), F.col("size")))
-    # a semi join can only broadcast its right side: the planner cannot see how much the pieces grew
     found = pieces.join(needles, ["tenant_id", "needle"], "left_semi")
     once = found.select("tenant_id", "needle", "customer_id", "risk_score", "low_name")
     return once.dropDuplicates(["tenant_id", "needle", "customer_id"])

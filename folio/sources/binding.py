@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -78,8 +80,8 @@ class Binding:
         has_line = F.col("l_orderkey").isNotNull()
         joined = o.join(line, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         per_order = joined.groupBy(*o.columns).agg(
-            F.sum(F.round(kept, 4).cast(money)).cast("double").alias("order_total"),
-            F.sum(F.round(gain, 4).cast(money)).cast("double").alias("order_profit"),
+            F.sum(kept.cast(money)).cast("double").alias("order_total"),
+            F.sum(gain.cast(money)).cast("double").alias("order_profit"),
             F.max(F.col("l_shipdate").cast("date")).alias("shipping_date"),
             F.count_if(has_line).alias("lines"),
             F.count_if(F.col("l_shipdate") > F.col("o_orderdate")).alias("late_lines"),
@@ -357,7 +359,7 @@ def bind(spark: SparkSession, folder: str, table: str, book: Mapping[str, DataFr
     return conform(getattr(views, table)(), table)
 
 
-_storing = threading.RLock()
+_storing: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
 SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations")
 
 
@@ -387,11 +389,17 @@ class Book(Mapping):
     def path(self, table: str) -> str:
         path = f"{self.root}/{table}"
         fs, done = _filesystem(self.spark, f"{path}/_SUCCESS")
-        with _storing:
+        with _storing[path]:
             if not fs.exists(done):
                 write_table(bind(self.spark, self.folder, table, self), path, table)
         return path
 
+    def store(self, at_once: int = 4) -> None:
+        """Write every table that is not stored yet, a few jobs at a time."""
+        with ThreadPoolExecutor(at_once) as pool:
+            list(pool.map(self.path, ("orders", "support_tickets")))
+            list(pool.map(self.path, self))
+
     def __getitem__(self, table: str) -> DataFrame:
         if table not in self:
             raise KeyError(table)
