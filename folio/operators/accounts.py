@@ -185,8 +185,7 @@ def resolve_names(
     customers: DataFrame,
     requests: DataFrame,
     search_limit: int = 5,
-    suggestion_limit: int = 8,
-    suggestions_shown: int = 5,
+    suggestion_limit: int = 5,
     pick: bool = True,
 ) -> DataFrame:
     """Typed names to accounts, for a batch of (tenant_id, request).
@@ -202,50 +201,37 @@ def resolve_names(
     words = F.filter(F.split("needle", r"\s+"), lambda w: w != "")
     asked = asked.withColumn("last_word", F.when(F.size(words) >= 2, F.element_at(words, -1)))
 
-    tails = asked.select("tenant_id", F.col("last_word").alias("needle")).filter("needle is not null")
-    needles = asked.select("tenant_id", "needle").unionByName(tails)
     per_needle = ["tenant_id", "needle"]
-    near = top_per(find_containing(customers, needles), per_needle, by_risk(), max(6, search_limit, suggestion_limit))
-    # a handful of rows per needle, read by four branches below
-    near = settle(near.select(*per_needle, "customer_id", (F.col("low_name") == F.col("needle")).alias("same_name"), "rank"), "near")
+    tails = asked.select("tenant_id", F.col("last_word").alias("needle")).filter("needle is not null")
+    needles = settle(asked.select(*per_needle).unionByName(tails).distinct(), "asked")
 
+    same_name = (F.col("low_name") == F.col("needle")).alias("same_name")
+    near = top_per(find_containing(customers, needles), per_needle, by_risk(), max(6, search_limit, suggestion_limit))
+    near = near.groupBy(*per_needle).agg(F.array_sort(F.collect_list(F.struct("rank", "customer_id", same_name))).alias("near"))
+    # the riskiest account of a name, unknown risk last, combined before the shuffle
+    order = F.struct(F.col("risk_score").isNull(), -F.col("risk_score"), "customer_id")
     named = customers.select("tenant_id", "customer_id", "risk_score", F.lower("customer_full_name").alias("needle"))
-    exact = top_per(named.join(asked.select(*per_needle).distinct(), per_needle), per_needle, by_risk(), 1)
-    exact = settle(exact.select(*per_needle, F.col("customer_id").alias("exact_id")), "exact")
-
-    several = near.filter(F.col("rank") == 2).select(*per_needle, F.lit(True).alias("several"))
-    rows = (
-        asked.join(exact, per_needle, "left").join(near, per_needle, "left").join(several, per_needle, "left")
+    exact = named.join(needles, per_needle, "left_semi").groupBy(*per_needle).agg(F.min_by("customer_id", order).alias("exact_id"))
+    # one row per needle, read for the whole request and for its last word
+    known = settle(near.join(exact, per_needle, "left"), "known")
+
+    tail = known.select("tenant_id", F.col("needle").alias("last_word"), F.col("near").alias("tail"))
+    rows = asked.join(known, per_needle, "left").join(tail, ["tenant_id", "last_word"], "left")
+    is_exact, some = F.col("exact_id").isNotNull(), F.coalesce(F.size("near"), F.lit(0))
+    namesakes = F.filter("near", lambda n: n["same_name"] & (n["rank"] <= 6) & (n["customer_id"] != F.col("exact_id")))
+    outcome = (
+        F.when(is_exact, "exact").when(some == 1, "match").when(some > 1, "ambiguous" if pick else "choose")
+        .when(F.size("tail") > 0, "suggestion").otherwise("not_found")
     )
-    no_exact = F.col("exact_id").isNull()
-
-    def answer(df: DataFrame, outcome: Column, place: Column, account: str) -> DataFrame:
-        return df.select("tenant_id", "request", outcome.alias("outcome"), place.alias("place"), F.col(account).alias("customer_id"))
-
-    first = answer(asked.join(exact, per_needle), F.lit("exact"), F.lit(0), "exact_id")
-    namesakes = rows.filter("exact_id is not null and same_name and rank <= 6 and customer_id <> exact_id")
-    others = answer(namesakes, F.lit("exact"), F.col("rank"), "customer_id")
-    close = rows.filter(no_exact & (F.col("rank") <= search_limit))
-    fuzzy = answer(
-        close, F.when(F.col("several"), "ambiguous" if pick else "choose").otherwise("match"), F.col("rank"), "customer_id"
-    )
-    unmatched = rows.filter(no_exact & F.col("customer_id").isNull()).select("tenant_id", "request", "last_word")
-    tail_hits = near.filter(F.col("rank") <= min(suggestion_limit, suggestions_shown)).select(
-        "tenant_id", F.col("needle").alias("last_word"), "customer_id", F.col("rank").alias("place")
-    )
-    suggested = unmatched.join(tail_hits, ["tenant_id", "last_word"])
-    nothing = unmatched.join(tail_hits, ["tenant_id", "last_word"], "left_anti")
-
-    found = first.unionByName(others).unionByName(fuzzy).unionByName(
-        answer(suggested, F.lit("suggestion"), F.col("place"), "customer_id")
+    ids = (
+        F.when(is_exact, F.concat(F.array("exact_id"), namesakes["customer_id"]))
+        .when(some > 0, F.slice(F.col("near")["customer_id"], 1, search_limit))
+        .otherwise(F.slice(F.col("tail")["customer_id"], 1, suggestion_limit))
     )
-    # a handful of rows per request: places become ranks without gaps
-    ranked = top_per(found, ["tenant_id", "request"], [F.col("place").asc()], 1 + max(6, search_limit, suggestions_shown))
+    answers = rows.select("tenant_id", "request", outcome.alias("outcome"), F.posexplode_outer(ids).alias("pos", "customer_id"))
     shown = customers.select("tenant_id", "customer_id", "customer_full_name", "risk_band", "customer_country")
-    matched = ranked.drop("place").join(shown, ["tenant_id", "customer_id"])
-    missing = nothing.select("tenant_id", "request", F.lit("not_found").alias("outcome"))
-    return matched.unionByName(missing, allowMissingColumns=True).select(
-        "tenant_id", "request", "outcome", "rank", "customer_id", "customer_full_name", "risk_band", "customer_country"
+    return answers.join(shown, ["tenant_id", "customer_id"], "left").select(
+        "tenant_id", "request", "outcome", (F.col("pos") + 1).alias("rank"), "customer_id", "customer_full_name", "risk_band", "customer_country"
     )
 
 
