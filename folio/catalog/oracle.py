@@ -293,7 +293,7 @@ select tenant_id, customer_id, customer_full_name "name", customer_email email,
         "recent_engagement": recent("engagement_id, event_date, engagement_score", "s_engage", "event_date desc nulls last, engagement_id", 20),
         "recent_fulfillment": recent("fulfillment_event_id, event_date, severity", "s_fulfil", "event_date desc nulls last, fulfillment_event_id", 20),
         "email_thread": "select tenant_id, thread_id, message_sequence, email_id, body from s_emails order by 1,2,3,4",
-        "recent_history": top("created_at desc, message_id desc", limit="5", columns="session_id, message_id, role, content", source="s_messages", by="session_id"),
+        "recent_history": top("created_at desc, message_id desc", limit="20", columns="session_id, message_id, role, content", source="s_messages", by="session_id"),
         "session_messages": "select tenant_id, session_id, message_id, role, content, created_at from s_messages join s_sessions using (session_id)",
         "session_activity": "select tenant_id, session_id, least(min(created_at),any_value(started_at)) first_seen, greatest(max(created_at),any_value(started_at)) last_active, count(message_id) messages from s_sessions left join s_messages using (session_id) group by all",
         "late_counts": counts_for_all("late_orders", "s_orders", "late_delivery_risk=1"),
@@ -431,7 +431,7 @@ from (select distinct actual_decision c from s_scored union select predicted_dec
         "parse_predictions": """
 select tenant_id, review_id, parse_error, case when parse_error then '' else predicted_decision end predicted_decision, case when parse_error then '' else predicted_band end predicted_band,
   case when parse_error then '' else trim(rationale) end rationale, case when parse_error then '' else array_to_string(cited,';') end cited,
-  case when parse_error then least(500,length(trim(reply[1:length(reply)//2]))) end raw_kept
+  case when parse_error then least(500,length(reply)-1) end raw_kept
 from (select *, json_object('predicted_decision',predicted_decision,'predicted_band',predicted_band,'rationale',rationale,'cited_record_ids',cited)::varchar reply from s_predictions) x""",
         "label_agreement": "select cast(coalesce(sum(n) filter (a=b),0) as bigint) hits, cast(coalesce(sum(n),0) as bigint) shared from s_pairs",
         "cohen_kappa": f"{KAPPA} from (select {AGREE} from s_pairs) x",
@@ -463,8 +463,9 @@ select tenant_id, action_id, customer_id, send_to, subject, reason is null senda
   from (select *, coalesce(trim(case when json_valid(payload_json) then payload_json->>'$.to' end),'') send_to, coalesce(trim(case when json_valid(payload_json) then payload_json->>'$.subject' end),'') subject
     from s_state where action_type='send_email' and status='approved') x) y""",
         "dedupe_requests": """
-select content, asked from (select array_to_string(string_split(content,' ')[1:2],' ') content, count(*) asked from s_messages where role='user' group by all) u
-where not exists (from s_messages m where m.role='assistant' and array_to_string(string_split(m.content,' ')[1:2],' ')=u.content)""",
+select * from (select customer_id, scenario, topic, sentiment_hint, count(*) asked from s_emails where direction='user' group by all) u
+where not exists (from s_emails m where m.direction='assistant' and m.customer_id=u.customer_id and m.scenario=u.scenario and m.topic=u.topic
+  and m.sentiment_hint is not distinct from u.sentiment_hint)""",
         "batch_sentiment": "select tenant_id, customer_id, on_day \"day\", count(*) filter (bucket='positive') positive, count(*) filter (bucket='neutral') neutral, count(*) filter (bucket='negative') negative, count(*) total from s_signals group by all",
     }
     sql["top_decile_revenue_bracketed"] = sql["top_decile_revenue"]

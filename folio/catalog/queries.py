@@ -250,7 +250,7 @@ def email_thread(b: Book) -> DataFrame:
 
 @query
 def recent_history(b: Book) -> DataFrame:
-    out = activity.recent_history(b["messages"], 5)
+    out = activity.recent_history(b["messages"], 20)
     return out.select("session_id", "message_id", "role", "content", "rank")
 
 
@@ -643,10 +643,10 @@ def agreement_by_class(b: Book) -> DataFrame:
 
 @query
 def parse_predictions(b: Book) -> DataFrame:
-    """Replies rebuilt as JSON text, one in four cut off in the middle."""
+    """Replies rebuilt as JSON text, one in four without its closing brace."""
     p = b["predictions"]
     text = F.to_json(F.struct("predicted_decision", "predicted_band", "rationale", "cited_record_ids"))
-    raw = F.when(F.col("parse_error"), F.substr(text, F.lit(1), (F.length(text) / 2).cast("int"))).otherwise(text)
+    raw = F.when(F.col("parse_error"), F.regexp_replace(text, r"\}$", "")).otherwise(text)
     out = scoring.parse_predictions(p.select("tenant_id", "review_id", raw.alias("raw")))
     return out.select(
         "tenant_id", "review_id", "parse_error", "predicted_decision", "predicted_band", "rationale",
@@ -774,12 +774,12 @@ def sendable_emails(b: Book) -> DataFrame:
 
 @query
 def dedupe_requests(b: Book) -> DataFrame:
-    """Messages people sent, once per content, minus those already answered to an assistant's own words."""
-    m = b["messages"].withColumn("content", F.substring_index("content", " ", 2))
-    asked = m.filter("role = 'user'").select("role", "content")
-    done = m.filter("role = 'assistant'").select(F.lit("user").alias("role"), "content")
-    answered = done.select(fx.content_key("role", "content").alias("content_key"))
-    return ledger.dedupe_requests(asked, answered, ["role", "content"]).select("content", "asked")
+    """What customers wrote about, once per content, minus what an assistant already took up."""
+    fields = ["customer_id", "scenario", "topic", "sentiment_hint"]
+    emails = b["customer_email_logs"]
+    asked = emails.filter("direction = 'user'").select(*fields)
+    answered = emails.filter("direction = 'assistant'").select(fx.content_key(*fields).alias("content_key"))
+    return ledger.dedupe_requests(asked, answered, fields).select(*fields, "asked")
 
 
 # ---- streams -------------------------------------------------------------------------------------------

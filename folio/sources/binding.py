@@ -360,7 +360,7 @@ def bind(spark: SparkSession, folder: str, table: str, book: Mapping[str, DataFr
 
 
 _storing: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
-SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations")
+_books: dict[tuple[SparkSession, str], Book] = {}
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -370,11 +370,11 @@ def _filesystem(spark: SparkSession, path: str):
 
 def _stamp(spark: SparkSession, folder: str) -> str:
     """Name, length and time of every source file: a changed input is a different book."""
+    fs, path = _filesystem(spark, folder)
     seen = [folder]
-    for name in SOURCES:
-        fs, path = _filesystem(spark, f"{folder}/{name}.parquet")
-        if fs.exists(path):
-            seen += [f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(path)]
+    for entry in fs.listStatus(path):
+        files = fs.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        seen += [f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files]
     return hashlib.sha256("|".join(seen).encode()).hexdigest()[:16]
 
 
@@ -422,4 +422,6 @@ class Book(Mapping):
 
 
 def book(spark: SparkSession, folder: str) -> Book:
-    return Book(tune(spark), folder)
+    """The book of a folder; the same one as long as its files and the session are the same."""
+    fresh = Book(tune(spark), folder)
+    return _books.setdefault((spark, fresh.root), fresh)
