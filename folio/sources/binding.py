@@ -311,7 +311,7 @@ class Binding:
         started = F.expr("cast(timestampadd(day, cast(conv_id%30 as int), timestamp_ntz '2024-01-01 00:00:00') as timestamp_ntz)")
         return c.select(
             "tenant_id", tag("S", "conv_id").alias("session_id"), tag("U", "conv_id").alias("user_id"),
-            pick("dashboard,telegram", "conv_id").alias("surface"), started.alias("started_at"), started.alias("last_active_at"),
+            pick("dashboard,bot", "conv_id").alias("surface"), started.alias("started_at"), started.alias("last_active_at"),
         )
 
     def messages(self) -> DataFrame:

@@ -71,3 +71,38 @@ def test_busy_actions_meet_their_cutoffs_in_a_splittable_join(spark, data_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # both inputs of the join are plain shuffles, not aggregates: AQE can split them
     assert "SortMergeJoin" in plan and "HashAggregate" not in plan
+
+
+SMALL_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+}
+
+
+def test_a_third_of_the_events_on_one_action_is_split(spark):
+    kind = F.when(F.col("id") % 50 == 7, "propose").when(F.col("id") % 50 == 9, "decide").when(F.col("id") % 5 == 1, "send").otherwise("edit")
+    none = F.lit(None).cast("string")
+    events = spark.range(200_000, numPartitions=6).select(
+        F.lit("t").alias("tenant_id"), F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("A"), (F.col("id") % 5000).cast("string"))).alias("action_id"),
+        F.lit("C").alias("customer_id"), F.expr("timestampadd(second, cast(id as int), timestamp_ntz '2024-01-01 00:00:00')").alias("event_ts"),
+        F.col("id").alias("event_seq"), kind.alias("event_type"), F.lit("add_note").alias("action_type"), F.col("id").cast("string").alias("payload_json"),
+        F.lit("approved").alias("status"), F.lit("u").alias("actor"), none.alias("notes"), none.alias("rationale"), F.lit(0.5).alias("confidence"), none.alias("error"))
+    for key, value in SMALL_SKEW.items():
+        spark.conf.set(key, value)
+    try:
+        df = ledger.action_state(events)
+        rows = {r.action_id: r for r in df.collect()}
+        plan = plan_of(df).split("== Initial Plan")[0]
+    finally:
+        for key in SMALL_SKEW:
+            spark.conf.unset(key)
+    assert "SortMergeJoin(skew=true)" in plan
+    # proposed by event 57, decided by event 9 of a later round: the last edit in between stays
+    hot = [i for i in range(200_000) if i % 3 == 0]
+    first = min(i for i in hot if i % 50 == 7)
+    decided = min(i for i in hot if i % 50 == 9 and i > first)
+    edits = [i for i in hot if first < i < decided and i % 50 not in (7, 9) and i % 5 != 1]
+    assert rows["HOT"].payload_json == str(edits[-1] if edits else first)
+    assert rows["HOT"].status == "approved"
