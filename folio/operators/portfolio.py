@@ -8,7 +8,7 @@ from folio.functions.columns import band_bucket, band_is, blank, half_up, lane,
 from folio.operators.accounts import by_risk
 from folio.operators.activity import ACCOUNT
 from folio.operators.ranking import top_per
-from folio.session import settle
+from folio.session import join_small, settle
 
 # percentile_approx is within one part in this many of the exact rank
 ACCURACY = 10_000
@@ -28,17 +28,6 @@ def _band_counts() -> list[Column]:
     ]
 
 
-def _sales() -> Column:
-    return F.coalesce("total_sales", F.lit(0.0))
-
-
-def _size_and_cut(margin: float) -> list[Column]:
-    """Accounts, and two sales values around the ninth decile that surely enclose the cut."""
-    spread = margin / ACCURACY
-    cut = F.percentile_approx(_sales(), [0.9 - spread, 0.9 + spread], ACCURACY)
-    return [F.count("*").alias("n"), cut.alias("cut")]
-
-
 def top_decile_revenue(customers: DataFrame, small_tenant: int = SMALL_TENANT, margin: float = MARGIN) -> DataFrame:
     """Revenue of the first of ten sales tiles per tenant, without ranking a tenant in one task.
 
@@ -49,11 +38,12 @@ def top_decile_revenue(customers: DataFrame, small_tenant: int = SMALL_TENANT, m
     number.  The sketch's error bound keeps the cut inside the bracket; should it not
     be there, the query fails instead of answering wrong.
     """
-    sized = settle(customers.groupBy("tenant_id").agg(*_size_and_cut(margin)), "sized")
-    return _top_decile(customers, sized, small_tenant)
-
-
-def _top_decile(customers: DataFrame, sized: DataFrame, small_tenant: int) -> DataFrame:
+    value = F.coalesce("total_sales", F.lit(0.0))
+    spread = margin / ACCURACY
+    sized = customers.groupBy("tenant_id").agg(
+        F.count("*").alias("n"),
+        F.percentile_approx(value, [0.9 - spread, 0.9 + spread], ACCURACY).alias("cut"),
+    )
     everything = F.col("n") <= small_tenant
     bracket = sized.select(
         "tenant_id",
@@ -61,7 +51,7 @@ def _top_decile(customers: DataFrame, sized: DataFrame, small_tenant: int) -> Da
         F.when(everything, F.lit(float("-inf"))).otherwise(F.col("cut")[0]).alias("low"),
         F.when(everything, F.lit(float("inf"))).otherwise(F.col("cut")[1]).alias("high"),
     )
-    marked = customers.select("tenant_id", _sales().alias("value")).join(bracket, "tenant_id")
+    marked = join_small(customers.select("tenant_id", value.alias("value")), bracket, ["tenant_id"], "inner")
     marked = marked.filter(F.col("value") >= F.col("low"))
     inside = F.when(F.col("value") <= F.col("high"), F.col("value"))
     # one row per tenant and distinct value inside the bracket, one row for all above it
@@ -94,12 +84,9 @@ def portfolio_summary(customers: DataFrame) -> DataFrame:
         F.count_if(~blank(F.col("churn_risk_reason"))).alias("churn_flag_count"),
         F.sum(F.coalesce("open_support_ticket_count", F.lit(0))).cast("bigint").alias("open_ticket_backlog"),
         F.count_if(band_bucket(band) == "stable").alias("other_count"),
-        *_size_and_cut(MARGIN),
     )
-    # one row per tenant, written: its real size decides how it joins the accounts
-    counted = settle(counted, "counted")
-    decile = _top_decile(customers, counted.select("tenant_id", "n", "cut"), SMALL_TENANT)
-    joined = counted.drop("n", "cut").join(decile, "tenant_id", "left")
+    # the sketch has a pass of its own: together with it the plain measures would lose their generated code
+    joined = counted.join(top_decile_revenue(customers), "tenant_id", "left")
     return joined.select("tenant_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in joined.columns if c != "tenant_id"])
 
 
