@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import bitsliced_topk, byte_cnn, odd_sketch, packing, passage_quality, suffix_dedup, trie_dedup, warc
+from folio.llm import bitsliced_topk, byte_cnn, odd_sketch, packing, passage_quality, recurrent_lm, sentencepiece_index, suffix_dedup, trie_dedup, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,10 +20,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_index.round_trip(_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
     return bitsliced_topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return recurrent_lm.score_documents(_table(spark, folder, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeated_spans(_table(spark, folder, "documents"))
 
@@ -52,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return trie_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op4_suffix_dedup, op5_language, op6_near_dedup, op7_packing, op8_warc, op9_quality, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_lm_score, op4_suffix_dedup, op5_language, op6_near_dedup, op7_packing, op8_warc, op9_quality, op10_exact_dedup)}
 
 ORACLES = {
     "op2_topk": """
