@@ -4,7 +4,8 @@ Documents are dealt to shards of a few megabytes.  A string of ``SPAN`` bytes ha
 the ``GRAM``-byte string inside it with the smallest hash, which depends on its bytes alone;
 equal strings have equal anchors.  That keeps the work near what repeats:
 
-1. each shard lists its distinct anchors; those listed by several shards are returned to them;
+1. each shard lists its distinct anchors and whole texts; those listed by several shards are
+   returned to them.  All but the first of equal texts repeat as a whole and go no further;
 2. strings whose anchor repeats inside a shard are ordered by a suffix array, refined by
    doubling in the way of Larsson and Sadakane (only groups still tied are sorted again), and
    neighbours' common prefixes follow Kasai's rule: they are compared in full only where the
@@ -15,8 +16,8 @@ equal strings have equal anchors.  That keeps the work near what repeats:
    binary search and all but the earliest are marked;
 4. marks return to the shards, where documents are cut.
 
-An anchor that very many shards share (a line found everywhere) sends single strings by their
-own hash instead of runs by the anchor, so what meets in a task stays bounded by the shards.
+A very frequent anchor (a line found everywhere) sends single strings by their own hash instead
+of runs by the anchor, so what meets in a task is bounded: by that frequency, or by the shards.
 Strings that meet are told apart by 128 bits of hash (anchor and string).
 
 Rows: a null text is empty.  Documents are ordered by id, without id last.  Rows that repeat
@@ -36,9 +37,9 @@ from folio.llm.cluster import ready, shard_of, text_total
 from folio.llm.text import POWERS, binary_column, mix, ragged, running_hash, slices, span_hash, text_bytes
 
 SPAN, GRAM = 100, 24
-SHARD_BYTES = 8 << 20
-#: Anchors that as many shards share send single strings.
-COMMON_SHARDS = 64
+SHARD_BYTES = 6 << 20
+#: Anchors with as many runs in all shards send single strings.
+COMMON_RUNS = 16384
 #: Bytes of strings merged at once in a task, cut between anchors.
 MERGE_BYTES = 3 << 20
 
@@ -140,42 +141,48 @@ def suffix_array(body: np.ndarray, depth: int = SPAN) -> np.ndarray:
     return order
 
 
-def common_prefixes(body: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For every position, the bytes its suffix has in common with the one ordered before it."""
-    n = len(body)
+def common_prefixes(body: np.ndarray, order: np.ndarray, enough: int = SPAN) -> np.ndarray:
+    """For every position, the bytes its suffix has in common with the one ordered before it.
+
+    Exact below ``enough``; from there on a lower bound that is not below ``enough``.
+    """
+    n, stretch = len(body), 256
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     common = np.zeros(n, np.int64)
     keys = eight_bytes(body)
-    # one less than at the position before, where the neighbour moved along; compared in full elsewhere
+    # one less than at the position before, where the neighbour moved along; compared elsewhere,
+    # as far as a whole stretch needs to stay above ``enough``
     follows = np.zeros(n, bool)
     follows[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
+    follows[::stretch] = False
+    fresh = ~follows
     while True:
-        heads = np.flatnonzero(~follows & (before >= 0))
-        common[heads] = _compare(body, keys, heads, before[heads])
+        heads = np.flatnonzero(fresh & (before >= 0))
+        common[heads] = _compare(body, keys, heads, before[heads], enough + stretch)
         start = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
         common = np.where(follows, common[start] - (np.arange(n) - start), common)
         lost = follows & (common < 0)
         if not lost.any():
             return common
         # nothing is known after a common prefix of none: the first of each such stretch starts anew
-        follows[np.flatnonzero(lost & ~np.append(False, lost[:-1]))] = False
+        fresh = lost & ~np.append(False, lost[:-1])
+        follows[fresh] = False
 
 
-def _compare(body, keys, a, b):
+def _compare(body, keys, a, b, most):
     n, out = len(body), np.zeros(len(a), np.int64)
     open_ = np.arange(len(a))
     while len(open_):
         x, y = a[open_] + out[open_], b[open_] + out[open_]
         room = n - np.maximum(x, y)
-        inside = room > 0
-        differ = np.where(inside, keys[np.minimum(x, n - 1)] ^ keys[np.minimum(y, n - 1)], np.uint64(1 << 63))
-        same = np.zeros(len(open_), np.int64)
-        for step in range(8):
-            same += (differ >> np.uint64(56 - 8 * step)) == 0
-        same = np.minimum(same, np.maximum(room, 0))
+        differ = keys[np.minimum(x, n - 1)] ^ keys[np.minimum(y, n - 1)]
+        # leading equal bytes: from the exponent of the highest differing bit
+        bits = np.frexp((differ >> np.uint64(8)).astype(np.float64))[1]
+        same = np.where(differ >> np.uint64(8) > 0, (56 - bits) // 8, np.where(differ > 0, 7, 8))
+        same = np.clip(np.minimum(same, room), 0, 8)
         out[open_] += same
-        open_ = open_[same == 8]
+        open_ = open_[(same == 8) & (out[open_] < most)]
     return out
 
 
@@ -213,10 +220,34 @@ def _ordered(table: pa.Table) -> pa.Table:
     return table.select(["doc_id", "text_key", "text"]).take(pa.array(order[keep]))
 
 
-def _list_anchors(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-    *_, anchor = shard_runs(_ordered(docs).column("text").combine_chunks())
-    anchor = np.unique(anchor).view(np.int64)
-    return pa.table({"shard": pa.array(np.full(len(anchor), key[0].as_py(), np.int32)), "anchor": pa.array(anchor)})
+def _names(docs: pa.Table, at: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each whole text and its document's place in the order (id, then text hash)."""
+    texts = docs.column("text").combine_chunks()
+    parts = [np.zeros(0, np.uint64)]
+    for low, high in slices(texts, 1 << 20):
+        own = at[low : high + 1] - at[low]
+        parts.append(span_hash(running_hash(body[at[low] : at[high]]), own[:-1], own[1:]))
+    second = np.concatenate(parts).view(np.int64)
+    ids = np.where(docs.column("doc_id").is_null().to_numpy(), _LAST, docs.column("doc_id").fill_null(0).to_numpy())
+    return docs.column("text_key").to_numpy(), second, ids
+
+
+def _list_names(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+    """The anchors of a shard with their runs, and its texts with their first documents."""
+    docs = _ordered(docs)
+    body, at, _, _, anchor = shard_runs(docs.column("text").combine_chunks())
+    anchor, runs = np.unique(anchor, return_counts=True)
+    text, second, ids = _names(docs, at, body)
+    long = np.flatnonzero(np.diff(at) >= SPAN)
+    # documents are in order: the first of equal texts is the smallest
+    _, first = np.unique(np.stack([text[long], second[long]]), axis=1, return_index=True)
+    first = long[first]
+    n = len(anchor)
+    return pa.table({
+        "shard": pa.array(np.full(n + len(first), key[0].as_py(), np.int32)), "name": pa.array(np.concatenate([anchor.view(np.int64), text[first]])),
+        "second": pa.array(np.concatenate([np.zeros(n, np.int64), second[first] | 1])), "runs": pa.array(np.concatenate([runs, np.zeros(len(first), np.int64)])),
+        "doc_id": pa.array(np.concatenate([np.full(n, _LAST), ids[first]])),
+    })
 
 
 def _empty_records() -> pa.Table:
@@ -236,12 +267,34 @@ def _records(shard: int, docs: pa.Table, at: np.ndarray, start: np.ndarray, coun
     })
 
 
+def _later_copies(docs: pa.Table, at: np.ndarray, body: np.ndarray, whole: pa.Table) -> np.ndarray:
+    """Whether an earlier document, of this shard or another, has the same whole text of at least ``SPAN`` bytes."""
+    text, second, ids = _names(docs, at, body)
+    second |= 1
+    order = np.lexsort((np.arange(len(text)), second, text))
+    same = np.append(False, (np.diff(text[order]) == 0) & (np.diff(second[order]) == 0)) if len(text) else np.zeros(0, bool)
+    later = np.zeros(len(text), bool)
+    later[order[same]] = True
+    elsewhere = dict(zip(zip(whole.column("name").to_pylist(), whole.column("second").to_pylist(), strict=True), whole.column("doc_id").to_pylist(), strict=True))
+    for i in np.flatnonzero(np.isin(text, whole.column("name").to_numpy())).tolist():
+        later[i] |= elsewhere.get((int(text[i]), int(second[i])), _LAST) < ids[i]
+    return later & (np.diff(at) >= SPAN)
+
+
 def _inside_and_shared(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table) -> pa.Table:
     """Marks of strings that repeat inside the shard, and records of first strings that other shards may have."""
     if not docs.num_rows:
         return _empty_records()
     shard = key[0].as_py()
     docs = _ordered(docs)
+    whole = shared.filter(pa.array(shared.column("second").to_numpy() != 0))
+    shared = shared.filter(pa.array(shared.column("second").to_numpy() == 0))
+    body, at = text_bytes(docs.column("text").combine_chunks())
+    later = _later_copies(docs, at, body, whole)
+    gone = np.flatnonzero(later)
+    size = np.diff(at)[gone] - SPAN + 1
+    parts = [_records(shard, docs, at, at[gone], size, None, mix(gone.astype(np.uint64) + np.uint64(shard)).view(np.int64), None, None)]
+    docs = docs.filter(pa.array(~later))
     body, at, start, count, anchor = shard_runs(docs.column("text").combine_chunks())
     order = np.argsort(anchor)
     same = anchor[order][1:] == anchor[order][:-1]
@@ -252,11 +305,11 @@ def _inside_and_shared(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Ta
     breaks = np.flatnonzero(np.append(True, (np.diff(marked) != 1) | (np.diff(np.searchsorted(at, marked, "right")) != 0))) if len(marked) else np.zeros(0, np.int64)
     first = marked[breaks]
     spread = mix(np.arange(len(first), dtype=np.uint64) + np.uint64(shard)).view(np.int64)
-    parts = [_records(shard, docs, at, first, np.diff(np.append(breaks, len(marked))), None, spread, None, None)]
+    parts.append(_records(shard, docs, at, first, np.diff(np.append(breaks, len(marked))), None, spread, None, None))
 
-    names = shared.column("anchor").to_numpy()
+    names = shared.column("name").to_numpy()
     by = np.argsort(names)
-    names, shards = names[by], shared.column("shards").to_numpy()[by]
+    names, runs = names[by], shared.column("runs").to_numpy()[by]
     found = np.minimum(np.searchsorted(names, anchor.view(np.int64)), max(0, len(names) - 1))
     wanted = np.flatnonzero(names[found] == anchor.view(np.int64)) if len(names) else np.zeros(0, np.int64)
     begin = start[wanted]
@@ -266,7 +319,7 @@ def _inside_and_shared(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Ta
     taken[marked] = True
     fresh = ~taken[strings]
     strings, own = strings[fresh], own[fresh]
-    everywhere = shards[found[own]] >= COMMON_SHARDS if len(own) else np.zeros(0, bool)
+    everywhere = runs[found[own]] >= COMMON_RUNS if len(own) else np.zeros(0, bool)
     if everywhere.any():
         single, name = strings[everywhere], anchor[own[everywhere]]
         hashes = span_hash(running_hash(body), single, single + SPAN)
@@ -415,11 +468,10 @@ def _cut(rewrite: bool):
 
 def _marks(docs: DataFrame) -> DataFrame:
     """Document and place of every string that also starts earlier, in runs; ``docs`` have a shard."""
-    some = docs.select("shard", "doc_id", "text_key", "text")
-    anchors = some.groupBy("shard").applyInArrow(_list_anchors, "shard int, anchor long")
-    shared = anchors.groupBy("anchor").agg(F.collect_list("shard").alias("shard"))
-    shared = shared.withColumn("shards", F.size("shard")).filter("shards > 1").select(F.explode("shard").alias("shard"), "anchor", "shards")
-    records = some.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_inside_and_shared, _RECORD)
+    names = docs.groupBy("shard").applyInArrow(_list_names, "shard int, name long, second long, runs long, doc_id long")
+    shared = names.groupBy("name", "second").agg(F.collect_list("shard").alias("shard"), F.sum("runs").alias("runs"), F.min("doc_id").alias("doc_id"))
+    shared = shared.filter(F.size("shard") > 1).select(F.explode("shard").alias("shard"), "name", "second", "runs", "doc_id")
+    records = docs.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_inside_and_shared, _RECORD)
     return records.repartition("route").sortWithinPartitions("route").mapInArrow(_merge_shards, _PLACE)
 
 
