@@ -7,10 +7,14 @@ sketch): the population count of two sketches' XOR tells how many samples differ
 where similarity is high, and pairs well below the threshold are dropped.  The rest is
 confirmed on the full sets.
 
+Shingles that no other candidate has bound a document's similarity to any of them exactly; that
+leaves out the many variants of a text that have changed a little too much to be linked.
+
 No bucket is expanded into all its pairs.  First each class meets only the smallest class of
 its buckets; then, in buckets whose members still belong to several components, pivots meet
 the members of other components, eight times as many pivots each round, until every member
-of each such bucket was a pivot or the bucket is one component.  So a link between different
+of each such bucket was a pivot or the bucket is one component.  A pair meets once: in its
+first common bucket, when the first of the two is a pivot.  So a link between different
 components is never lost to a bucket's size.
 
 Rows: null, empty and wordless texts have an empty set and are linked with nothing.  Rows
@@ -28,10 +32,11 @@ from folio.llm.components import merge_labels, no_labels
 from folio.llm.text import FOLDED_VALUES, binary_column, mix, running_hash, slices, span_hash, text_bytes, words
 from folio.session import settle
 
-BANDS, BAND_ROWS = 24, 4
-SKETCH_BITS = 512
+#: At a similarity of 0.8 a pair shares no band with a probability of 5e-6; at 0.4 it shares one with 0.15.
+BANDS, BAND_ROWS = 40, 6
+SKETCH_BITS = 1024
 #: Standard deviations that an estimate may fall short before a pair is dropped.
-MARGIN = 5.0
+MARGIN = 4.0
 FIRST_PIVOTS, MORE_PIVOTS = 8, 8
 
 _SAMPLES = BANDS * BAND_ROWS
@@ -138,18 +143,34 @@ def _confirm(percent: int):
     return run
 
 
-def _pairs_to_confirm(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and sketches allow the similarity."""
-    for end in ("a", "b"):
-        own = reps.select(F.col("rep").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}"))
-        pairs = pairs.join(own, end)
-    differing = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return pairs.filter((100 * small >= percent * large) & (differing <= most_differing(percent / 100))).select("a", "b")
+def _items(batches):
+    for batch in batches:
+        at = np.diff(text_bytes(batch.column(1))[1]) // 8
+        flat = np.frombuffer(text_bytes(batch.column(1))[0].tobytes(), np.int64)
+        yield pa.record_batch([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), at))], names=["item", "rep"])
+
+
+def own_items(sets: DataFrame) -> DataFrame:
+    """rep and n_own, the number of its items that no other of these sets has."""
+    items = sets.mapInArrow(_items, "item long, rep long")
+    once = items.groupBy("item").agg(F.count("*").alias("_n"), F.min("rep").alias("rep")).filter("_n = 1")
+    return once.groupBy("rep").agg(F.count("*").alias("n_own"))
+
+
+def _could_share(n_a, own_a, n_b, own_b, percent: int):
+    """Whether the items that others have as well are enough for the similarity: an exact bound."""
+    most = F.least(n_a - own_a, n_b - own_b)
+    return 100 * most >= percent * (n_a + n_b - most)
+
+
+def _may_link(n_a, s_a, n_b, s_b, percent: int):
+    """Whether sizes and sketches allow the similarity."""
+    differing = F.aggregate(F.zip_with(s_a, s_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differing <= most_differing(percent / 100))
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    wanted = settle(_pairs_to_confirm(pairs, reps, percent), "pairs")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    wanted = settle(pairs, "pairs")
     full = wanted.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
     full = full.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").select("a", "b", "items_a", "items_b")
     return settle(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
@@ -165,7 +186,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFra
     reps = settle(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     placed = reps.select("rep", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last")
-    members = settle(placed.join(shared, "key").select("key", "rep", "first").distinct(), "members")
+    members = settle(placed.join(shared, "key").select("key", "rep", "first"), "members")
     chosen = members.select(F.col("rep").alias("doc_id")).distinct()
     # a class's own text has its representative's id; ids may repeat, so the set decides
     chosen = chosen.join(reps.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), "doc_id")
@@ -175,22 +196,44 @@ def near_groups(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFra
     # one vertex per id: classes that share an id through repeated rows are one already
     labels = no_labels(spark)
     first = members.filter("rep > first").groupBy(F.col("rep").alias("b")).agg(F.min("first").alias("a"))
-    labels = merge_labels(labels, _confirmed(first, reps, sets, percent))
-    pivots = FIRST_PIVOTS
+    sketches = reps.select("rep", "n_shingles", "sketch", "bands")
+    own, other = (sketches.select(*(F.col(c).alias(f"{c}_{end}") for c in sketches.columns)) for end in "ab")
+    first = first.join(own, F.col("a") == F.col("rep_a")).join(other, F.col("b") == F.col("rep_b"))
+    first = first.filter(_may_link(F.col("n_shingles_a"), F.col("sketch_a"), F.col("n_shingles_b"), F.col("sketch_b"), percent)).select("a", "b")
+    labels = merge_labels(labels, _confirmed(first, sets, percent))
+    done, pivots, known_own = 0, FIRST_PIVOTS, None
     while True:
         named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         named = settle(named, "named")
         open_ = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_size")).filter("_low < _high")
-        members = settle(named.join(open_.select("key", "_size"), "key"), "open")
+        members = named.join(open_.select("key", "_size"), "key")
+        if known_own is None:
+            # counted once, over all that may still meet
+            rest = sets.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            known_own = settle(sketches.join(own_items(rest), "rep", "left").na.fill(0, ["n_own"]), "own")
+            known_own = known_own.filter(100 * (F.col("n_shingles") - F.col("n_own")) >= percent * F.col("n_shingles"))
+        members = settle(members.join(known_own, "rep"), "open")
         if members.isEmpty():
             break
+        # rows get their place among all members of the bucket, which no later round changes
         order = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
         centres = members.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= pivots)
-        centres = settle(centres.select("key", F.col("rep").alias("_rep"), F.col("component").alias("_component")), "pivots")
-        met = members.join(centres, (members["key"] == centres["key"]) & (members["component"] != centres["_component"]))
+        columns = ["key", "component", *known_own.columns]
+        centres = settle(centres.select("_place", *(F.col(c).alias(f"_{c}") for c in columns)), "pivots")
+        likely = _may_link(F.col("n_shingles"), F.col("sketch"), F.col("_n_shingles"), F.col("_sketch"), percent)
+        likely &= _could_share(F.col("n_shingles"), F.col("n_own"), F.col("_n_shingles"), F.col("_n_own"), percent)
+        common = F.array_position(F.zip_with("bands", "_bands", lambda x, y: x == y), True)
+        likely &= F.element_at("bands", common.cast("int")) == F.col("key")
+        # members that are pivots before this one have met it
+        after = (F.xxhash64("rep") > F.xxhash64("_rep")) | ((F.xxhash64("rep") == F.xxhash64("_rep")) & (F.col("rep") > F.col("_rep")))
+        met = members.join(
+            centres.filter(F.col("_place") > done),
+            (F.col("key") == F.col("_key")) & (F.col("component") != F.col("_component")) & after & likely,
+        )
         met = met.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct()
-        labels = merge_labels(labels, _confirmed(met, reps, sets, percent))
-        members = members.filter(F.col("_size") > pivots).drop("_size", "component")
+        labels = merge_labels(labels, _confirmed(met, sets, percent))
+        members = members.filter(F.col("_size") > pivots).select("key", "rep")
+        done = pivots
         pivots *= MORE_PIVOTS
     return _assigned(signed, reps, labels)
 
