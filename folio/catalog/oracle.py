@@ -112,7 +112,7 @@ TONES = (
     ("backlog_pct", "backlog_per_customer*100", "<=20", "<=50"), ("at_risk_pct", "at_risk_pct", "<20", "<20"), ("net_sentiment", "net_sentiment", ">=25", ">-25"),
 )
 
-STATE = "tenant_id, action_id, customer_id, action_type, payload_json, status, created_at, decided_at, decided_by, rationale, confidence, sent_at, send_error"
+STATE = "tenant_id, action_id, customer_id, customer_full_name, action_type, payload_json, status, created_at, decided_at, decided_by, rationale, confidence, sent_at, send_error"
 
 KAPPA = """
 select hits, shared, round(case when shared=0 then null when expected=1 then case when hits=shared then 1.0 else 0.0 end
@@ -284,6 +284,8 @@ select tenant_id, customer_id, customer_full_name "name", customer_email email,
         "top_by_revenue": top("total_sales desc nulls last, customer_id"),
         "top_by_revenue_lowest": top("total_sales nulls last, customer_id"),
         "directory": top("coalesce(late_delivery_rate,0) desc, customer_id", "risk_band ilike '%e%'", "50", "50", CARD + ", late_delivery_rate"),
+        "directory_by_risk": top("coalesce(risk_score,0) desc, customer_id", limit="50"),
+        "directory_by_revenue": top("coalesce(total_sales,0) desc, customer_id", limit="50"),
         "directory_by_name": top("lower(customer_full_name), customer_id", limit="50"),
         "recent_orders": recent("order_id, order_date, delivery_status, order_sales", "s_orders", "order_date desc nulls last, order_id", 10),
         "recent_tickets": recent("ticket_id, date_of_purchase, ticket_status", "s_tickets", "date_of_purchase desc nulls last, ticket_id", 10),
@@ -353,7 +355,9 @@ from (select distinct * from ({named}) a) x left join s_customers c on c.tenant_
         "audit_dates": " union all ".join(
             f"select '{t}' table_name, '{name}' column_name, cast(min({c}) as date) first_day, cast(max({c}) as date) last_day, count(*) filter ({c}>timestamp '1998-01-01') future_rows, count(*) filter ({c} is null) null_rows from {v}" for t, name, v, c in DATES),
         "audit_duplicates": f"select table_name, key_column, cast(sum(n-1) as bigint) duplicates from (select table_name, key_column, tenant_id, key, count(*) n from ({keyed}) a group by all) x group by all",
-        "value_counts": 'select scenario "value", count(*) "rows" from s_notes group by all order by 2 desc, 1 limit 10',
+        "value_counts": " union all ".join(
+            f"select * from (select '{t}' table_name, scenario \"value\", count(*) \"rows\" from {v} group by all order by 3 desc, 2 limit 10) {v}"
+            for t, v in (("customer_notes", "s_notes"), ("customer_email_logs", "s_emails"), ("customer_review_logs", "s_reviews"))),
         "ref_resolution": """
 select r.table_name, r."rows", rows_with_refs, coalesce(refs,0) refs, coalesce(resolved,0) resolved, round(coalesce(resolved,0)/greatest(coalesce(refs,0),1),6) resolved_share
 from (select table_name, count(*) "rows", count(*) filter (trim(coalesce(s,''))<>'') rows_with_refs from cited group by all) r
@@ -378,13 +382,14 @@ from (select o.*, cast(cast(reviewed_at as date)+1 as date) low, cast(concat('0x
     cast(concat('0x',substr(md5(concat('42:day:',outcome_id)),1,8)) as bigint) h from s_outcomes o left join s_reviews r on r.review_id=o.review_id and r.tenant_id=o.tenant_id) x""",
         "backfill_lineage": lineage(True),
         "backfill_lineage_overwrite": lineage(False),
+        "email_refs": "select distinct e.tenant_id, email_id, ref from s_emails e join s_refs r on r.tenant_id=e.tenant_id and r.customer_id=e.customer_id and r.scenario=e.scenario and r.topic=e.topic where ref<>''",
         "lineage_refs": "select * from s_refs where ref<>''",
         "sample_by_band": volume_sample("s_emails", "email_id", 2, 20),
         "sample_notes_by_band": volume_sample("s_notes", "note_id", 1, 12),
         "spread_tickets": "select tenant_id, customer_id, ticket_id, customer_full_name, ticket_priority from s_spread",
         "rebuild_bridge": """
 select tenant_id, cast(substr(ticket_id,2) as bigint) source_ticket_id, ticket_id, customer_id, source_customer_id, customer_full_name, '' support_customer_name, '' support_customer_email,
-  'risk_redistribution_v2' mapping_method, 1.0::double mapping_confidence, 'Reassigned to follow risk score.' mapping_note from s_spread""",
+  'risk_redistribution_v2' mapping_method, 1.0::double mapping_confidence, 'spread_tickets: handed out by account risk' mapping_note from s_spread""",
         "repair_log": _repair_log(),
         "evidence_bundle": """
 select c.tenant_id, c.customer_id, customer_email email, coalesce(p.n,0) prior_reviews, coalesce(orders_ids,'') recent_orders_ids, coalesce(tickets_ids,'') recent_tickets_ids,
@@ -454,18 +459,18 @@ left join s_customers c on c.tenant_id=l.tenant_id and c.customer_id=l.customer_
         "pending_actions": f"select {STATE}, {state_rank} \"rank\" from s_state where status='pending' qualify \"rank\"<=50",
         "decision_trail": "select * from s_trail",
         "decided_actions": """
-select s.tenant_id, action_id, status, s.decided_at, s.decided_by, decision_id, decision_notes, row_number() over (partition by s.tenant_id order by s.decided_at desc nulls last, action_id, decision_id) "rank"
+select s.tenant_id, action_id, s.customer_full_name, status, s.decided_at, s.decided_by, decision_id, decision_notes, row_number() over (partition by s.tenant_id order by s.decided_at desc nulls last, action_id, decision_id) "rank"
 from s_state s left join s_trail t on t.tenant_id=s.tenant_id and t.related_action_id=s.action_id where status in ('approved','rejected') qualify "rank"<=20""",
-        "action_by_id": f"select {STATE} from s_state where action_id in ('A7','A12','A149')",
+        "action_by_id": f"select {STATE} from s_state where action_id in ('A7-0','A7-1','A7-2','A7-3','A12-4','A12-5','A12-6','A149-7','A149-8','A149-9')",
         "sendable_emails": """
 select tenant_id, action_id, customer_id, send_to, subject, reason is null sendable, reason from (select *, case when not json_valid(coalesce(payload_json,'{}')) then 'payload is not JSON'
     when send_to='' then 'no recipient' when not contains(send_to,'@') then 'recipient is not an address' when subject='' then 'no subject' end reason
   from (select *, coalesce(trim(case when json_valid(payload_json) then payload_json->>'$.to' end),'') send_to, coalesce(trim(case when json_valid(payload_json) then payload_json->>'$.subject' end),'') subject
     from s_state where action_type='send_email' and status='approved') x) y""",
         "dedupe_requests": """
-select * from (select customer_id, scenario, topic, sentiment_hint, count(*) asked from s_emails where direction='user' group by all) u
-where not exists (from s_emails m where m.direction='assistant' and m.customer_id=u.customer_id and m.scenario=u.scenario and m.topic=u.topic
-  and m.sentiment_hint is not distinct from u.sentiment_hint)""",
+select * from (select tenant_id, customer_id, scenario, topic, sentiment_hint, body, count(*) asked from s_emails where direction='user' group by all) u
+where not exists (from s_emails m where m.direction='assistant' and m.tenant_id=u.tenant_id and m.customer_id=u.customer_id and m.scenario=u.scenario and m.topic=u.topic
+  and m.sentiment_hint is not distinct from u.sentiment_hint and m.body is not distinct from u.body)""",
         "batch_sentiment": "select tenant_id, customer_id, on_day \"day\", count(*) filter (bucket='positive') positive, count(*) filter (bucket='neutral') neutral, count(*) filter (bucket='negative') negative, count(*) total from s_signals group by all",
     }
     sql["top_decile_revenue_bracketed"] = sql["top_decile_revenue"]

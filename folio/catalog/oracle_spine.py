@@ -80,13 +80,13 @@ from lineitem join orders on l_orderkey=o_orderkey join s_people on o_custkey=k
 select coalesce(tenant_id,'t0') tenant_id, concat('K',s_suppkey) contact_id, concat('C',s_suppkey*20) customer_id, s_suppkey%4=0 synthetic_flag
 from supplier left join s_people on s_suppkey*20=k""",
     "s_ledger": """
-select tenant_id, concat('A',cast(user_id as varchar)) action_id, customer_id, ts event_ts, event_id event_seq,
+select tenant_id, concat('A',user_id,'-',event_id%16) action_id, customer_id, customer_full_name, ts event_ts, event_id event_seq,
   case event_type when 'signup' then 'propose' when 'click' then 'edit' when 'purchase' then 'decide' when 'error' then 'decide' else 'send' end event_type,
   case when event_type='signup' then split_part('send_email,proactive_outreach,reclassify_band,update_lifecycle,escalate,schedule_followup,recommend_credit,recommend_expedite,add_note,delete_account',',',cast(user_id%10+1 as int)) end action_type,
   case when event_type not in ('signup','click') then null when event_id%7=0 then null when event_id%7=1 then '  ' when event_id%7=2 then '{bad'
     when event_id%7=3 then concat('{"to":"user',user_id,'@example.com","subject":"About ',event_id,'"}')
     when event_id%7=4 then concat('{"to":"nobody","subject":"About ',event_id,'"}') when event_id%7=5 then '{"to":"a@example.com"}' else props end payload_json,
-  case event_type when 'purchase' then 'approved' when 'error' then 'rejected' end status,
+  case when event_type in ('purchase','error') and event_id%11=0 then 'maybe' when event_type='purchase' then 'approved' when event_type='error' then 'rejected' end status,
   case when event_type in ('purchase','error') then concat('U',event_id) end actor,
   case when event_type in ('purchase','error') and event_id%2=0 then 'checked' end remarks,
   case when event_type='signup' then concat('because ',event_id) end rationale, case when event_type='signup' then value/100 end confidence,
@@ -158,16 +158,16 @@ from (select r.tenant_id, r.customer_id, r.review_id, r.reviewed_at, r.human_dec
     "s_alive": """
 select l.* from s_ledger l join (select tenant_id, action_id, min((event_ts,event_seq)) proposed from s_ledger where event_type='propose' group by all) p
   using (tenant_id, action_id)
-where (event_ts,event_seq)=proposed or ((event_ts,event_seq)>proposed and event_type<>'propose')""",
+where (event_ts,event_seq)=proposed or ((event_ts,event_seq)>proposed and event_type<>'propose' and (event_type<>'decide' or coalesce(status in ('approved','rejected'),false)))""",
     "s_effective": """
 select a.* from s_alive a left join (select tenant_id, action_id, min((event_ts,event_seq)) decided from s_alive where event_type='decide' group by all) d
   using (tenant_id, action_id)
 where event_type<>'edit' or decided is null or (event_ts,event_seq)<decided""",
     "s_last": """
-select tenant_id, action_id, customer_id, event_type kind, event_ts, event_seq, action_type, payload_json, status, actor, remarks, rationale, confidence, error
+select tenant_id, action_id, customer_id, customer_full_name, event_type kind, event_ts, event_seq, action_type, payload_json, status, actor, remarks, rationale, confidence, error
 from s_effective qualify row_number() over (partition by tenant_id, action_id, event_type order by event_ts desc, event_seq desc)=1""",
     "s_state": """
-select p.tenant_id, p.action_id, p.customer_id, p.action_type, case when e.kind is not null then e.payload_json else p.payload_json end payload_json,
+select p.tenant_id, p.action_id, p.customer_id, p.customer_full_name, p.action_type, case when e.kind is not null then e.payload_json else p.payload_json end payload_json,
   coalesce(d.status,'pending') status, p.event_ts created_at, d.event_ts decided_at, d.actor decided_by, p.rationale, p.confidence,
   case when s.error is null then s.event_ts end sent_at, s.error send_error
 from (select * from s_last where kind='propose') p
@@ -175,7 +175,7 @@ left join (select * from s_last where kind='edit') e using (tenant_id, action_id
 left join (select * from s_last where kind='decide') d using (tenant_id, action_id)
 left join (select * from s_last where kind='send') s using (tenant_id, action_id)""",
     "s_trail": """
-select tenant_id, concat('DEC-',event_seq) decision_id, customer_id, status decision, actor decided_by, event_ts decided_at, remarks decision_notes,
+select tenant_id, concat('DEC-',event_seq) decision_id, customer_id, customer_full_name, status decision, actor decided_by, event_ts decided_at, remarks decision_notes,
   action_id related_action_id from s_effective where event_type='decide'""",
     "s_recent5": """
 select tenant_id, customer_id, 'orders' feed, order_id id, row_number() over (partition by tenant_id, customer_id order by order_date desc nulls last, order_id) rn from s_orders

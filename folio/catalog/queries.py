@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -197,6 +198,16 @@ def directory(b: Book) -> DataFrame:
     return accounts.directory(b["customers"], "late_rate", True, "e", 50, 50).select(*CARD, "late_delivery_rate", "rank")
 
 
+@query
+def directory_by_risk(b: Book) -> DataFrame:
+    return accounts.directory(b["customers"], "risk_score", True, "", 50, 0).select(*CARD, "rank")
+
+
+@query
+def directory_by_revenue(b: Book) -> DataFrame:
+    return accounts.directory(b["customers"], "revenue", True, "", 50, 0).select(*CARD, "rank")
+
+
 @query
 def directory_by_name(b: Book) -> DataFrame:
     return accounts.directory(b["customers"], "name", False, "", 50, 0).select(*CARD, "rank")
@@ -444,7 +455,8 @@ def audit_duplicates(b: Book) -> DataFrame:
 
 @query
 def value_counts(b: Book) -> DataFrame:
-    return quality.value_counts(b["customer_notes"], "scenario", 10)
+    tables = ("customer_notes", "customer_email_logs", "customer_review_logs")
+    return reduce(DataFrame.unionByName, [quality.value_counts(b[t], "scenario", 10).withColumn("table_name", F.lit(t)) for t in tables])
 
 
 @query
@@ -500,6 +512,11 @@ def backfill_lineage_overwrite(b: Book) -> DataFrame:
     return out.select("tenant_id", "email_id", "source_signal_ids", "ref_count")
 
 
+@query
+def email_refs(b: Book) -> DataFrame:
+    return repair.email_refs(b["customer_email_logs"], b["customer_notes"])
+
+
 @query
 def lineage_refs(b: Book) -> DataFrame:
     return repair.lineage_refs(b["customer_notes"])
@@ -726,7 +743,7 @@ def label_report(b: Book) -> DataFrame:
 # ---- ledger -----------------------------------------------------------------------------------------
 
 STATE = [
-    "tenant_id", "action_id", "customer_id", "action_type", "payload_json", "status", "created_at", "decided_at",
+    "tenant_id", "action_id", "customer_id", "customer_full_name", "action_type", "payload_json", "status", "created_at", "decided_at",
     "decided_by", "rationale", "confidence", "sent_at", "send_error",
 ]
 
@@ -759,12 +776,12 @@ def decision_trail(b: Book) -> DataFrame:
 @query
 def decided_actions(b: Book) -> DataFrame:
     out = ledger.decided_actions(ledger.action_state(b["ledger"]), ledger.decisions(b["ledger"]), 20)
-    return out.select("tenant_id", "action_id", "status", "decided_at", "decided_by", "decision_id", "decision_notes", "rank")
+    return out.select("tenant_id", "action_id", "customer_full_name", "status", "decided_at", "decided_by", "decision_id", "decision_notes", "rank")
 
 
 @query
 def action_by_id(b: Book) -> DataFrame:
-    return ledger.action_by_id(ledger.action_state(b["ledger"]), "A7", "A12", "A149").select(*STATE)
+    return ledger.action_by_id(ledger.action_state(b["ledger"]), *(f"A7-{i}" for i in range(4)), "A12-4", "A12-5", "A12-6", "A149-7", "A149-8", "A149-9").select(*STATE)
 
 
 @query
@@ -775,11 +792,11 @@ def sendable_emails(b: Book) -> DataFrame:
 @query
 def dedupe_requests(b: Book) -> DataFrame:
     """What customers wrote about, once per content, minus what an assistant already took up."""
-    fields = ["customer_id", "scenario", "topic", "sentiment_hint"]
+    fields = ["customer_id", "scenario", "topic", "sentiment_hint", "body"]
     emails = b["customer_email_logs"]
-    asked = emails.filter("direction = 'user'").select(*fields)
-    answered = emails.filter("direction = 'assistant'").select(fx.content_key(*fields).alias("content_key"))
-    return ledger.dedupe_requests(asked, answered, fields).select(*fields, "asked")
+    asked = emails.filter("direction = 'user'").select("tenant_id", *fields)
+    answered = emails.filter("direction = 'assistant'").select("tenant_id", fx.content_key(*fields).alias("content_key"))
+    return ledger.dedupe_requests(asked, answered, fields).select("tenant_id", *fields, "asked")
 
 
 # ---- streams -------------------------------------------------------------------------------------------

@@ -29,6 +29,10 @@ ACTION_TYPES = (
 )
 
 
+# What a decision may be.
+DECISIONS = ("approved", "rejected")
+
+
 def _at() -> Column:
     """When an event happened; the sequence number orders events of one instant."""
     return F.struct("event_ts", "event_seq")
@@ -62,18 +66,20 @@ def effective_events(events: DataFrame) -> DataFrame:
 
     An action exists from its first proposal: earlier events and repeated proposals
     do nothing.  The payload can be edited until the first decision.  Decisions may
-    be repeated, and sends are recorded whatever the status.
+    be repeated, anything but an approval or a rejection is none, and sends are recorded
+    whatever the status.
     """
     kind = F.col("event_type")
     proposed = events.filter(kind == "propose").groupBy(*ACTION).agg(F.min(_at()).alias("_proposed"))
     # one row per action, written before it meets the events: a busy action is then split by AQE
     proposed = settle(proposed, "proposed")
-    choices = events.filter(kind == "decide").select(*ACTION, _at().alias("_at")).join(proposed, ACTION)
+    valid = F.coalesce(F.col("status").isin(*DECISIONS), F.lit(False))
+    choices = events.filter((kind == "decide") & valid).select(*ACTION, _at().alias("_at")).join(proposed, ACTION)
     decided = choices.filter("_at > _proposed").groupBy(*ACTION).agg(F.min("_at").alias("_decided"))
     alive = join_small(events, proposed.join(decided, ACTION, "left"), ACTION, "inner").withColumn("_at", _at())
     after = F.col("_at") > F.col("_proposed")
     open_edit = (kind == "edit") & after & F.coalesce(F.col("_at") < F.col("_decided"), F.lit(True))
-    kept = (F.col("_at") == F.col("_proposed")) | open_edit | (kind.isin("decide", "send") & after)
+    kept = (F.col("_at") == F.col("_proposed")) | open_edit | ((((kind == "decide") & valid) | (kind == "send")) & after)
     return alive.filter(kept).drop("_at", "_proposed", "_decided")
 
 
@@ -85,7 +91,7 @@ def fold(events: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("event_type") == kind, F.struct(_at().alias("at"), row.alias("row"))))
 
     folded = events.groupBy(*ACTION).agg(
-        last("propose", "event_ts", "customer_id", "action_type", "payload_json", "rationale", "confidence").alias("p"),
+        last("propose", "event_ts", "customer_id", "customer_full_name", "action_type", "payload_json", "rationale", "confidence").alias("p"),
         last("edit", "payload_json").alias("e"),
         last("decide", "event_ts", "status", "actor", "notes").alias("d"),
         last("send", "event_ts", "error").alias("s"),
@@ -93,7 +99,7 @@ def fold(events: DataFrame) -> DataFrame:
     p, d, s = F.col("p.row"), F.col("d.row"), F.col("s.row")
     payload = F.when(F.col("e").isNotNull(), F.col("e.row.payload_json")).otherwise(p["payload_json"])
     return folded.filter("p is not null").select(
-        *ACTION, p["customer_id"].alias("customer_id"), p["action_type"].alias("action_type"), payload.alias("payload_json"),
+        *ACTION, p["customer_id"].alias("customer_id"), p["customer_full_name"].alias("customer_full_name"), p["action_type"].alias("action_type"), payload.alias("payload_json"),
         F.coalesce(d["status"], F.lit("pending")).alias("status"), p["event_ts"].alias("created_at"),
         d["event_ts"].alias("decided_at"), d["actor"].alias("decided_by"), p["rationale"].alias("rationale"),
         p["confidence"].alias("confidence"), F.when(s["error"].isNull(), s["event_ts"]).alias("sent_at"),
@@ -119,7 +125,7 @@ def decisions(events: DataFrame) -> DataFrame:
     """The audit trail: one row per decision on an existing action, repeats included."""
     decided = effective_events(events).filter("event_type = 'decide'")
     return decided.select(
-        "tenant_id", F.concat(F.lit("DEC-"), F.col("event_seq").cast("string")).alias("decision_id"), "customer_id",
+        "tenant_id", F.concat(F.lit("DEC-"), F.col("event_seq").cast("string")).alias("decision_id"), "customer_id", "customer_full_name",
         F.col("status").alias("decision"), F.col("actor").alias("decided_by"), F.col("event_ts").alias("decided_at"),
         F.col("notes").alias("decision_notes"), F.col("action_id").alias("related_action_id"),
     )
@@ -134,7 +140,7 @@ def decided_actions(state: DataFrame, trail: DataFrame, n: int = 20, latest_only
     if latest_only:
         row = F.struct("_when", "decision_id", "decision_notes")
         d = d.groupBy(*ACTION).agg(F.max(row).alias("r")).select(*ACTION, "r.*")
-    done = state.filter(F.col("status").isin("approved", "rejected")).join(d, ACTION, "left").drop("_when")
+    done = state.filter(F.col("status").isin(*DECISIONS)).join(d, ACTION, "left").drop("_when")
     order = [F.col("decided_at").desc_nulls_last(), F.col("action_id").asc(), F.col("decision_id").asc_nulls_last()]
     return top_per(done, ["tenant_id"], order, n)
 
@@ -157,7 +163,8 @@ def sendable_emails(state: DataFrame) -> DataFrame:
 
 
 def dedupe_requests(requests: DataFrame, answered: DataFrame, columns: list[str]) -> DataFrame:
-    """Requests not answered yet, one per distinct content.  ``answered`` has (content_key)."""
+    """A tenant's requests not answered yet, one per distinct content.  ``answered`` has (tenant_id, content_key)."""
+    key = ["tenant_id", "content_key"]
     keyed = requests.withColumn("content_key", content_key(*columns))
-    once = keyed.groupBy("content_key").agg(*[F.min(c).alias(c) for c in columns], F.count("*").alias("asked"))
-    return once.join(answered.select("content_key").distinct(), "content_key", "left_anti")
+    once = keyed.groupBy(*key).agg(*[F.min(c).alias(c) for c in columns], F.count("*").alias("asked"))
+    return once.join(answered.select(*key).distinct(), key, "left_anti")

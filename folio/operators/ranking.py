@@ -7,12 +7,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from folio.session import join_small, settle
 
 
+# spark.sql.optimizer.windowGroupLimitThreshold in session.RUNTIME_SETTINGS
+GROUP_LIMIT = 10_000
+
+
 def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows per key.
 
     Planned as a window group limit: every task keeps at most ``n`` rows per key
     before the shuffle, so a key holding a third of the rows costs no more than others.
+    Lists longer than the planner limits that way are cut from distributed row numbers.
     """
+    if n > GROUP_LIMIT:
+        return number_rows(df, keys, order, rank).filter(F.col(rank) <= n)
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 

@@ -26,8 +26,6 @@ NOTE_RANGE = (1, 12)
 EMAIL_RANGE = (2, 20)
 BROKEN_TICKET_COLUMNS = ("first_response_time", "time_to_resolution")
 
-# with one more to notice the overflow, tasks may still cut a group to this many before the shuffle
-INLINE_REFS = 999
 LINEAGE = ["tenant_id", "customer_id", "scenario", "topic"]
 
 
@@ -41,8 +39,9 @@ def day_shift(df: DataFrame, column: str, as_of: str, gap: int) -> DataFrame:
 
 
 def _moved(df: DataFrame, shift: DataFrame, *columns: str) -> DataFrame:
+    # a tenant without a newest row has nothing to move by: its dates stay
     joined = join_small(df, shift, ["tenant_id"])
-    return joined.withColumns({c: F.date_add(c, F.col("shift")) for c in columns}).drop("shift").select(*df.columns)
+    return joined.withColumns({c: F.date_add(c, F.coalesce("shift", F.lit(0))) for c in columns}).drop("shift").select(*df.columns)
 
 
 def rebase_dates(tables: Tables, as_of: str) -> dict[str, DataFrame]:
@@ -96,31 +95,33 @@ def lineage_refs(notes: DataFrame) -> DataFrame:
     return keyed.distinct()
 
 
-def backfill_lineage(emails: DataFrame, notes: DataFrame, overwrite: bool = False, inline: int = INLINE_REFS) -> DataFrame:
-    """Emails with the references of the matching notes, joined by ``;`` in order.
+def email_refs(emails: DataFrame, notes: DataFrame) -> DataFrame:
+    """Every reference an email inherits from the matching notes, one row each."""
+    return emails.select("email_id", *LINEAGE).join(lineage_refs(notes), LINEAGE).select("tenant_id", "email_id", "ref")
+
+
+def backfill_lineage(emails: DataFrame, notes: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Emails with all references of the matching notes, joined by ``;`` in order.
 
     By default an email keeps the references it has; ``overwrite`` replaces them,
     with '' where no note matches.  ``ref_count`` is the number of matching
-    references.  A group with more than ``inline`` of them is not packed into a cell:
-    its emails show null and ``lineage_refs`` holds the whole list under the same key.
+    references; ``email_refs`` has the same in long form.
     """
-    refs = lineage_refs(notes)
-    sizes = refs.groupBy(*LINEAGE).agg(F.count("*").alias("ref_count"))
-    first = top_per(refs, LINEAGE, [F.col("ref").asc()], inline + 1, "_n")
-    packed = first.groupBy(*LINEAGE).agg(F.array_sort(F.collect_list("ref")).alias("_refs"))
+    packed = lineage_refs(notes).groupBy(*LINEAGE).agg(F.array_sort(F.collect_list("ref")).alias("_refs"))
     # one row per group, written: emails of a busy group are then split by AQE
-    joined = join_small(emails, sizes.join(packed, LINEAGE, "left"), LINEAGE)
-    text = F.when(F.col("ref_count") <= inline, F.array_join("_refs", ";"))
-    filled = F.when(F.col("ref_count").isNull(), F.lit("")).otherwise(text)
+    joined = join_small(emails, packed, LINEAGE)
+    filled = F.coalesce(F.array_join("_refs", ";"), F.lit(""))
     if not overwrite:
         filled = F.when(~blank(F.col("source_signal_ids")), F.col("source_signal_ids")).otherwise(filled)
-    return joined.withColumn("source_signal_ids", filled).withColumn("ref_count", F.coalesce("ref_count", F.lit(0))).select(
+    count = F.coalesce(F.size("_refs"), F.lit(0)).cast("bigint")
+    return joined.withColumn("ref_count", F.when(F.col("_refs").isNull(), 0).otherwise(count)).withColumn("source_signal_ids", filled).select(
         *emails.columns, "ref_count"
     )
 
 
 # ---- volume -------------------------------------------------------------------------
 
+# The shares of the range that each band keeps.
 def volume_target(band: Column, low: int, high: int, draw: Column) -> Column:
     """How many rows an account of a band keeps; riskier bands keep more."""
     third = (high - low) // 3
@@ -150,6 +151,7 @@ def sample_by_band(df: DataFrame, key: str, customers: DataFrame, low: int, high
 
 # ---- tickets --------------------------------------------------------------------------
 
+# Tickets per account of each band.
 def ticket_target(band: Column, draw: Column) -> Column:
     """Tickets an account of a band should carry, before scaling to the tickets there are."""
     return (
@@ -165,7 +167,8 @@ def spread_tickets(customers: DataFrame, tickets: DataFrame, seed: int = 42) ->
 
     Targets per account follow its band and are scaled to the tickets there are.
     Rounding the running total of the targets gives every account the floor or the
-    ceiling of its scaled target and hands out every ticket exactly once.  Tickets
+    ceiling of its scaled target and hands out every ticket exactly once; tickets of
+    a tenant without accounts keep what they have.  Tickets
     and accounts are numbered by range partitions, then meet on the number.
     """
     draw = seeded_int(seed, "tickets", F.col("customer_id"))
@@ -196,15 +199,17 @@ def spread_tickets(customers: DataFrame, tickets: DataFrame, seed: int = 42) ->
     urgent = [priority_rank(F.col("ticket_priority")).asc(), F.col("ticket_id").asc()]
     numbered = number_rows(tickets, ["tenant_id"], urgent, "slot")
     # both sides have a row per ticket; the planner would take the unexploded slots for a small side
-    handed = numbered.join(slots.hint("merge"), ["tenant_id", "slot"])
-    return handed.withColumns({
-        "customer_id": F.col("new_id"), "customer_full_name": F.col("new_name"), "source_customer_id": F.col("new_source"),
-    }).select(*tickets.columns)
+    handed = numbered.join(slots.hint("merge"), ["tenant_id", "slot"], "left")
+    # tickets of a tenant without accounts have no slot and stay as they are
+    given = F.col("new_id").isNotNull()
+    new = {"customer_id": "new_id", "customer_full_name": "new_name", "source_customer_id": "new_source"}
+    return handed.withColumns({c: F.when(given, F.col(n)).otherwise(F.col(c)) for c, n in new.items()}).select(*tickets.columns)
 
 
 def rebuild_bridge(tickets: DataFrame, bridge: DataFrame) -> DataFrame:
     """The ticket bridge of the new assignment, in the old column order; unknown columns are blank."""
     number = F.regexp_replace("ticket_id", "T", "").try_cast("bigint")
+    # fixed values: method and confidence
     made = {
         "tenant_id": F.col("tenant_id"),
         "source_ticket_id": number,
@@ -214,7 +219,7 @@ def rebuild_bridge(tickets: DataFrame, bridge: DataFrame) -> DataFrame:
         "customer_full_name": F.col("customer_full_name"),
         "mapping_method": F.lit("risk_redistribution_v2"),
         "mapping_confidence": F.lit(1.0),
-        "mapping_note": F.lit("Reassigned to follow risk score."),
+        "mapping_note": F.lit("spread_tickets: handed out by account risk"),
     }
     return tickets.select(*[made.get(c, F.lit("")).alias(c) for c in bridge.columns])
 

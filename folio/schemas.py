@@ -111,7 +111,7 @@ SPINE_DDL: dict[str, str] = {
 RUNTIME_DDL: dict[str, str] = {
     # one row per thing that happened to a proposed action
     "ledger": """
-        action_id string, customer_id string, event_ts timestamp_ntz,
+        action_id string, customer_id string, customer_full_name string, event_ts timestamp_ntz,
         event_seq bigint, event_type string, action_type string,
         payload_json string, status string, actor string, notes string,
         rationale string, confidence double, error string""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +13,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # lists up to this long are cut in every task before the shuffle (ranking.GROUP_LIMIT)
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.session.timeZone": "UTC",
 }
 
-_own_folder: dict[str, str] = {}
-
-
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
@@ -45,20 +43,9 @@ def local_session(cores: str = "*", name: str = "folio", partitions: int = 8, **
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own; on a
-    cluster a machine-local folder would vanish with the machine, so it is an error.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _own_folder:
-        _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="folio-")
-    return _own_folder[context.applicationId]
+    """The folder the cluster names in ``spark.checkpoint.dir``, or else the warehouse, which all executors share as well."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

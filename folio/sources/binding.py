@@ -290,7 +290,7 @@ class Binding:
             .when(F.col("event_type").isin("purchase", "error"), "decide").otherwise("send")
         )
         return e.select(
-            "tenant_id", tag("A", "user_id").alias("action_id"), "customer_id",
+            "tenant_id", F.expr("concat('A', user_id, '-', event_id % 16)").alias("action_id"), "customer_id", "customer_full_name",
             F.col("ts").alias("event_ts"), F.col("event_id").alias("event_seq"), kind.alias("event_type"),
             F.when(kind == "propose", pick(ACTION_TYPE_CYCLE, "user_id")).alias("action_type"),
             F.expr("""case when event_type not in ('signup','click') then null
@@ -298,7 +298,8 @@ class Binding:
                 when event_id%7=3 then concat('{"to":"user', user_id, '@example.com","subject":"About ', event_id, '"}')
                 when event_id%7=4 then concat('{"to":"nobody","subject":"About ', event_id, '"}')
                 when event_id%7=5 then '{"to":"a@example.com"}' else props end""").alias("payload_json"),
-            F.expr("case event_type when 'purchase' then 'approved' when 'error' then 'rejected' end").alias("status"),
+            F.expr("""case when event_type in ('purchase','error') and event_id%11=0 then 'maybe'
+                when event_type='purchase' then 'approved' when event_type='error' then 'rejected' end""").alias("status"),
             F.when(kind == "decide", tag("U", "event_id")).alias("actor"),
             F.expr("case when event_type in ('purchase','error') and event_id%2=0 then 'checked' end").alias("notes"),
             F.when(kind == "propose", tag("because ", "event_id")).alias("rationale"),

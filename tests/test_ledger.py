@@ -11,13 +11,13 @@ from folio.streaming import live
 
 COLUMNS = (
     "tenant_id string, action_id string, customer_id string, event_ts timestamp_ntz, event_seq bigint, event_type string, action_type string, "
-    "payload_json string, status string, actor string, notes string, rationale string, confidence double, error string"
+    "payload_json string, status string, actor string, notes string, rationale string, confidence double, error string, customer_full_name string"
 )
 
 
 def event(seq, kind, action="A1", payload=None, status=None, error=None, action_type="send_email", tenant="t"):
     at = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=seq // 2)  # two events share an instant
-    return (tenant, action, "C1", at, seq, kind, action_type, payload, status, "u", None, None, 0.5, error)
+    return (tenant, action, "C1", at, seq, kind, action_type, payload, status, "u", None, None, 0.5, error, "Ida Kern")
 
 
 def replay(events):
@@ -86,10 +86,18 @@ def test_email_checks(spark):
 
 
 def test_only_new_requests_are_asked_once(spark):
-    asked = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2), ("z", None)], "q string, n int")
-    done = asked.filter("q = 'y'").select(ledger.content_key("n", "q").alias("content_key"))
-    got = collect(ledger.dedupe_requests(asked, done, ["q", "n"]), "q", "asked")
-    assert got == [("x", 2), ("z", 1)]
+    rows = [("a", "x", 1), ("a", "x", 1), ("a", "y", 2), ("a", "z", None), ("b", "y", 2), ("b", "x", 1)]
+    asked = spark.createDataFrame(rows, "tenant_id string, q string, n int")
+    done = asked.filter("q = 'y' and tenant_id = 'a'").select("tenant_id", ledger.content_key("n", "q").alias("content_key"))
+    got = collect(ledger.dedupe_requests(asked, done, ["q", "n"]), "tenant_id", "q", "asked")
+    assert got == [("a", "x", 2), ("a", "z", 1), ("b", "x", 1), ("b", "y", 1)]
+
+
+def test_only_approvals_and_rejections_decide(spark):
+    events = [event(0, "propose", payload="p"), event(2, "decide", status="maybe"), event(4, "decide"), event(6, "edit", payload="q")]
+    row = ledger.action_state(spark.createDataFrame(events, COLUMNS)).collect()[0]
+    assert (row.status, row.payload_json, row.customer_full_name) == ("pending", "q", "Ida Kern")
+    assert ledger.decisions(spark.createDataFrame(events, COLUMNS)).count() == 0
 
 
 def test_stream_of_several_batches_equals_the_batch(spark, tmp_path):

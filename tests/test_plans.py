@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folio.operators import accounts, activity, ledger, portfolio
-from folio.operators.ranking import number_rows, running_total
+from folio.operators.ranking import GROUP_LIMIT, number_rows, running_total, top_per
 from folio.sources.binding import book
 from pyspark.sql import functions as F
 
@@ -38,6 +38,17 @@ def test_one_shuffle_for_all_last_dates(spark, data_dir):
     assert plan.count("Exchange hashpartitioning") <= 2
 
 
+def test_long_lists_are_cut_before_the_shuffle_or_numbered(spark, data_dir):
+    orders = book(spark, data_dir)["orders"].select("tenant_id", "order_id")
+    plan = plan_of(top_per(orders, ["tenant_id"], [F.col("order_id").asc()], 5000))
+    assert plan.count("WindowGroupLimit") == 2
+    longer = plan_of(top_per(orders, ["tenant_id"], [F.col("order_id").asc()], GROUP_LIMIT + 1))
+    assert "Window" not in longer.split("Scan")[0]
+    few = {tuple(r) for r in top_per(orders, ["tenant_id"], [F.col("order_id").asc()], 7).collect()}
+    many = top_per(orders, ["tenant_id"], [F.col("order_id").asc()], GROUP_LIMIT + 1).filter("rank <= 7").select("tenant_id", "order_id", "rank")
+    assert {tuple(r) for r in many.collect()} == few
+
+
 def test_numbers_and_running_totals_of_a_lopsided_table(spark):
     rows = [("big" if i % 10 else "small", i % 13, i, i % 5) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, k int, id int, w int").repartition(11)
@@ -86,7 +97,7 @@ def test_a_third_of_the_events_on_one_action_is_split(spark):
     none = F.lit(None).cast("string")
     events = spark.range(200_000, numPartitions=6).select(
         F.lit("t").alias("tenant_id"), F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("A"), (F.col("id") % 5000).cast("string"))).alias("action_id"),
-        F.lit("C").alias("customer_id"), F.expr("timestampadd(second, cast(id as int), timestamp_ntz '2024-01-01 00:00:00')").alias("event_ts"),
+        F.lit("C").alias("customer_id"), F.lit("N").alias("customer_full_name"), F.expr("timestampadd(second, cast(id as int), timestamp_ntz '2024-01-01 00:00:00')").alias("event_ts"),
         F.col("id").alias("event_seq"), kind.alias("event_type"), F.lit("add_note").alias("action_type"), F.col("id").cast("string").alias("payload_json"),
         F.lit("approved").alias("status"), F.lit("u").alias("actor"), none.alias("notes"), none.alias("rationale"), F.lit(0.5).alias("confidence"), none.alias("error"))
     for key, value in SMALL_SKEW.items():

@@ -102,13 +102,29 @@ def test_lineage_fills_or_overwrites(spark):
     assert over == {"E1": " A;O1;T2", "E2": " A;O1;T2", "E3": "", "E4": ""}
 
 
-def test_an_overfull_lineage_cell_points_to_the_long_form(spark):
-    notes = frame(spark, [("t", "C", "s", "x", f"O{i}") for i in range(30)], NOTE_COLUMNS)
-    emails = frame(spark, [("t", "C", "s", "x", "E1", None)], EMAIL_COLUMNS)
-    row = repair.backfill_lineage(emails, notes, inline=20).collect()[0]
-    assert (row.source_signal_ids, row.ref_count) == (None, 30)
-    assert repair.backfill_lineage(emails, notes, inline=30).collect()[0].source_signal_ids.count(";") == 29
-    assert repair.lineage_refs(notes).count() == 30
+def test_a_group_of_thousands_of_references_keeps_all(spark):
+    notes = spark.range(4000).selectExpr("'t' tenant_id", "'C' customer_id", "'s' scenario", "'x' topic", "concat('O', id % 3500) source_signal_ids")
+    emails = frame(spark, [("t", "C", "s", "x", "E1", None), ("t", "C", "s", "x", "E2", "O9")], EMAIL_COLUMNS)
+    for row in repair.backfill_lineage(emails, notes, overwrite=True).collect():
+        refs = row.source_signal_ids.split(";")
+        assert row.ref_count == 3500 and refs == sorted(f"O{i}" for i in range(3500))
+    assert repair.email_refs(emails, notes).count() == 7000
+
+
+def test_dates_of_a_tenant_without_orders_stay(spark):
+    orders = conform(frame(spark, [("a", "C", "O1", "2020-01-01")], "tenant_id customer_id order_id order_date"), "orders")
+    events = conform(frame(spark, [("a", "C", "F1", "2020-01-02"), ("b", "C", "F2", "2020-01-03")], "tenant_id customer_id fulfillment_event_id event_date"), "fulfillment_events")
+    tickets = conform(frame(spark, [("b", "C", "T1", None)], "tenant_id customer_id ticket_id date_of_purchase"), "support_tickets")
+    moved = repair.rebase_dates({"orders": orders, "fulfillment_events": events, "support_tickets": tickets}, "2026-05-09")
+    days = dict(collect(moved["fulfillment_events"], "fulfillment_event_id", "event_date"))
+    assert str(days["F2"])[:10] == "2020-01-03" and str(days["F1"])[:10] == "2026-04-10"
+
+
+def test_tickets_of_a_tenant_without_accounts_stay(spark):
+    who = spark.createDataFrame([("a", "C1", "N", 1, 1.0, "High")], "tenant_id string, customer_id string, customer_full_name string, source_customer_id bigint, risk_score double, risk_band string")
+    raw = spark.createDataFrame([(t, "X", f"{t}{i}", "Low") for t in "ab" for i in range(3)], "tenant_id string, customer_id string, ticket_id string, ticket_priority string")
+    out = dict(collect(repair.spread_tickets(who, conform(raw, "support_tickets")), "ticket_id", "customer_id"))
+    assert out == {**{f"a{i}": "C1" for i in range(3)}, **{f"b{i}": "X" for i in range(3)}}
 
 
 def test_volume_follows_the_band(spark):
