@@ -459,7 +459,7 @@ def _cut(rewrite: bool):
             texts = [left[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(kept_at[:-1].tolist(), kept_at[1:].tolist(), strict=True)]
             out = docs.drop_columns(["shard", "text_key"])
             out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            return out.append_column("_folio_removed", pa.array(removed))
+            return out.append_column("removed", pa.array(removed))
         digests = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(kept_at[:-1].tolist(), kept_at[1:].tolist(), strict=True)]
         return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(removed), "n_spans": pa.array(spans_of), "kept_sha256": pa.array(digests, pa.string())})
 
@@ -496,9 +496,14 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     a column, counts what is left.  A document of which nothing is left is dropped.
     """
     ready(docs.sparkSession)
-    rows = _sharded(docs, shard_bytes)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("shard", "text_key").schema) + ", _folio_removed long"
+    # other columns travel under names that cannot clash
+    others = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    rows = _sharded(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(name) for c, name in others.items())), shard_bytes)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = "doc_id long, text string, " + "".join(f"{name} {kinds[name]}, " for name in others.values()) + "removed long"
     cut = rows.groupBy("shard").cogroup(_marks(rows).groupBy("shard")).applyInArrow(_cut(True), schema)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_folio_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.filter("_folio_removed = 0 or text <> ''").select(*docs.columns)
+    cut = cut.filter("removed = 0 or text <> ''")
+    if "n_chars" in others:
+        count = F.when(F.col("removed") > 0, F.char_length("text").cast("long")).otherwise(F.col(others["n_chars"]))
+        cut = cut.withColumn(others["n_chars"], count)
+    return cut.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
