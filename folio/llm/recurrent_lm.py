@@ -26,7 +26,7 @@ from folio.llm.text import FOLDED_VALUES, mix, running_hash, slices, span_hash,
 from folio.llm.training import Adam, fold, sigmoid, softmax
 from folio.session import settle
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Words with outputs of their own, counting the end; words in a class; inputs for all other words.
 SHORTLIST, CLASS_WORDS, TAILS = 1024, 32, 64
 HIDDEN, STEPS, STREAMS, EPOCHS, RATE = 32, 16, 32, 3, 0.004
@@ -266,8 +266,11 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> Network | None:
         return None
     network = Network(vocabulary)
     network.end = int(vocabulary.ranks(np.array([END]))[0])
-    some = docs.filter("learned").select(F.xxhash64("doc_id").alias("_h"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = some.orderBy("_h", "doc_id", "text").limit(SAMPLE_DOCS).collect()
+    learned = docs.filter("learned")
+    # ids first: texts reach the driver only for the sample, whatever the number of tasks
+    chosen = learned.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+    some = learned.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
     hashes, tails, first = text_words(*text_bytes(pa.array([r.text for r in rows], pa.string())))
     hashes, _ = with_ends(hashes, first, END)
     tails, _ = with_ends(tails, first, 0)

@@ -315,7 +315,8 @@ def _encoded(pieces: Pieces, with_ids: bool):
         encoder = UnitEncoder(pieces)
         decoder = Decoder(pieces.values, pieces.size)
         for batch in batches:
-            for low, high in slices(batch.column(1)):
+            # a larger batch is indexed at once: every piece is searched once per index
+            for low, high in slices(batch.column(1), 4 << 20):
                 texts = batch.column(1)[low:high]
                 ids, at = encoder.encode(*_plain(texts))
                 docs = batch.column(0)[low:high]

@@ -37,7 +37,7 @@ from folio.llm.cluster import ready, shard_of, text_total
 from folio.llm.text import POWERS, binary_column, mix, ragged, running_hash, slices, span_hash, text_bytes
 
 SPAN, GRAM = 100, 24
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: Anchors with as many runs in all shards send single strings.
 COMMON_RUNS = 16384
 #: Bytes of strings merged at once in a task, cut between anchors.
