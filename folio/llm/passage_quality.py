@@ -102,6 +102,11 @@ class Bags:
         z = np.add.reduceat(a[:, None] * h, first)
         return {"x": x, "h": h, "v": v, "u": u, "a": a, "z": z, "score": sigmoid((z @ w["out"])[:, 0] + w["out_bias"][0])}
 
+    def scores(self, features: np.ndarray, bag: np.ndarray, bags: int) -> np.ndarray:
+        """Scores in double precision, rounded: the texts that share a batch do not show in them."""
+        wide = Bags({k: v.astype(np.float64) for k, v in self.weights.items()})
+        return np.round(wide.forward(features, bag, bags)["score"], 9)
+
     def gradients(self, features: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         w, f = self.weights, self.forward(features, bag, len(labels))
         d = ((f["score"] - labels) / len(labels)).astype(np.float32)
@@ -167,7 +172,7 @@ def _score(model: Bags | None, keep_from: float):
             for low, high in slices(batch.column(1), 2 << 20):
                 n = high - low
                 rows, bag = passages(*text_bytes(batch.column(1)[low:high]))
-                score = model.forward(rows, bag, n)["score"].astype(float) if model else np.full(n, 0.5)
+                score = model.scores(rows, bag, n) if model else np.full(n, 0.5)
                 columns = [batch.column(0)[low:high], batch.column(2)[low:high].fill_null(False), pa.array(score), pa.array((score >= keep_from).astype(np.int32))]
                 yield pa.record_batch(columns, names=["doc_id", "held_out", "score", "predicted"])
 
@@ -188,7 +193,7 @@ def _keep(model: Bags | None, keep_from: float, text_at: int):
         for batch in batches:
             for low, high in slices(batch.column(text_at), 2 << 20):
                 rows, bag = passages(*text_bytes(batch.column(text_at)[low:high]))
-                score = model.forward(rows, bag, high - low)["score"] if model else np.ones(high - low)
+                score = model.scores(rows, bag, high - low) if model else np.ones(high - low)
                 yield batch.slice(low, high - low).filter(pa.array(score >= keep_from))
 
     return run
