@@ -6,10 +6,11 @@ other words share one further class, inside which a word's probability is its sh
 counts, with one added for every word and for the unknown one.  So the model gives every text a
 probability, and without what the network learned it would equal the smoothed counts.
 
-The network (numpy, truncated backpropagation, state carried from window to window) is trained
-on a bounded sample of training documents; its output biases start from the counts of all.  A
-text is scored whole: its state is carried across windows to its end.  Texts are dealt to
-shards; a shard is sent the counts of the words that it holds.
+The network (numpy, truncated backpropagation, state carried from window to window) learns from
+the whole texts of all training documents; its output biases start from the counts of all.  In
+every pass over them, rounds of shards train side by side from the same weights, which are then
+averaged by tokens.  A text is scored whole: its state is carried across windows to its end.
+Texts are dealt to shards; a shard is sent the counts of the words that it holds.
 
 Rows: a null text is empty and still has its end.  Rows without id are scored, not held out and
 not learned from.  Without training documents every token has probability one.
@@ -17,12 +18,16 @@ not learned from.  Without training documents every token has probability one.
 
 from __future__ import annotations
 
+import copy
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folio.llm.cluster import ready, shard_of, text_total
-from folio.llm.text import FOLDED_VALUES, mix, running_hash, slices, span_hash, text_bytes, words
+from folio.llm.text import FOLDED_VALUES, binary_column, mix, running_hash, slices, span_hash, text_bytes, words
 from folio.llm.training import Adam, fold, sigmoid, softmax
 from folio.session import settle
 
@@ -30,8 +35,8 @@ SHARD_BYTES = 4 << 20
 #: Words with outputs of their own, counting the end; words in a class; inputs for all other words.
 SHORTLIST, CLASS_WORDS, TAILS = 1024, 32, 64
 HIDDEN, STEPS, STREAMS, EPOCHS, RATE = 32, 16, 32, 3, 0.004
-#: Training documents, and bytes of each, that the network sees at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 700, 4000
+#: Shards that train side by side before their weights are averaged, and pieces in which weights are averaged.
+ROUND_SHARDS, PIECES = 64, 16
 WINDOW = 48
 
 #: The end of a text as a word; no word has this hash.
@@ -97,6 +102,19 @@ class Network:
             "words_bias": padded.reshape(c, CLASS_WORDS).astype(np.float32),
         }
 
+    def copy(self) -> Network:
+        other = copy.copy(self)
+        other.weights = {k: v.copy() for k, v in self.weights.items()}
+        return other
+
+    def flat(self) -> np.ndarray:
+        """All weights end to end."""
+        return np.concatenate([v.ravel() for v in self.weights.values()])
+
+    def set_flat(self, values: np.ndarray) -> None:
+        cuts = np.cumsum([v.size for v in self.weights.values()])[:-1]
+        self.weights = {k: part.reshape(v.shape).copy() for (k, v), part in zip(self.weights.items(), np.split(values, cuts), strict=True)}
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """State after the inputs ``x`` (rows of ``input``)."""
         w, s = self.weights, HIDDEN
@@ -137,52 +155,81 @@ def _log_sum(logits: np.ndarray) -> np.ndarray:
     return np.log(np.exp(logits - top).sum(axis=1)) + top[:, 0]
 
 
-def train(network: Network, inputs: np.ndarray, ranks: np.ndarray) -> None:
-    """Truncated backpropagation over a long sequence of texts, cut into parallel streams.
+def deal(length: np.ndarray, streams: int) -> list[list[int]]:
+    """Whole texts, longest first, each to the stream that is shortest so far; longest stream first."""
+    heap = [(0, i) for i in range(min(streams, len(length)))]
+    dealt: list[list[int]] = [[] for _ in heap]
+    for text in np.argsort(-length, kind="stable").tolist():
+        size, i = heap[0]
+        dealt[i].append(text)
+        heapq.heapreplace(heap, (size + int(length[text]), i))
+    return [dealt[i] for _, i in sorted(heap, key=lambda x: (-x[0], x[1]))]
 
-    ``inputs[i]`` is the row of token i; it predicts token i + 1.  State is carried between
-    windows, gradients are not; after the end of a text the state starts anew.
+
+def train(network: Network, inputs: np.ndarray, at: np.ndarray, rate: float) -> None:
+    """One pass of truncated backpropagation over whole texts, dealt to parallel streams.
+
+    ``inputs`` are the rows of all tokens, each text's end included.  State is carried between
+    windows, gradients are not; every text starts anew from the end before it.
     """
-    length = (len(inputs) - 1) // STREAMS
-    if length < 1:
+    streams = deal(np.diff(at), STREAMS)
+    own = [np.concatenate([inputs[at[t] : at[t + 1]] for t in texts]).astype(np.int64) for texts in streams]
+    size = np.array([len(x) for x in own])
+    if not len(size):
         return
-    x = inputs[: length * STREAMS].reshape(STREAMS, length).T
-    y = ranks[1 : length * STREAMS + 1].reshape(STREAMS, length).T
-    ends = ranks[: length * STREAMS].reshape(STREAMS, length).T == network.end
     w, s = network.weights, HIDDEN
-    adam = Adam(w, RATE)
-    for epoch in range(EPOCHS):
-        adam.rate = RATE * (1 - epoch / EPOCHS)
-        h = np.zeros((STREAMS, s), np.float32)
-        for low in range(0, length, STEPS):
-            high = min(low + STEPS, length)
-            kept, states = [], []
-            for t in range(low, high):
-                h = np.where(ends[t][:, None], np.float32(0), h)  # the end's own row starts the next text
-                after, *gates = network.step(x[t], h)
-                kept.append((h, *gates))
-                states.append(after)
-                h = after
-            grads = {k: np.zeros_like(v) for k, v in w.items()}
-            flat, target = np.concatenate(states), y[low:high].reshape(-1)
-            down = _output_gradients(network, flat, target, grads).reshape(high - low, STREAMS, s)
-            back = np.zeros((STREAMS, s), np.float32)
-            for t in reversed(range(high - low)):
-                before, keep, reset, inner, fresh = kept[t]
-                d = down[t] + back
-                d_fresh = d * (1 - keep) * (1 - fresh**2)
-                d_keep = d * (before - fresh) * keep * (1 - keep)
-                d_reset = d_fresh * inner * reset * (1 - reset)
-                d_gate = np.concatenate([d_keep, d_reset, d_fresh], axis=1)
-                d_state = np.concatenate([d_keep, d_reset, d_fresh * reset], axis=1)
-                np.add.at(grads["input"], x[low + t], d_gate)
-                grads["bias"] += d_gate.sum(axis=0)
-                grads["state"] += before.T @ d_state
-                back = d * keep + d_state @ w["state"].T
-                back[ends[low + t]] = 0
-            for g in grads.values():
-                np.clip(g, -1, 1, out=g)
-            adam.step(grads)
+    y = np.zeros((size[0], len(size)), np.int64)
+    for i, column in enumerate(own):
+        y[: len(column), i] = column
+    x = np.vstack([np.full((1, len(size)), network.end, np.int64), y[:-1]])
+    ends = x == network.end
+    known = len(w["input"]) - TAILS
+    active = np.searchsorted(-size, -np.arange(size[0]), "left")  # streams longer than t
+    adam = Adam(w, rate)
+    h = np.zeros((len(size), s), np.float32)
+    for low in range(0, int(size[0]), STEPS):
+        high = min(low + STEPS, int(size[0]))
+        kept, states = [], []
+        for t in range(low, high):
+            n = active[t]
+            h = np.where(ends[t, :n, None], np.float32(0), h[:n])  # the end's own row starts the next text
+            after, *gates = network.step(x[t, :n], h)
+            kept.append((h, *gates))
+            states.append(after)
+            h = after
+        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        target = np.concatenate([y[t, : active[t]] for t in range(low, high)])
+        edges = np.append(0, np.cumsum(active[low:high]))
+        down = _output_gradients(network, np.concatenate(states), np.where(target < known, target, -1), grads)
+        back = np.zeros((active[high - 1], s), np.float32)
+        gates_down, state_down = np.empty((2, len(target), 3 * s), np.float32)
+        state_t = w["state"].T
+        for t in reversed(range(high - low)):
+            before, keep, reset, inner, fresh = kept[t]
+            here = slice(edges[t], edges[t + 1])
+            d = down[here]
+            d[: len(back)] += back  # streams that go on
+            d_fresh = d * (1 - keep)
+            d_keep = d_fresh * keep
+            d_keep *= before - fresh
+            d_fresh *= 1 - fresh * fresh
+            d_inner = d_fresh * reset
+            g, b = gates_down[here], state_down[here]
+            g[:, :s] = b[:, :s] = d_keep
+            g[:, s : 2 * s] = b[:, s : 2 * s] = d_inner * inner * (1 - reset)
+            g[:, 2 * s :], b[:, 2 * s :] = d_fresh, d_inner
+            back = d * keep
+            back += b @ state_t
+            back[ends[low + t, : len(back)]] = 0
+        grads["state"] = np.concatenate([k[0] for k in kept]).T @ state_down
+        rows = np.concatenate([x[t, : active[t]] for t in range(low, high)])
+        by = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.append(True, rows[by][1:] != rows[by][:-1]))
+        grads["input"][rows[by][first]] = np.add.reduceat(gates_down[by], first, axis=0)
+        grads["bias"] += gates_down.sum(axis=0)
+        for g in grads.values():
+            np.clip(g, -1, 1, out=g)
+        adam.step(grads)
 
 
 def _output_gradients(network: Network, states: np.ndarray, ranks: np.ndarray, grads: dict) -> np.ndarray:
@@ -194,14 +241,18 @@ def _output_gradients(network: Network, states: np.ndarray, ranks: np.ndarray, g
     grads["classes"] += states.T @ error
     grads["classes_bias"] += error.sum(axis=0)
     down = error @ w["classes"].T
-    for c in np.unique(cls[cls < network.rest]):
-        rows = np.flatnonzero(cls == c)
-        inner = softmax(states[rows] @ w["words"][c] + w["words_bias"][c])
-        inner[np.arange(len(rows)), ranks[rows] % CLASS_WORDS] -= 1
+    by = np.argsort(cls, kind="stable")
+    edges = np.searchsorted(cls[by], np.arange(network.rest + 1))
+    ordered, place, inner_down = states[by], ranks[by] % CLASS_WORDS, np.zeros_like(down)
+    for c in np.flatnonzero(np.diff(edges)):
+        own = slice(edges[c], edges[c + 1])
+        inner = softmax(ordered[own] @ w["words"][c] + w["words_bias"][c])
+        inner[np.arange(len(inner)), place[own]] -= 1
         inner /= n
-        grads["words"][c] += states[rows].T @ inner
-        grads["words_bias"][c] += inner.sum(axis=0)
-        down[rows] += inner @ w["words"][c].T
+        grads["words"][c] = ordered[own].T @ inner
+        grads["words_bias"][c] = inner.sum(axis=0)
+        inner_down[own] = inner @ w["words"][c].T
+    down[by] += inner_down
     return down
 
 
@@ -256,26 +307,79 @@ def _list_words(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array(np.full(len(name), key[0].as_py(), np.int32)), "word": pa.array(name.view(np.int64)), "n": pa.array(count)})
 
 
-def _rows_of(network: Network, ranks: np.ndarray, tails: np.ndarray, own: int) -> np.ndarray:
+def _rows_of(ranks: np.ndarray, tails: np.ndarray, own: int) -> np.ndarray:
     return np.where(ranks >= 0, ranks, own + tails)
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary) -> Network | None:
-    """The network trained on a bounded sample of the learned documents."""
+def _encode(vocabulary: Vocabulary):
+    """Each learned document as the rows of its tokens (16 bits each), its end included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for low, high in slices(texts):
+                hashes, tails, first = text_words(*text_bytes(texts[low:high]))
+                hashes, at = with_ends(hashes, first, END)
+                tails, _ = with_ends(tails, first, 0)
+                rows = _rows_of(vocabulary.ranks(hashes), tails, len(vocabulary.names)).astype("<u2")
+                yield pa.RecordBatch.from_arrays([batch.column("shard")[low:high], batch.column("doc_id")[low:high], binary_column(rows, at)], ["shard", "doc_id", "tokens"])
+
+    return run
+
+
+def _pack(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+    """A shard's documents as one row, in an order that does not depend on how they arrived."""
+    texts = sorted(zip(docs.column("doc_id").to_pylist(), docs.column("tokens").to_pylist(), strict=True))
+    length = np.array([len(t) // 2 for _, t in texts], "<i8")
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "length": pa.array([length.tobytes()]), "tokens": pa.array([b"".join(t for _, t in texts)])})
+
+
+def _train(network: Network, rate: float):
+    """The weights after each shard's pass, in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, length, tokens in zip(*(batch.column(c).to_pylist() for c in ("shard", "length", "tokens")), strict=True):
+                own = network.copy()
+                at = np.append(0, np.cumsum(np.frombuffer(length, "<i8")))
+                train(own, np.frombuffer(tokens, "<u2"), at, rate)
+                pieces = [p.tobytes() for p in np.array_split(own.flat(), PIECES)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(PIECES, shard, np.int32)), pa.array(np.full(PIECES, at[-1])), pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(pieces)],
+                    ["shard", "n", "piece", "weights"])
+
+    return run
+
+
+def _average(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+    """One piece of the weights of all shards, averaged by their tokens."""
+    parts = parts.sort_by("shard")
+    n = parts.column("n").to_numpy()
+    total = sum(np.frombuffer(p, np.float32).astype(np.float64) * k for p, k in zip(parts.column("weights").to_pylist(), n, strict=True))
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([(total / n.sum()).astype(np.float32).tobytes()])})
+
+
+def learned_shards(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """One row per shard with the whole texts of its learned documents: shard, length, tokens."""
+    coded = docs.filter("learned").select("shard", "doc_id", "text").mapInArrow(_encode(vocabulary), "shard int, doc_id long, tokens binary")
+    return coded.groupBy("shard").applyInArrow(_pack, "shard int, length binary, tokens binary")
+
+
+def fit(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> Network | None:
+    """The network trained on the whole texts of all learned documents."""
     if not vocabulary.total:
         return None
     network = Network(vocabulary)
     network.end = int(vocabulary.ranks(np.array([END]))[0])
-    learned = docs.filter("learned")
-    # ids first: texts reach the driver only for the sample, whatever the number of tasks
-    chosen = learned.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    some = learned.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
-    hashes, tails, first = text_words(*text_bytes(pa.array([r.text for r in rows], pa.string())))
-    hashes, _ = with_ends(hashes, first, END)
-    tails, _ = with_ends(tails, first, 0)
-    ranks = vocabulary.ranks(hashes)
-    train(network, _rows_of(network, ranks, tails, len(vocabulary.names)), ranks)
+    rounds = -(-shards // ROUND_SHARDS)
+    packed = settle(learned_shards(docs, vocabulary), "learned")
+    for epoch in range(EPOCHS):
+        for r in range(rounds):
+            own = packed.filter(F.col("shard") % rounds == r).repartitionById(min(shards, ROUND_SHARDS), F.floor(F.col("shard") / rounds).cast("int"))
+            trained = own.mapInArrow(_train(network, RATE * (1 - epoch / EPOCHS)), "shard int, n long, piece int, weights binary")
+            pieces = trained.groupBy("piece").applyInArrow(_average, "piece int, weights binary").collect()
+            if pieces:  # a round's shards may hold no learned document
+                network.set_flat(np.concatenate([np.frombuffer(p.weights, np.float32) for p in sorted(pieces, key=lambda p: p.piece)]))
     return network
 
 
@@ -302,7 +406,7 @@ def _score(network: Network | None, vocabulary: Vocabulary, end_count: int):
         if network:
             ranks = vocabulary.ranks(hashes)
             inside = np.where(ranks >= 0, 0.0, logs - np.log(vocabulary.rest()))
-            whole = score_texts(network, _rows_of(network, ranks, tails, len(vocabulary.names)), ranks, at)
+            whole = score_texts(network, _rows_of(ranks, tails, len(vocabulary.names)), ranks, at)
             score = (whole + np.bincount(text, inside, len(length))) / np.log(10)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(length),
@@ -319,7 +423,8 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, shard_bytes:
     held_out = fold("doc_id", folds) == held
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"held_out": F.coalesce(held_out, F.lit(False)), "learned": F.coalesce(~held_out, F.lit(False))})
-    rows = rows.withColumn("shard", shard_of(max(1, -(-text_total(docs) // shard_bytes)), "doc_id", "text"))
+    shards = max(1, -(-text_total(docs) // shard_bytes))
+    rows = rows.withColumn("shard", shard_of(shards, "doc_id", "text"))
     listed = rows.groupBy("shard").applyInArrow(_list_words, "shard int, word long, n long")
     counts = listed.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shard")).filter("n > 0")
     counts = settle(counts, "counts")
@@ -329,6 +434,6 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, shard_bytes:
     both = [(r.n, np.int64(r.word).astype(np.uint64)) for r in frequent] + ([(ends, END)] if ends else [])
     both.sort(key=lambda x: (-x[0], int(x[1])))
     vocabulary = Vocabulary(found[0] + ends, found[1] + bool(ends), np.array([w for _, w in both], np.uint64), np.array([n for n, _ in both], np.int64))
-    network = fit(rows, vocabulary)
+    network = fit(rows, vocabulary, shards)
     wanted = counts.select(F.explode("shard").alias("shard"), "word", "n")
     return rows.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_score(network, vocabulary, ends), _RESULT)
