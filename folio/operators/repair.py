@@ -248,20 +248,32 @@ def repair_log(before: Tables, after: Tables, as_of: str) -> DataFrame:
         entries = [F.struct(F.lit(m).alias("metric"), v.cast("bigint").alias("value")) for m, v in values.items()]
         return df.select("tenant_id", F.lit(step).alias("step"), F.explode(F.array(*entries)).alias("e")).select("tenant_id", "step", "e.*")
 
-    outcomes, emails = after["review_outcomes"], after["customer_email_logs"]
+    outcomes, tickets = after["review_outcomes"], after["support_tickets"]
     by_status = outcomes.groupBy("tenant_id").agg(
         F.count_if(F.col("outcome_status") == "Pending").alias("p"), F.count_if(F.col("outcome_date").isNotNull()).alias("d")
     )
-    with_refs = emails.groupBy("tenant_id").agg(F.count_if(~blank(F.col("source_signal_ids"))).alias("r"), F.count("*").alias("n"))
-    loaded = after["support_tickets"].select(*ACCOUNT).distinct().withColumn("has", F.lit(1))
-    idle = after["customers"].select(*ACCOUNT).join(loaded, ACCOUNT, "left").groupBy("tenant_id").agg(F.count_if(F.col("has").isNull()).alias("z"))
+    # all emails, before the volume sample
+    emails = before["customer_email_logs"]
+    had_refs = emails.groupBy("tenant_id").agg(F.count_if(~blank(F.col("source_signal_ids"))).alias("r"))
+    filled = backfill_lineage(emails, before["customer_notes"], overwrite=True)
+    with_refs = filled.groupBy("tenant_id").agg(F.count_if(~blank(F.col("source_signal_ids"))).alias("r"), F.count("*").alias("n"))
+    dropped = [c for c in BROKEN_TICKET_COLUMNS if c in before["support_tickets"].columns and c not in tickets.columns]
+    loads = tickets.groupBy(*ACCOUNT).agg(F.count("*").alias("load"))
+    loads = after["customers"].select(*ACCOUNT).join(loads, ACCOUNT, "left").withColumn("load", F.coalesce("load", F.lit(0)))
+    idle = loads.groupBy("tenant_id").agg(F.count_if(F.col("load") == 0).alias("z"))
+    spread = loads.filter("load > 0").groupBy("tenant_id", "load").agg(F.count("*").alias("value"))
     parts = [
         lines(day_shift(before["orders"], "order_date", as_of, ORDER_GAP_DAYS), "dates", orders_shift_days=F.col("shift")),
         lines(day_shift(before["support_tickets"], "date_of_purchase", as_of, TICKET_GAP_DAYS), "dates", tickets_shift_days=F.col("shift")),
         lines(by_status, "outcomes", pending=F.col("p"), dated=F.col("d")),
+        lines(had_refs, "lineage", emails_with_refs_before=F.col("r")),
         lines(with_refs, "lineage", emails_with_refs=F.col("r"), emails=F.col("n")),
         lines(idle, "tickets", accounts_without_tickets=F.col("z")),
+        spread.select("tenant_id", F.lit("tickets").alias("step"), F.format_string("accounts_with_%d_tickets", "load").alias("metric"), "value"),
     ]
+    if dropped:
+        tenants = before["support_tickets"].select("tenant_id").distinct()
+        parts.append(lines(tenants, "columns", **{f"dropped_{c}": F.lit(1) for c in dropped}))
     for name in ("customer_notes", "customer_email_logs", "support_tickets"):
         for label, tables in (("before", before), ("after", after)):
             counted = tables[name].groupBy("tenant_id").agg(F.count("*").alias("n"))
