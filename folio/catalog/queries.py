@@ -473,8 +473,7 @@ def audit_columns(b: Book) -> DataFrame:
 
 @query
 def audit_pii_patterns(b: Book) -> DataFrame:
-    texts = {"customer_notes": ["note_text"], "customer_email_logs": ["body"], "customers": ["customer_email", "customer_full_name"]}
-    return quality.audit_pii_patterns({t: b[t].select(*cols) for t, cols in texts.items()})
+    return quality.audit_pii_patterns(b.spine())
 
 
 @query
