@@ -612,17 +612,18 @@ def label_cases(b: Book) -> DataFrame:
 
 @query
 def redact_notes(b: Book) -> DataFrame:
-    out = evidence.redact_columns(b["customer_notes"], ["note_text"])
-    return out.select("tenant_id", "note_id", "note_text")
+    """Every text of the records that enter a bundle, without tags and the account's name, one row per cell."""
+    return evidence.redact_feeds(b)
 
 
 @query
 def leak_check(b: Book) -> DataFrame:
-    """Leaking notes per tag before redaction and after it (no rows after)."""
-    notes = b["customer_notes"].select("note_id", "customer_full_name", "note_text")
-    clean = evidence.redact_columns(notes, ["note_text"])
-    both = notes.select(F.lit("raw").alias("stage"), "note_text").unionByName(clean.select(F.lit("redacted").alias("stage"), "note_text"))
-    return evidence.leak_check(both, ["note_text"]).groupBy("stage", "leak").agg(F.count("*").alias("rows"))
+    """Leaking bundles per tag or field before redaction and after it (no rows after)."""
+    bundle = evidence.evidence_bundle(b)
+    raw = evidence.leak_check(bundle, ["customer", "prior_reviews", *evidence.BUNDLE_FEEDS.values()])
+    blind = evidence.leak_check(evidence.blind_bundle(bundle), evidence.BLIND_FIELDS)
+    both = raw.select(F.lit("raw").alias("stage"), "leak").unionByName(blind.select(F.lit("redacted").alias("stage"), "leak"))
+    return both.groupBy("stage", "leak").agg(F.count("*").alias("rows"))
 
 
 # ---- scoring --------------------------------------------------------------------------------------

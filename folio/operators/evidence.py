@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
@@ -101,6 +102,20 @@ def redact_columns(df: DataFrame, columns: list[str], name: str | None = "custom
     return df.withColumns({c: redact(F.col(c), who) for c in columns})
 
 
+def redact_feeds(tables: Tables) -> DataFrame:
+    """Every text column of the records of a bundle's feeds, redacted, in long form."""
+    names = tables["customers"].select(*ACCOUNT, F.col("customer_full_name").alias("_name"))
+    parts = []
+    for feed in BUNDLE_FEEDS:
+        df = tables[feed].join(names, ACCOUNT, "left")
+        name = F.coalesce("customer_full_name", "_name") if "customer_full_name" in df.columns else F.col("_name")
+        texts = [f.name for f in tables[feed].select(*RECORD_COLUMNS[feed]).schema if isinstance(f.dataType, StringType) and f.name not in BLIND_DROP_FIELDS]
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), redact(F.col(c), name).alias("text")) for c in texts])
+        record = F.col(PRIMARY_KEY[feed]).cast("string").alias("record_id")
+        parts.append(df.select(F.lit(feed).alias("table_name"), "tenant_id", record, F.explode(cells).alias("e")).select("table_name", "tenant_id", "record_id", "e.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _blind_record(record: Column, schema: StructType, name: Column) -> Column:
     fields = []
     for f in schema:
