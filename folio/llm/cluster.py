@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio.session import tune
 
+#: Bytes of a batch of rows sent to Python, about.
+BATCH_BYTES = 64 << 20
+
 
 def ready(spark: SparkSession) -> SparkSession:
     """Tune the session and have this package's functions sent with their tasks, installed on the executors or not."""
     cloudpickle.register_pickle_by_value(folio.llm)
+    # very long texts: a batch that goes to Python is bounded by bytes, not only by rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return tune(spark)
 
 
