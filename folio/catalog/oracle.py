@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql.types import StringType
+
 from folio.catalog.oracle_spine import with_views
+from folio.functions.columns import BLIND_DROP_FIELDS, LEAKY_FIELDS
+from folio.schemas import RECORD_COLUMNS, declared
 
 CARD = "tenant_id, customer_id, customer_full_name, risk_score, risk_band, total_sales"
 RISK = "risk_score desc nulls last, customer_id"
@@ -59,7 +63,7 @@ union all select tenant_id, customer_id, concat('r:',review_id), cast(reviewed_a
 
 ALL_TABLES = {
     "customers": "s_customers", "customer_bridge": "s_people", "customer_contacts": "s_contacts", "customer_adjustments": "s_adjustments",
-    "customer_email_logs": "s_emails", "customer_notes": "s_notes", "customer_review_logs": "s_reviews", "customer_support_bridge": "s_tickets",
+    "customer_email_logs": "s_emails", "customer_notes": "s_notes", "customer_review_logs": "s_reviews", "customer_support_bridge": "s_support_bridge",
     "engagement_events": "s_engage", "fulfillment_events": "s_fulfil", "order_lines": "s_order_lines", "orders": "s_orders",
     "review_outcomes": "s_outcomes", "support_tickets": "s_tickets",
 }
@@ -215,6 +219,83 @@ def _label_report() -> str:
     return " union all ".join(parts)
 
 
+def whole(table: str) -> str:
+    """A table with all its declared columns; those that the source does not fill are null."""
+    kinds = {"string": "varchar", "timestamp_ntz": "timestamp"}
+    empty = ", ".join(f"cast(null as {kinds.get(f.dataType.simpleString(), f.dataType.simpleString())}) {f.name}" for f in declared(table))
+    return f"(select {empty} where false union all by name select * from {ALL_TABLES[table]})"
+
+
+def text_columns(table: str, columns: tuple[str, ...] = ()) -> list[str]:
+    """The declared text columns, or those of them that are asked for."""
+    texts = ["tenant_id", *(f.name for f in declared(table) if isinstance(f.dataType, StringType))]
+    return [c for c in columns or texts if c in texts]
+
+
+def _columns() -> str:
+    parts = []
+    for t in ALL_TABLES:
+        names = ["tenant_id", *(f.name for f in declared(t))]
+        entries = ", ".join(f"{{'position': {i}, 'column_name': '{c}', 'filled_rows': count({c})}}" for i, c in enumerate(names, start=1))
+        parts.append(f"select '{t}' table_name, x.position \"position\", x.column_name, x.filled_rows from (select unnest([{entries}]) x from {whole(t)} w) c")
+    return " union all ".join(parts)
+
+
+def _patterns() -> str:
+    parts = []
+    for t in ALL_TABLES:
+        entries = ", ".join(
+            f"{{'c': '{c}', 'e': count(*) filter (regexp_matches({c},'{EMAIL}')), 'p': count(*) filter (regexp_matches({c},'{PHONE}'))}}" for c in text_columns(t))
+        parts.append(f"select '{t}' table_name, x.c column_name, x.e email_cells, x.p phone_cells from (select unnest([{entries}]) x from {whole(t)} w) c")
+    return " union all ".join(parts)
+
+
+# The feeds of a bundle: table, name in s_recent5, key.
+FEEDS = (
+    ("orders", "orders", "order_id"), ("support_tickets", "tickets", "ticket_id"), ("customer_notes", "notes", "note_id"),
+    ("customer_email_logs", "emails", "email_id"), ("fulfillment_events", "fulfil", "fulfillment_event_id"),
+)
+
+
+def _redacted_cells() -> str:
+    parts = []
+    for t, _, key in FEEDS:
+        texts = [c for c in text_columns(t, RECORD_COLUMNS[t]) if c not in BLIND_DROP_FIELDS]
+        cells = ", ".join(f"{{'column_name': '{c}', 'text': {redacted('w.' + c, 'c.customer_full_name')}}}" for c in texts)
+        parts.append(
+            f"select '{t}' table_name, tenant_id, record_id, x.column_name, x.text \"text\" from (select w.tenant_id, w.{key} record_id, unnest([{cells}]) x "
+            f"from {whole(t)} w join s_customers c on c.tenant_id=w.tenant_id and c.customer_id=w.customer_id) f")
+    return " union all ".join(parts)
+
+
+def _leaks() -> str:
+    """Accounts whose bundle shows a tag in any text, or a decision or notes of a prior review; and the same after redaction."""
+    own = [c for c in text_columns("customers", RECORD_COLUMNS["customers"]) if c not in LEAKY_FIELDS]
+    reviews = "(select *, row_number() over (partition by tenant_id, customer_id order by reviewed_at desc nulls last, review_id) rn from s_reviews)"
+
+    def cells(blind: bool) -> str:
+        def listed(columns: list[str], prefix: str) -> str:
+            return ", ".join(redacted(prefix + c, "c.customer_full_name") if blind else prefix + c for c in columns if not blind or c not in BLIND_DROP_FIELDS)
+
+        parts = [f"select c.tenant_id, c.customer_id, unnest([{listed(own, 'c.')}]) txt from {whole('customers')} c"]
+        if not blind:
+            parts.append(f"select tenant_id, customer_id, unnest([scenario, topic, human_decision, review_notes]) from {reviews} r where rn<=5")
+        for t, feed, key in FEEDS:
+            parts.append(
+                f"select c.tenant_id, c.customer_id, unnest([{listed(text_columns(t, RECORD_COLUMNS[t]), 'w.')}]) from s_recent5 r "
+                f"join {whole(t)} w on r.feed='{feed}' and r.rn<=5 and w.tenant_id=r.tenant_id and w.{key}=r.id "
+                "join s_customers c on c.tenant_id=r.tenant_id and c.customer_id=r.customer_id")
+        return " union all ".join(parts)
+
+    tags = ", ".join(f"('{t}')" for t in TAGS)
+    stages = [
+        f"select '{stage}' stage, tag leak, tenant_id, customer_id from ({cells(blind)}) x join (values {tags}) v(tag) on contains(lower(txt), tag)"
+        for stage, blind in (("raw", False), ("redacted", True))
+    ]
+    stages.append(f"select 'raw', 'prior review decision or notes', tenant_id, customer_id from {reviews} r where rn<=5 and (human_decision is not null or review_notes is not null)")
+    return f"select stage, leak, count(distinct (tenant_id, customer_id)) \"rows\" from ({' union all '.join(stages)}) y group by all"
+
+
 def _tone_rows() -> str:
     return " union all ".join(
         f"""select tenant_id, '{m}' metric, round(cast({v} as double),4) "value", case when {v}{good} then 'good' when {v}{okay} then 'okay' else 'warn' end tone from ({KPIS}) k"""
@@ -235,9 +316,11 @@ def _repair_log() -> str:
         line("dates", "tickets_shift_days", "select tenant_id, date '2026-05-02'-max(date_of_purchase) v from s_tickets group by all"),
         line("outcomes", "pending", f"select tenant_id, count(*) filter ({pending} or outcome_status='Pending') v from s_outcomes group by all"),
         line("outcomes", "dated", f"select tenant_id, count(*) filter (not ({pending})) v from s_outcomes group by all"),
-        line("lineage", "emails_with_refs", f"select tenant_id, count(*) filter (trim(source_signal_ids)<>'') v from ({emails}) e group by all"),
-        line("lineage", "emails", f"select tenant_id, count(*) v from ({emails}) e group by all"),
+        line("lineage", "emails_with_refs_before", "select tenant_id, count(*) filter (trim(coalesce(source_signal_ids,''))<>'') v from s_emails group by all"),
+        line("lineage", "emails_with_refs", f"select tenant_id, count(*) filter (trim(source_signal_ids)<>'') v from ({lineage(False)}) e group by all"),
+        line("lineage", "emails", f"select tenant_id, count(*) v from ({lineage(False)}) e group by all"),
         line("tickets", "accounts_without_tickets", "select c.tenant_id, count(*) filter (s.customer_id is null) v from s_customers c left join (select distinct tenant_id, customer_id from s_spread) s using (tenant_id, customer_id) group by all"),
+        "select tenant_id, 'tickets' step, concat('accounts_with_',n,'_tickets') metric, count(*) \"value\" from (select tenant_id, customer_id, count(*) n from s_spread group by all) z group by all",
         line("customer_notes", "rows_before", "select tenant_id, count(*) v from s_notes group by all"),
         line("customer_notes", "rows_after", f"select tenant_id, count(*) v from ({notes}) e group by all"),
         line("customer_email_logs", "rows_before", "select tenant_id, count(*) v from s_emails group by all"),
@@ -363,9 +446,8 @@ select r.table_name, r."rows", rows_with_refs, coalesce(refs,0) refs, coalesce(r
 from (select table_name, count(*) "rows", count(*) filter (trim(coalesce(s,''))<>'') rows_with_refs from cited group by all) r
 left join (select table_name, count(*) refs, count(*) filter (k.id is not null) resolved from (select table_name, tenant_id, unnest(string_split(replace(s,' ',''),';')) ref from cited) c
   left join known k on k.tenant_id=c.tenant_id and k.id=c.ref where ref<>'' group by all) x using (table_name)""",
-        "audit_pii_patterns": " union all ".join(
-            f"select '{t}' table_name, '{c}' column_name, count(*) filter (regexp_matches({c},'{EMAIL}')) email_cells, count(*) filter (regexp_matches({c},'{PHONE}')) phone_cells from {ALL_TABLES[t]}"
-            for t, c in (("customer_notes", "note_text"), ("customer_email_logs", "body"), ("customers", "customer_email"), ("customers", "customer_full_name"))),
+        "audit_pii_patterns": _patterns(),
+        "audit_columns": _columns(),
         "audit_sample": """
 select tenant_id, customer_id, customer_full_name, customer_segment, total_sales, late_delivery_rate,
   (select count(*) from s_emails e where e.customer_id=c.customer_id) customer_email_logs, (select count(*) from s_notes n where n.customer_id=c.customer_id) customer_notes,
@@ -415,10 +497,8 @@ from s_sample20 left join (select r.tenant_id, r.customer_id, count(*) filter (f
     count(*) filter (feed='emails') e, count(*) filter (feed='fulfil') f,
     string_agg({redacted('note_text', 'customer_full_name')}, '|' order by rn) filter (feed='notes') note_texts
   from s_recent5 r left join s_notes s on feed='notes' and s.note_id=r.id where rn<=5 group by all) b using (tenant_id, customer_id)""",
-        "redact_notes": f"select tenant_id, note_id, {redacted('note_text', 'customer_full_name')} note_text from s_notes",
-        "leak_check": " union all ".join(
-            f"select * from (select '{stage}' stage, '{tag}' leak, count(*) \"rows\" from s_notes where contains(lower({text}),'{tag}')) x where \"rows\">0"
-            for stage, text in (("raw", "note_text"), ("redacted", redacted("note_text", "customer_full_name"))) for tag in TAGS),
+        "redact_notes": _redacted_cells(),
+        "leak_check": _leaks(),
         "score_predictions": "select * replace (round(citation_validity,6) as citation_validity) from (select *, case when cited_count>0 then valid_citations/cited_count else 1.0 end citation_validity from s_scored) x",
         "eval_headline": """
 select n, correct, parse_errors, agreed, no_outcome_data, model_vindicated, human_right_over, under_called, human_right_under, n-correct-no_outcome_data scorable_disagreements,

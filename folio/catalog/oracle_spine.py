@@ -10,18 +10,19 @@ VIEWS: dict[str, str] = {
 select c_custkey k, concat('t',cast(n_regionkey as varchar)) tenant_id, concat('C',cast(c_custkey as varchar)) customer_id,
   concat(split_part('Mary,Pat,Ana,Lee,Omar,Ines,Kofi',',',cast(c_custkey%7+1 as int)),' ',
     split_part('Smith,Stone,Cruz,Okoro,Smithson,Lind,Yu,Park,Diaz,Moss,Hale',',',cast(c_custkey%11+1 as int))) customer_full_name,
-  lower(concat(c_name,'@example.com')) customer_email, c_mktsegment customer_segment, n_name customer_country, c_acctbal
+  lower(concat(c_name,'@example.com')) customer_email, c_mktsegment customer_segment, n_name customer_country, c_acctbal, c_custkey source_customer_id, 'key' mapping_method
 from customer join nation on c_nationkey=n_nationkey""",
     "s_line": """
 select l_orderkey, cast(sum(cast(round(l_extendedprice*(1-l_discount),4) as decimal(18,4))) as double) order_total,
   cast(sum(cast(round(l_extendedprice*(l_tax-l_discount),4) as decimal(18,4))) as double) order_profit,
   max(cast(l_shipdate as date)) shipping_date,
-  case when 2*sum(case when l_shipdate>o_orderdate then 1 else 0 end)>count(*) then 1 else 0 end late
+  case when 2*sum(case when l_shipdate>o_orderdate then 1 else 0 end)>count(*) then 1 else 0 end late, count(*) order_item_count, cast(sum(l_quantity) as int) order_quantity
 from lineitem join orders on l_orderkey=o_orderkey group by l_orderkey""",
     "s_orders": """
 select tenant_id, concat('O',cast(o_orderkey as varchar)) order_id, customer_id, cast(o_orderdate as date) order_date, shipping_date,
   o_orderstatus order_status, case when late=1 then 'Late delivery' when late=0 then 'Shipping on time' end delivery_status,
-  late late_delivery_risk, o_totalprice order_sales, order_profit, order_total, case when late=1 then 'Late' end issue_flag
+  late late_delivery_risk, o_totalprice order_sales, order_profit, order_total, case when late=1 then 'Late' end issue_flag,
+  o_orderkey source_order_id, k source_customer_id, order_item_count, order_quantity
 from orders join s_people on o_custkey=k left join s_line on l_orderkey=o_orderkey""",
     "s_tickets": """
 select tenant_id, concat('T',cast(event_id as varchar)) ticket_id, event_id source_ticket_id, customer_id, customer_full_name, k source_customer_id,
@@ -29,28 +30,30 @@ select tenant_id, concat('T',cast(event_id as varchar)) ticket_id, event_id sour
   case when event_id%2=0 then concat('Case ',event_id) end ticket_subject, props ticket_description,
   case when event_id%11=0 then null else split_part('Open,Closed,Pending',',',cast(event_id%3+1 as int)) end ticket_status,
   split_part('Critical,High,Medium,Low',',',cast(event_id%4+1 as int)) ticket_priority,
-  case when event_id%5=0 then null else split_part('Negative,Neutral,Positive,Frustrated,Dissatisfied,Unresolved,good',',',cast(event_id%7+1 as int)) end customer_sentiment
+  case when event_id%5=0 then null else split_part('Negative,Neutral,Positive,Frustrated,Dissatisfied,Unresolved,good',',',cast(event_id%7+1 as int)) end customer_sentiment,
+  value resolution_time_hours
 from events join s_people on user_id=k where event_type='error'""",
+    "s_support_bridge": "select *, 'user' mapping_method, 1.0 mapping_confidence from s_tickets",
     "s_fulfil": """
-select tenant_id, concat('F',cast(event_id as varchar)) fulfillment_event_id, customer_id, cast(ts as date) event_date,
+select tenant_id, k source_customer_id, concat('F',cast(event_id as varchar)) fulfillment_event_id, customer_id, cast(ts as date) event_date,
   split_part('carrier_delay,cancellation_review',',',cast(event_id%2+1 as int)) event_type,
   split_part('High,Medium,Critical',',',cast(event_id%3+1 as int)) severity, case when event_id%3=0 then 'weather' end root_cause,
   case when event_id%13=0 then null else split_part('Open,Resolved,Closed,Unresolved',',',cast(event_id%4+1 as int)) end resolution_status
 from events join s_people on user_id=k where event_type='purchase'""",
     "s_engage": """
-select tenant_id, concat('G',cast(event_id as varchar)) engagement_id, customer_id, cast(ts as date) event_date, event_type,
+select tenant_id, k source_customer_id, customer_full_name, concat('G',cast(event_id as varchar)) engagement_id, customer_id, cast(ts as date) event_date, event_type,
   case when event_id%4<>0 then concat('Campaign ',event_id%9) end campaign, split_part('web,email',',',cast(event_id%2+1 as int)) channel,
   value engagement_score
 from events join s_people on user_id=k where event_type in ('view','click','signup')""",
     "s_emails": """
-select tenant_id, concat('E',cast(conv_id as varchar),'-',cast(turn as varchar)) email_id, concat('TH',cast(conv_id as varchar)) thread_id,
+select tenant_id, k source_customer_id, concat('E',cast(conv_id as varchar),'-',cast(turn as varchar)) email_id, concat('TH',cast(conv_id as varchar)) thread_id,
   customer_id, customer_full_name, turn message_sequence, role direction, text body, case when turn=0 then concat('Thread ',conv_id) end subject,
   split_part('late_delivery_frustration,healthy_repeat_buyer',',',cast(conv_id%2+1 as int)) scenario, split_part('en,fr',',',cast(conv_id%2+1 as int)) topic,
   case when (conv_id+turn)%6=0 then null else split_part('Concerned,Neutral,Positive,Stable,Urgent',',',cast((conv_id+turn)%5+1 as int)) end sentiment_hint,
   date '2024-01-01' + cast(conv_id%30 as int) "date", case when conv_id%4=0 then concat('O',conv_id) end source_signal_ids
 from conversations join s_people on conv_id=k""",
     "s_notes": """
-select tenant_id, concat('N',cast(doc_id as varchar)) note_id, customer_id, customer_full_name,
+select tenant_id, k source_customer_id, concat('N',cast(doc_id as varchar)) note_id, customer_id, customer_full_name,
   split_part('late_delivery_frustration,escalation_retention_case,healthy_repeat_buyer',',',cast(k%3+1 as int)) scenario,
   split_part('en,fr',',',cast(doc_id%2+1 as int)) topic, date '2024-01-01' + cast(doc_id%30 as int) note_date,
   case when doc_id%3<>0 then concat('Agent ',doc_id%5) end author,
@@ -58,7 +61,7 @@ select tenant_id, concat('N',cast(doc_id as varchar)) note_id, customer_id, cust
   case when doc_id%9<>0 then concat('O',doc_id,'; T',doc_id*3,';') end source_signal_ids
 from documents join s_people on doc_id//4=k""",
     "s_reviews": """
-select tenant_id, concat('R',cast(doc_id as varchar)) review_id, doc_id, customer_id, customer_full_name,
+select tenant_id, k source_customer_id, concat('R',cast(doc_id as varchar)) review_id, doc_id, customer_id, customer_full_name,
   case when quality=1 then 'Monitor' when toxic=1 then 'Escalate' else 'Stabilize' end human_decision,
   cast(date '2024-01-01' + cast(doc_id%28 as int) as timestamp) reviewed_at,
   split_part('late_delivery_frustration,escalation_retention_case,healthy_repeat_buyer',',',cast(k%3+1 as int)) scenario,
@@ -66,18 +69,22 @@ select tenant_id, concat('R',cast(doc_id as varchar)) review_id, doc_id, custome
   concat('Review of ',customer_full_name) review_notes
 from labels join s_people on doc_id//4=k""",
     "s_outcomes": """
-select tenant_id, concat('U',cast(doc_id as varchar)) outcome_id, concat('R',cast(doc_id as varchar)) review_id, customer_id,
+select tenant_id, k source_customer_id, customer_full_name, concat('U',cast(doc_id as varchar)) outcome_id, concat('R',cast(doc_id as varchar)) review_id, customer_id,
   date '2024-02-01' + cast(doc_id%20 as int) outcome_date, case when doc_id%5=0 then 'Pending' else 'Completed' end outcome_status,
   case when doc_id%11<>0 then toxic=1 end follow_up_required
 from labels join s_people on doc_id//4=k where doc_id%7<>0""",
     "s_order_lines": """
-select tenant_id, concat('L',l_orderkey,'-',l_linenumber) order_line_id, customer_id
-from lineitem join orders on l_orderkey=o_orderkey join s_people on o_custkey=k""",
+select tenant_id, concat('L',l_orderkey,'-',l_linenumber) order_line_id, customer_id, concat('O',l_orderkey) order_id, l_orderkey source_order_id,
+  k source_customer_id, l_partkey product_card_id, p_name product_name, p_type category_name, l_quantity quantity, p_retailprice product_price,
+  l_extendedprice sales, l_discount discount_rate
+from lineitem join orders on l_orderkey=o_orderkey join s_people on o_custkey=k left join part on p_partkey=l_partkey""",
     "s_adjustments": """
-select tenant_id, concat('J',l_orderkey,'-',l_linenumber) adjustment_id, customer_id, cast(l_shipdate as date) created_date
+select tenant_id, concat('J',l_orderkey,'-',l_linenumber) adjustment_id, customer_id, cast(l_shipdate as date) created_date,
+  k source_customer_id, customer_full_name, 'return' adjustment_type, l_extendedprice amount
 from lineitem join orders on l_orderkey=o_orderkey join s_people on o_custkey=k where l_returnflag='R'""",
     "s_contacts": """
-select coalesce(tenant_id,'t0') tenant_id, concat('K',s_suppkey) contact_id, concat('C',s_suppkey*20) customer_id, s_suppkey%4=0 synthetic_flag
+select coalesce(tenant_id,'t0') tenant_id, concat('K',s_suppkey) contact_id, concat('C',s_suppkey*20) customer_id, s_suppkey%4=0 synthetic_flag,
+  customer_full_name, s_name contact_full_name, concat(lower(s_name),'@example.com') contact_email
 from supplier left join s_people on s_suppkey*20=k""",
     "s_ledger": """
 select tenant_id, concat('A',user_id,'-',event_id%16) action_id, customer_id, customer_full_name, ts event_ts, event_id event_seq,
@@ -120,7 +127,7 @@ select *, 100-2*risk_score health_score,
 from (select *, case when k%97=0 then null else 1.0e0*floor(60*coalesce(late_delivery_rate,0)
     + 25*(cast(open_support_ticket_count as double)/(1+open_support_ticket_count)) + case when c_acctbal<0 then 15 else 0 end) end risk_score
   from (select c.*, coalesce(n_orders,0) total_orders, case when k%50=0 then null else sales end total_sales, profit total_profit,
-      coalesce(late_n,0)/cast(n_orders as double) late_delivery_rate, coalesce(t.n,0) support_ticket_count, coalesce(open_n,0) open_support_ticket_count
+      coalesce(late_n,0) late_delivery_count, coalesce(late_n,0)/cast(n_orders as double) late_delivery_rate, coalesce(t.n,0) support_ticket_count, coalesce(open_n,0) open_support_ticket_count
     from s_people c
     left join (select customer_id, count(*) n_orders, cast(sum(cast(order_sales as decimal(18,2))) as double) sales,
         cast(sum(cast(order_profit as decimal(18,4))) as double) profit, cast(sum(late_delivery_risk) as bigint) late_n from s_orders group by customer_id) o on o.customer_id=c.customer_id
