@@ -36,12 +36,12 @@ from folio.operators.ranking import top_per
 from folio.session import settle
 
 #: Components in a block, and in a group of anchors.
-BLOCK_CELLS = 1 << 18
-GROUP_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 20
+GROUP_CELLS = 1 << 16
 #: Quantised components are held within this.
 LARGEST = 1 << 24
 #: Dimensions added before rows are pruned again.
-STEP = 8
+STEP = 16
 #: The first threshold as a share of the highest possible score, and what each next one is of it.
 FIRST, LOWER = 0.6, 0.7
 
@@ -58,6 +58,7 @@ def _matrix(column: pa.ChunkedArray, parts: int) -> np.ndarray:
 
 
 def _parts(*columns: pa.ChunkedArray) -> int:
+    """The components of the longest vector."""
     return max([int(np.diff(c.combine_chunks().offsets.to_numpy()).max(initial=0)) for c in columns if len(c)], default=0)
 
 
@@ -81,13 +82,14 @@ class Block:
         return np.sqrt(np.concatenate([left, np.zeros((len(values), 1))], axis=1))
 
     def index(self, level: int, threshold: float) -> tuple:
-        """Rows by falling number of indexed steps, how many rows each step holds, their values by step, norms and labels."""
+        """Rows by falling number of indexed steps, how many rows each step holds, their values and the norms left by step, and labels."""
         if level not in self._indexes:
             indexed = (self.rest[:, :-1] >= threshold).sum(axis=1) if threshold > 0 else np.full(len(self.ids), self.rest.shape[1] - 1)
             order = np.argsort(-indexed, kind="stable")
             holds = [int((indexed > s).sum()) for s in range(self.rest.shape[1] - 1)]
             lists = [np.ascontiguousarray(self.values[order[:n], s * STEP : (s + 1) * STEP].astype(np.float64)) for s, n in enumerate(holds)]
-            self._indexes[level] = order, holds, lists, self.rest[order], self.labels[order]
+            norms = [np.ascontiguousarray(self.rest[order[:n], s + 1]) for s, n in enumerate(holds)]
+            self._indexes[level] = order, holds, lists, norms, self.labels[order]
         return self._indexes[level]
 
     def search(self, level: int, floor: float, at_least: float, anchor: np.ndarray, norms: np.ndarray, wanted) -> tuple[np.ndarray, np.ndarray]:
@@ -114,23 +116,25 @@ class Block:
                 x = anchor[step * STEP : (step + 1) * STEP].astype(np.float64)
                 if len(alive) * 4 > n:
                     partial[:n] += rows @ x
+                    alive = alive[(partial[:n] + norms[step + 1] * rest[step] >= at_least - slack)[alive]]
                 else:
                     partial[alive] += rows[alive] @ x
-                alive = alive[partial[alive] + norms[step + 1] * rest[alive, step + 1] >= at_least - slack]
+                    alive = alive[partial[alive] + norms[step + 1] * rest[step][alive] >= at_least - slack]
             alive = np.concatenate([*done, alive])
         found = order[alive]
         scores = self.values[found] @ anchor
         kept = np.ones(len(found), bool) if everything else scores >= at_least
         return found[kept], scores[kept]
 
-    def thresholds(self, norm: float, floor: float) -> Iterator[tuple[int, float, float]]:
-        """Level, least norm of a row and score, falling from the highest possible score to ``floor``, which is the last.
+    def thresholds(self, norm: float, floor: float, ceiling: float = np.inf) -> Iterator[tuple[int, float, float]]:
+        """Level, least norm of a row and score, falling from the highest possible score, or ``ceiling``, to ``floor``, which is the last.
 
         The norms belong to the level, whatever the anchor: anchors of a block share its indexes.
         """
         level, least = 0, FIRST * self.longest
         while norm and least * norm > max(floor, 1e-3 * norm * self.longest):
-            yield level, least, least * norm
+            if least * norm <= ceiling:
+                yield level, least, least * norm
             level, least = level + 1, least * LOWER
         # the index of this level, or all dimensions if even the floor is below every level
         yield (level, least, floor) if norm and floor >= least * norm else (-1, 0.0, floor)
@@ -148,10 +152,10 @@ class Block:
         return values, self._norms(values)
 
 
-def best_of_label(block: Block, anchor_id: int, label: int, anchor: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's ``k`` best rows of a label."""
+def best(block: Block, anchor_id: int, anchor: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's ``k`` best rows."""
     for level, least, score in block.thresholds(norms[0], -np.inf):
-        ids, scores = block.ordered(anchor_id, *block.search(level, least, score, anchor, norms, lambda own: own == label))
+        ids, scores = block.ordered(anchor_id, *block.search(level, least, score, anchor, norms, lambda own: own == own))
         if len(ids) >= k:
             break
     return ids[:k], scores[:k]
@@ -160,8 +164,8 @@ def best_of_label(block: Block, anchor_id: int, label: int, anchor: np.ndarray,
 def best_in_windows(block: Block, anchor_id: int, label: int, anchor: np.ndarray, norms: np.ndarray, windows: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each window (lowest and highest score) the block's ``k`` best rows of other labels."""
     out: list = [None] * len(windows)
-    floor = min(low for low, _ in windows)
-    for level, least, score in block.thresholds(norms[0], floor):
+    floor, ceiling = min(low for low, _ in windows), max(high for _, high in windows)
+    for level, least, score in block.thresholds(norms[0], floor, ceiling):
         ids, scores = block.ordered(anchor_id, *block.search(level, least, score, anchor, norms, lambda own: own != label))
         for i, (low, high) in enumerate(windows):
             if out[i] is None:
@@ -173,10 +177,8 @@ def best_in_windows(block: Block, anchor_id: int, label: int, anchor: np.ndarray
     return out
 
 
-def _blocks(index: pa.Table, asked: pa.Table) -> tuple[Block, np.ndarray, np.ndarray]:
-    parts = _parts(index.column("q"), asked.column("q"))
-    block = Block(index.column("vec_id").to_numpy(), index.column("label").to_numpy(), _matrix(index.column("q"), parts))
-    return block, *block.prepared(_matrix(asked.column("q"), parts))
+def _rows(table: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return table.column("vec_id").to_numpy(), table.column("label").to_numpy(), _matrix(table.column("q"), parts)
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -189,11 +191,18 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
 def _find_positives(k: int):
     def run(key, index: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if len(index) and len(asked):
-            block, values, norms = _blocks(index, asked)
-            for i, (number, anchor_id, label) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("anchor", "vec_id", "label")), strict=True)):
-                ids, scores = best_of_label(block, anchor_id, label, values[i], norms[i], k)
-                out.extend((number, anchor_id, int(p), int(s)) for p, s in zip(ids, scores, strict=True))
+        parts = _parts(index.column("q"), asked.column("q"))
+        ids, labels, values = _rows(index, parts)
+        anchor_ids, anchor_labels, anchors = _rows(asked, parts)
+        numbers = asked.column("anchor").to_pylist()
+        # positives are searched among the rows of their label only
+        for label in np.intersect1d(labels, anchor_labels):
+            own = labels == label
+            block = Block(ids[own], labels[own], values[own])
+            asking = np.flatnonzero(anchor_labels == label)
+            for i, anchor, norms in zip(asking.tolist(), *block.prepared(anchors[asking]), strict=True):
+                found, scores = best(block, int(anchor_ids[i]), anchor, norms, k)
+                out.extend((numbers[i], int(anchor_ids[i]), int(p), int(s)) for p, s in zip(found, scores, strict=True))
         return _table(out, _POSITIVES)
 
     return run
@@ -203,7 +212,9 @@ def _find_negatives(k: int, low: int, high: int):
     def run(key, index: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if len(index) and len(asked):
-            block, values, norms = _blocks(index, asked)
+            parts = _parts(index.column("q"), asked.column("q"))
+            block = Block(*_rows(index, parts))
+            values, norms = block.prepared(_matrix(asked.column("q"), parts))
             columns = (asked.column(c).to_pylist() for c in ("anchor", "vec_id", "label", "positives"))
             for i, (number, anchor_id, label, positives) in enumerate(zip(*columns, strict=True)):
                 # scores are whole: the least and the greatest that fulfil low * p <= 100 * n <= high * p
