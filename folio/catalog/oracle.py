@@ -554,6 +554,7 @@ where not exists (from s_emails m where m.direction='assistant' and m.tenant_id=
         "batch_sentiment": "select tenant_id, customer_id, on_day \"day\", count(*) filter (bucket='positive') positive, count(*) filter (bucket='neutral') neutral, count(*) filter (bucket='negative') negative, count(*) total from s_signals group by all",
     }
     sql["top_decile_revenue_bracketed"] = sql["top_decile_revenue"]
+    sql["portfolio_kpis_anew"] = sql["portfolio_kpis"]
     sql["stream_action_state"] = sql["action_state"]
     sql["stream_sentiment"] = sql["batch_sentiment"]
     return sql

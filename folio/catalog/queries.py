@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from folio.functions import columns as fx
 from folio.operators import accounts, activity, evidence, ledger, portfolio, quality, repair, scoring
 from folio.plans import dashboard as plans
+from folio.plans.kpi_store import TABLES as KPI_TABLES, KpiStore
 from folio.session import scratch_path
 from folio.sources.binding import Book, book
 from folio.sources import spine
@@ -405,7 +406,20 @@ def pending_followups(b: Book) -> DataFrame:
     )
 
 
+def kpi_store(b: Book) -> KpiStore:
+    """The book's partial aggregates, up to date."""
+    if "kpis" not in b.derived:
+        b.derived["kpis"] = KpiStore(b.spark, {t: b.path(t) for t in KPI_TABLES}, f"{b.root}/kpis", plans.FOLLOWUPS_SHOWN, plans.ACTIONS_SHOWN)
+    store = b.derived["kpis"]
+    store.refresh()
+    return store
+
+
 def _kpis(b: Book) -> DataFrame:
+    return kpi_store(b).kpis()
+
+
+def _kpis_anew(b: Book) -> DataFrame:
     c, emails, tickets = b["customers"], b["customer_email_logs"], b["support_tickets"]
     followups = portfolio.pending_followups(b["customer_review_logs"], b["review_outcomes"], c, plans.FOLLOWUPS_SHOWN)
     actions = ledger.pending_actions(ledger.action_state(b["ledger"]), plans.ACTIONS_SHOWN)
@@ -416,11 +430,21 @@ def _kpis(b: Book) -> DataFrame:
 KPI_EXACT = ["total_customers", "at_risk", "at_risk_pct", "queue", "net_sentiment"]
 
 
+def _shown(kpis: DataFrame) -> DataFrame:
+    rest = [c for c in kpis.columns if c not in ("tenant_id", *KPI_EXACT)]
+    return kpis.select("tenant_id", *KPI_EXACT, *rounded(4, *rest))
+
+
 @query
 def portfolio_kpis(b: Book) -> DataFrame:
-    out = _kpis(b)
-    rest = [c for c in out.columns if c not in ("tenant_id", *KPI_EXACT)]
-    return out.select("tenant_id", *KPI_EXACT, *rounded(4, *rest))
+    """The dashboard figures from the kept partial aggregates."""
+    return _shown(_kpis(b))
+
+
+@query
+def portfolio_kpis_anew(b: Book) -> DataFrame:
+    """The same figures computed from whole tables."""
+    return _shown(_kpis_anew(b))
 
 
 @query
@@ -807,11 +831,15 @@ def _stored(b: Book, df: DataFrame, name: str) -> tuple[str, str, str]:
     return source, scratch_path(b.spark, f"{name}-sink"), scratch_path(b.spark, f"{name}-log")
 
 
+STREAM_FILES = 6
+
+
 @query
 def stream_action_state(b: Book) -> DataFrame:
-    effective = ledger.effective_events(b["ledger"])
-    source, sink, log = _stored(b, effective, "actions")
-    live.stream_action_state(live.read_stream(b.spark, source, effective.schema), sink, log).awaitTermination()
+    """The raw ledger in several batches, dealt by sequence number: late events meet decisions of earlier batches."""
+    dealt = b["ledger"].repartition(STREAM_FILES, F.col("event_seq"))
+    source, sink, log = _stored(b, dealt, "actions")
+    live.stream_action_state(live.read_stream(b.spark, source, dealt.schema, files_per_batch=2), sink, log).awaitTermination()
     return live.current_actions(b.spark, sink).select(*STATE)
 
 

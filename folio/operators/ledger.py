@@ -83,8 +83,35 @@ def effective_events(events: DataFrame) -> DataFrame:
     return alive.filter(kept).drop("_at", "_proposed", "_decided")
 
 
+def lasting_events(events: DataFrame) -> DataFrame:
+    """The events that can still matter, whatever events come later and of whatever time.
+
+    Of an action's proposals only the first can ever count, of its sends the last.  A proposal of an
+    earlier time moves the first decision to an earlier time, never to a later one: edits after the first decision
+    and, but for the last, decisions after it are settled.  States of these events, with any others added, are
+    those of all events.
+    """
+    kind, at = F.col("event_type"), _at()
+    choice = (kind == "decide") & F.coalesce(F.col("status").isin(*DECISIONS), F.lit(False))
+    ends = events.groupBy(*ACTION).agg(
+        F.min(F.when(kind == "propose", at)).alias("_proposed"), F.max(F.when(choice, at)).alias("_last"), F.max(F.when(kind == "send", at)).alias("_sent")
+    )
+    # one row per action, written before it meets the events: a busy action is then split by AQE
+    ends = settle(ends, "ends")
+    decided = events.filter(choice).select(*ACTION, at.alias("_at")).join(ends, ACTION).filter("_at > _proposed").groupBy(*ACTION).agg(F.min("_at").alias("_decided"))
+    marked = join_small(events, ends.join(decided, ACTION, "left"), ACTION, "inner").withColumn("_at", at)
+    undecided = F.col("_decided").isNull()
+    kept = (
+        ((kind == "propose") & (F.col("_at") == F.col("_proposed")))
+        | ((kind == "edit") & (undecided | (F.col("_at") < F.col("_decided"))))
+        | (choice & (undecided | (F.col("_at") <= F.col("_decided")) | (F.col("_at") == F.col("_last"))))
+        | ((kind == "send") & (F.col("_at") == F.col("_sent")))
+    )
+    return marked.filter(kept).select(*events.columns)
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """Effective events to one row per action: only maxima and minima, so it also runs on a stream."""
+    """Effective events to one row per action: only maxima and minima."""
 
     def last(kind: str, *fields: str) -> Column:
         row = F.struct(*fields)

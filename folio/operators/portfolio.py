@@ -168,13 +168,18 @@ def account_cards(customers: DataFrame, emails: DataFrame, tickets: DataFrame, n
     return cards.join(mood, ACCOUNT)
 
 
-def pending_followups(reviews: DataFrame, outcomes: DataFrame, customers: DataFrame, n: int = 12) -> DataFrame:
-    """Reviews whose outcome is pending, flagged or absent; riskiest account first, then newest review."""
+def waiting_reviews(reviews: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Reviews whose outcome is pending, flagged or absent."""
     o = outcomes.select("tenant_id", "review_id", "outcome_id", "outcome_status", "follow_up_required", "outcome_date")
-    c = customers.select(*ACCOUNT, "risk_band", "risk_score", "next_best_action")
     r = reviews.select(*ACCOUNT, "review_id", "customer_full_name", "scenario", "topic", "reviewed_at", "human_decision")
     open_ = (F.col("outcome_status") == "Pending") | F.col("follow_up_required") | F.col("outcome_id").isNull()
-    waiting = r.join(o, ["tenant_id", "review_id"], "left").filter(open_).join(c, ACCOUNT, "left")
+    return r.join(o, ["tenant_id", "review_id"], "left").filter(open_)
+
+
+def pending_followups(reviews: DataFrame, outcomes: DataFrame, customers: DataFrame, n: int = 12) -> DataFrame:
+    """Reviews whose outcome is pending, flagged or absent; riskiest account first, then newest review."""
+    c = customers.select(*ACCOUNT, "risk_band", "risk_score", "next_best_action")
+    waiting = waiting_reviews(reviews, outcomes).join(c, ACCOUNT, "left")
     order = [
         F.col("risk_score").desc_nulls_last(), F.col("reviewed_at").desc_nulls_last(),
         F.col("review_id").asc(), F.col("outcome_id").asc_nulls_last(),
@@ -198,6 +203,11 @@ def portfolio_kpis(summary: DataFrame, sentiment: DataFrame, queue: DataFrame) -
     joined = summary.join(mood, "tenant_id", "left").join(queue, "tenant_id", "left").fillna(
         0, ["positive", "neutral", "negative", "signals", "net", "followups", "approvals"]
     )
+    return kpi_columns(joined)
+
+
+def kpi_columns(joined: DataFrame) -> DataFrame:
+    """The figures from one row per tenant with the measures of the summary, sentiment and queue."""
     n, revenue, profit = F.col("total_customers"), F.col("total_revenue"), F.col("total_profit")
     at_risk = F.col("critical_count") + F.col("high_count")
     percent = F.lit(100.0)

@@ -17,14 +17,14 @@ FOLLOWUPS_SHOWN = 10
 ACTIONS_SHOWN = 20
 
 
-def dashboard(tables: Tables) -> dict[str, DataFrame]:
-    """Everything the dashboard shows, per tenant."""
+def dashboard(tables: Tables, kpis: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Everything the dashboard shows, per tenant; ``kpis`` may come from kept partial aggregates (kpi_store.py)."""
     customers, emails, tickets = tables["customers"], tables["customer_email_logs"], tables["support_tickets"]
     summary = portfolio.portfolio_summary(customers)
     mood = portfolio.portfolio_sentiment(emails, tickets)
     followups = portfolio.pending_followups(tables["customer_review_logs"], tables["review_outcomes"], customers, FOLLOWUPS_SHOWN)
     actions = ledger.pending_actions(ledger.action_state(tables["ledger"]), ACTIONS_SHOWN)
-    kpis = portfolio.portfolio_kpis(summary, mood, portfolio.queue_counts(followups, actions))
+    kpis = kpis or portfolio.portfolio_kpis(summary, mood, portfolio.queue_counts(followups, actions))
     return {
         "summary": summary,
         "portfolio_sentiment": mood,

@@ -386,6 +386,7 @@ class Book(Mapping):
         self.spark, self.folder = spark, folder
         self.root = f"{shared_folder(spark)}/folio/{spark.sparkContext.applicationId}/book-{_stamp(spark, folder)}"
         self.opened: dict[str, DataFrame] = {}
+        self.derived: dict[str, object] = {}  # what queries keep beside the tables, by name
 
     def path(self, table: str) -> str:
         path = f"{self.root}/{table}"

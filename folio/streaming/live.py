@@ -1,19 +1,23 @@
 """Ledger state and sentiment counts kept up to date from streams.
 
-Both sinks write each micro-batch to a folder named after its number, replacing what
-an earlier attempt at the same batch left there, so a restarted batch counts once.
+Both sinks are keyed tables (store.py): a batch writes new versions of the keys it touched,
+counts once however often it is started, and is compacted after some time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from folio.functions.columns import sentiment_bucket
-from folio.operators.ledger import ACTION, fold
+from folio.operators.ledger import ACTION, action_state, lasting_events
+from folio.session import settle, tune
+from folio.streaming.store import KeyedTable
 
-BATCH = "batch"
+DAY = ["tenant_id", "customer_id", "day"]
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -23,23 +27,57 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return reader.parquet(path)
 
 
-def _batches(df: DataFrame, folder: str, checkpoint: str, mode: str) -> StreamingQuery:
+def _start(df: DataFrame, checkpoint: str, mode: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+# ---- the ledger -------------------------------------------------------------------------------
+
+def kept_events(spark: SparkSession, folder: str) -> KeyedTable:
+    """The events of each action that can still matter."""
+    return KeyedTable(spark, f"{folder}/events", ACTION)
+
+
+def action_table(spark: SparkSession, folder: str) -> KeyedTable:
+    """The state of each action, one row."""
+    return KeyedTable(spark, f"{folder}/state", ACTION)
+
+
+def ledger_writer(folder: str) -> Callable[[DataFrame, int], None]:
+    """Takes batches of raw events, in any order of time, into the state of the actions they touch.
+
+    A batch meets the kept events of its actions only; what can no longer matter is
+    not kept again, and the states of these actions are written anew.
+    """
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/{BATCH}={number}")
+        spark = tune(batch.sparkSession)
+        events, states = kept_events(spark, folder), action_table(spark, folder)
+        fresh = settle(batch, "batch")
+        touched = settle(fresh.select(*ACTION).distinct(), "touched")
+        if events.through() < number:
+            held = events.current_of(touched)
+            events.commit(lasting_events(fresh if held is None else held.unionByName(fresh)), number)
+        # a batch that ended between the two tables goes on here
+        if states.through() < number:
+            states.commit(action_state(events.current_of(touched)), number)
 
-    return (
-        df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-    )
+    return write
 
 
 def stream_action_state(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """The fold of the ledger as a running aggregate; every batch writes the actions it changed.
+    """Raw ledger events to the current state of every action."""
+    return _start(events, checkpoint, "append", ledger_writer(folder))
 
-    ``events`` are effective events: the writer of the ledger refuses an edit of a
-    decided action.  State is one row per action, because only the latest of each kind
-    of event is kept.
-    """
-    return _batches(fold(events), folder, checkpoint, "update")
+
+def current_actions(spark: SparkSession, folder: str) -> DataFrame:
+    return action_table(spark, folder).current()
+
+
+# ---- sentiment ----------------------------------------------------------------------------------
+
+def sentiment_table(spark: SparkSession, folder: str) -> KeyedTable:
+    return KeyedTable(spark, folder, DAY)
 
 
 def stream_sentiment(signals: DataFrame, folder: str, checkpoint: str, lateness: str = "2 days") -> StreamingQuery:
@@ -54,23 +92,16 @@ def stream_sentiment(signals: DataFrame, folder: str, checkpoint: str, lateness:
         *[F.count_if(bucket == b).alias(b) for b in ("positive", "neutral", "negative")], F.count("*").alias("total")
     )
     flat = counted.select("tenant_id", "customer_id", F.col("w.start").cast("date").alias("day"), "positive", "neutral", "negative", "total")
-    return _batches(flat, folder, checkpoint, "update")
-
-
-def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """The newest version of every row the batches wrote."""
-    written = spark.read.parquet(folder)
-    fields = [c for c in written.columns if c not in (*keys, BATCH)]
-    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*fields), BATCH).alias("r"))
-    return newest.select(*keys, "r.*")
 
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch's rows are the new totals of the days it changed
+        sentiment_table(batch.sparkSession, folder).commit(batch, number)
 
-def current_actions(spark: SparkSession, folder: str) -> DataFrame:
-    return latest(spark, folder, ACTION)
+    return _start(flat, checkpoint, "update", write)
 
 
 def daily_sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    return latest(spark, folder, ["tenant_id", "customer_id", "day"])
+    return sentiment_table(spark, folder).current()
 
 
 def batch_sentiment(signals: DataFrame) -> DataFrame:

@@ -100,19 +100,59 @@ def test_only_approvals_and_rejections_decide(spark):
     assert ledger.decisions(spark.createDataFrame(events, COLUMNS)).count() == 0
 
 
-def test_stream_of_several_batches_equals_the_batch(spark, tmp_path):
-    rng = random.Random(9)
-    events = [event(i, rng.choice(["propose", "edit", "decide", "send"]), f"A{i % 7}", f"p{i}", "approved") for i in range(200)]
+def random_ledger(seed, n, actions=7):
+    rng = random.Random(seed)
+    kinds = ["propose", "edit", "edit", "decide", "send"]
+    return [
+        event(i, rng.choice(kinds), f"A{rng.randrange(actions)}", rng.choice([None, f"p{i}"]), rng.choice(["approved", "rejected", "maybe", None]), rng.choice([None, "bad"]))
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lasting_events_give_the_state_of_all_whatever_comes_when(spark, seed):
+    events = random_ledger(seed, 240, 12)
+    random.Random(seed).shuffle(events)
+    kept = spark.createDataFrame([], COLUMNS)
+    for at in range(0, 240, 60):
+        kept = ledger.lasting_events(kept.unionByName(spark.createDataFrame(events[at : at + 60], COLUMNS)))
+        state = ledger.action_state(spark.createDataFrame(events[: at + 60], COLUMNS))
+        assert collect(ledger.action_state(kept), *state.columns) == collect(state)
+    assert kept.count() < 240
+
+
+def test_stream_of_raw_events_equals_the_batch(spark, tmp_path):
+    # events of any time in any batch: late edits, invalid decisions, proposals after their decisions
+    events = random_ledger(9, 200)
+    random.Random(2).shuffle(events)
     table = spark.createDataFrame(events, COLUMNS)
-    effective = ledger.effective_events(table)
-    source = str(tmp_path / "source")
-    for day in range(4):  # four files arrive one after the other
-        effective.filter(f"event_seq div 50 = {day}").coalesce(1).write.mode("append").parquet(source)
-    stream = live.read_stream(spark, source, effective.schema, files_per_batch=1)
-    query = live.stream_action_state(stream, str(tmp_path / "sink"), str(tmp_path / "log"))
+    source, sink = str(tmp_path / "source"), str(tmp_path / "sink")
+    for at in range(0, 200, 50):  # four files arrive one after the other
+        spark.createDataFrame(events[at : at + 50], COLUMNS).coalesce(1).write.mode("append").parquet(source)
+    stream = live.read_stream(spark, source, table.schema, files_per_batch=1)
+    query = live.stream_action_state(stream, sink, str(tmp_path / "log"))
     query.awaitTermination()
     state = ledger.action_state(table)
-    assert collect(live.current_actions(spark, str(tmp_path / "sink")), *state.columns) == collect(state)
+    assert collect(live.current_actions(spark, sink), *state.columns) == collect(state)
+    assert live.action_table(spark, sink).through() == 3
+    # a batch that is started again counts once
+    live.ledger_writer(sink)(spark.createDataFrame(events[150:], COLUMNS), 3)
+    assert collect(live.current_actions(spark, sink), *state.columns) == collect(state)
+
+
+def test_a_batch_that_ended_between_its_two_tables_is_finished(spark, tmp_path, monkeypatch):
+    events = random_ledger(3, 90)
+    sink = str(tmp_path / "sink")
+    write = live.ledger_writer(sink)
+    write(spark.createDataFrame(events[:50], COLUMNS), 0)
+    with monkeypatch.context() as m:
+        m.setattr(live, "action_state", lambda events: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            write(spark.createDataFrame(events[50:], COLUMNS), 1)
+    assert (live.kept_events(spark, sink).through(), live.action_table(spark, sink).through()) == (1, 0)
+    write(spark.createDataFrame(events[50:], COLUMNS), 1)
+    state = ledger.action_state(spark.createDataFrame(events, COLUMNS))
+    assert collect(live.current_actions(spark, sink), *state.columns) == collect(state)
 
 
 def signal(i, day, word, key=None):
