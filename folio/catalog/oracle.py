@@ -554,6 +554,8 @@ where not exists (from s_emails m where m.direction='assistant' and m.tenant_id=
         "batch_sentiment": "select tenant_id, customer_id, on_day \"day\", count(*) filter (bucket='positive') positive, count(*) filter (bucket='neutral') neutral, count(*) filter (bucket='negative') negative, count(*) total from s_signals group by all",
     }
     sql["top_decile_revenue_bracketed"] = sql["top_decile_revenue"]
+    sql["search_accounts_indexed"] = sql["search_accounts"]
+    sql["resolve_names_anew"] = sql["resolve_names"]
     sql["portfolio_kpis_anew"] = sql["portfolio_kpis"]
     sql["stream_action_state"] = sql["action_state"]
     sql["stream_sentiment"] = sql["batch_sentiment"]
@@ -563,8 +565,8 @@ where not exists (from s_emails m where m.direction='assistant' and m.tenant_id=
 def all_oracles() -> dict[str, str]:
     out = {}
     for name, sql in statements().items():
-        text = with_views(sql + (" " + NAME_VIEWS if name == "resolve_names" else ""))
-        if name == "resolve_names":
+        text = with_views(sql + (" " + NAME_VIEWS if name.startswith("resolve_names") else ""))
+        if name.startswith("resolve_names"):
             views = with_views(NAME_VIEWS)
             head = views[: views.rindex(NAME_VIEWS.strip())].rstrip()
             text = f"{head},\n{NAME_VIEWS.strip()}\n{sql.strip()}"

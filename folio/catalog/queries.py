@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folio.functions import columns as fx
+from folio.operators.name_index import NameIndex, write_name_index
 from folio.operators import accounts, activity, evidence, ledger, portfolio, quality, repair, scoring
 from folio.plans import dashboard as plans
 from folio.plans.kpi_store import TABLES as KPI_TABLES, KpiStore
@@ -85,9 +86,12 @@ def account_by_name(b: Book) -> DataFrame:
     return accounts.account_by_name(b["customers"], "mary SMITH").select(*CARD)
 
 
+SEARCH_TEXT = "Smith"
+
+
 @query
 def search_accounts(b: Book) -> DataFrame:
-    return accounts.search_accounts(b["customers"], "Smith", 10).select(*CARD, "rank")
+    return accounts.search_accounts(b["customers"], SEARCH_TEXT, 10).select(*CARD, "rank")
 
 
 @query
@@ -131,11 +135,34 @@ def name_requests(b: Book) -> DataFrame:
     return c.select("tenant_id", F.explode(F.array(*forms)).alias("request")).distinct()
 
 
+def name_index(b: Book) -> NameIndex:
+    """The book's index of names and emails, written the first time."""
+    if "names" not in b.derived:
+        folder = scratch_path(b.spark, "names")
+        write_name_index(b["customers"], folder)
+        b.derived["names"] = NameIndex(b.spark, folder)
+    return b.derived["names"]
+
+
 @query
 def resolve_names(b: Book) -> DataFrame:
+    """Typed names looked up in the stored index."""
+    return accounts.resolve_names(b["customers"], name_requests(b), containing=name_index(b).find_containing)
+
+
+@query
+def resolve_names_anew(b: Book) -> DataFrame:
+    """The same without an index: every account is searched."""
     return accounts.resolve_names(b["customers"], name_requests(b))
 
 
+@query
+def search_accounts_indexed(b: Book) -> DataFrame:
+    """``search_accounts`` by the stored index."""
+    found = name_index(b).search(SEARCH_TEXT, 10)
+    return found.join(b["customers"], ACCOUNT).select(*CARD, "rank")
+
+
 @query
 def pending_outcomes(b: Book) -> DataFrame:
     out = accounts.pending_outcomes(b["review_outcomes"], 50)

@@ -6,6 +6,8 @@ serve one.  Sorts are total: the account id breaks every tie.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folio.functions.columns import band_is
@@ -181,9 +183,13 @@ def resolve_names(
     search_limit: int = 5,
     suggestion_limit: int = 5,
     pick: bool = True,
+    containing: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Typed names to accounts, for a batch of (tenant_id, request).
 
+    ``containing`` finds the accounts that contain a needle; a stored index (name_index.py) does so
+    without reading every account.
+
     1. An exact name (any case) gives ``exact``: the riskiest such account at rank 1,
        then same-name accounts among the six riskiest that contain the name.
     2. Otherwise accounts containing the text: one gives ``match``, several give
@@ -200,7 +206,8 @@ def resolve_names(
     needles = settle(asked.select(*per_needle).unionByName(tails).distinct(), "asked")
 
     same_name = (F.col("low_name") == F.col("needle")).alias("same_name")
-    near = top_per(find_containing(customers, needles), per_needle, by_risk(), max(6, search_limit, suggestion_limit))
+    pairs = containing(needles) if containing else find_containing(customers, needles)
+    near = top_per(pairs, per_needle, by_risk(), max(6, search_limit, suggestion_limit))
     near = near.groupBy(*per_needle).agg(F.array_sort(F.collect_list(F.struct("rank", "customer_id", same_name))).alias("near"))
     # the riskiest account of a name, unknown risk last, combined before the shuffle
     order = F.struct(F.col("risk_score").isNull(), -F.col("risk_score"), "customer_id")
