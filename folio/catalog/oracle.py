@@ -554,6 +554,11 @@ where not exists (from s_emails m where m.direction='assistant' and m.tenant_id=
         "batch_sentiment": "select tenant_id, customer_id, on_day \"day\", count(*) filter (bucket='positive') positive, count(*) filter (bucket='neutral') neutral, count(*) filter (bucket='negative') negative, count(*) total from s_signals group by all",
     }
     sql["top_decile_revenue_bracketed"] = sql["top_decile_revenue"]
+    for scanned in ("inventory", "dates", "columns"):
+        sql[f"scanned_{scanned}"] = sql[f"audit_{scanned}"]
+    sql["scanned_patterns"] = sql["audit_pii_patterns"]
+    sql["scanned_value_counts"] = sql["value_counts"]
+    sql["evidence_bundle_bucketed"] = sql["evidence_bundle"]
     sql["search_accounts_indexed"] = sql["search_accounts"]
     sql["resolve_names_anew"] = sql["resolve_names"]
     sql["portfolio_kpis_anew"] = sql["portfolio_kpis"]

@@ -15,6 +15,7 @@ from folio.plans.kpi_store import TABLES as KPI_TABLES, KpiStore
 from folio.session import scratch_path
 from folio.sources.binding import Book, book
 from folio.sources import spine
+from folio.sources.bucketed import read_bucketed, write_bucketed
 from folio.streaming import live
 
 AS_OF = "2026-05-09"
@@ -496,7 +497,7 @@ def fk_coverage(b: Book) -> DataFrame:
 
 @query
 def audit_dates(b: Book) -> DataFrame:
-    return quality.audit_dates(b.spine(), "1998-01-01")
+    return quality.audit_dates(b.spine(), AUDIT_DAY)
 
 
 @query
@@ -527,6 +528,42 @@ def audit_pii_patterns(b: Book) -> DataFrame:
     return quality.audit_pii_patterns(b.spine())
 
 
+AUDIT_DAY = "1998-01-01"
+
+
+def audit_scan(b: Book) -> DataFrame:
+    """The book's audit figures, from one scan of each table."""
+    if "audit" not in b.derived:
+        b.derived["audit"] = quality.audit_scan(b.spine(), AUDIT_DAY)
+    return b.derived["audit"]
+
+
+@query
+def scanned_inventory(b: Book) -> DataFrame:
+    return quality.scanned_inventory(audit_scan(b)).select("table_name", "rows", "columns", *rounded(6, "synthetic_share"))
+
+
+@query
+def scanned_dates(b: Book) -> DataFrame:
+    return quality.scanned_dates(audit_scan(b))
+
+
+@query
+def scanned_columns(b: Book) -> DataFrame:
+    return quality.scanned_columns(audit_scan(b))
+
+
+@query
+def scanned_patterns(b: Book) -> DataFrame:
+    return quality.scanned_patterns(audit_scan(b))
+
+
+@query
+def scanned_value_counts(b: Book) -> DataFrame:
+    tables = ("customer_notes", "customer_email_logs", "customer_review_logs")
+    return reduce(DataFrame.unionByName, [quality.scanned_value_counts(audit_scan(b), t).select(F.lit(t).alias("table_name"), "value", "rows") for t in tables])
+
+
 @query
 def audit_sample(b: Book) -> DataFrame:
     return quality.audit_sample(b["customers"], b, SEED, 3)
@@ -608,9 +645,15 @@ def _ids(field: str, key: str) -> Column:
     return F.array_join(F.transform(field, lambda r: r[key]), ",").alias(f"{field}_ids")
 
 
+BUNDLE_TABLES = ("customers", "customer_review_logs", *evidence.BUNDLE_FEEDS)
+
+
 @query
 def evidence_bundle(b: Book) -> DataFrame:
-    out = evidence.evidence_bundle(b)
+    return _bundle_ids(evidence.evidence_bundle(b))
+
+
+def _bundle_ids(out: DataFrame) -> DataFrame:
     return out.select(
         *ACCOUNT, F.col("customer.customer_email").alias("email"), F.size("prior_reviews").alias("prior_reviews"),
         _ids("recent_orders", "order_id"), _ids("recent_tickets", "ticket_id"), _ids("recent_notes", "note_id"),
@@ -618,6 +661,15 @@ def evidence_bundle(b: Book) -> DataFrame:
     )
 
 
+@query
+def evidence_bundle_bucketed(b: Book) -> DataFrame:
+    """The same bundles from feeds stored in buckets by account: nothing is exchanged."""
+    if "buckets" not in b.derived:
+        b.derived["buckets"] = scratch_path(b.spark, "buckets")
+        write_bucketed({t: b[t] for t in BUNDLE_TABLES}, b.derived["buckets"], buckets=8)
+    return _bundle_ids(evidence.evidence_bundle(read_bucketed(b.spark, b.derived["buckets"], BUNDLE_TABLES)))
+
+
 @query
 def evidence_bundle_heldout(b: Book) -> DataFrame:
     cases = b["customer_review_logs"].filter("human_decision is not null").select(*ACCOUNT, "review_id")

@@ -158,3 +158,71 @@ def audit_sample(customers: DataFrame, feeds: Tables, seed: int = 42, n: int = 3
     chosen = drawn.select(*ACCOUNT)
     sizes = activity_counts(chosen, {f: feeds[f].join(chosen, ACCOUNT, "left_semi") for f in SAMPLE_FEEDS})
     return drawn.join(sizes, ACCOUNT)
+
+
+# ---- one scan ----------------------------------------------------------------------
+
+#: The column whose values are counted with the rest.
+COUNTED = "scenario"
+_CELLS = (
+    "table_name string, value string, position int, column_name string, text boolean, dated boolean, rows bigint, synthetic_rows bigint, filled bigint, "
+    "emails bigint, phones bigint, first_day date, last_day date, future bigint, missing bigint"
+)
+
+
+def audit_scan(tables: Tables, as_of: str) -> DataFrame:
+    """What all of the audit needs, from one scan of each table: a row per table, value of ``scenario`` and column.
+
+    Counts, minima and maxima only, so rows of a table's values add up to those of the table.
+    """
+    today = F.lit(as_of).cast("timestamp_ntz")
+    spark = next(iter(tables.values())).sparkSession
+    parts, none = [], []
+    for name, df in tables.items():
+        flag = F.count_if(F.lower(F.col("synthetic_flag").cast("string")) == "true") if "synthetic_flag" in df.columns else F.lit(None).cast("bigint")
+        cells = []
+        for position, field in enumerate(df.schema, start=1):
+            c, text, dated = F.col(field.name), isinstance(field.dataType, StringType), field.name in DATE_COLUMNS.get(name, ())
+            time = _as_time(df, field.name) if dated else None
+            cells.append(F.struct(
+                F.lit(position).alias("position"), F.lit(field.name).alias("column_name"), F.lit(text).alias("text"), F.lit(dated).alias("dated"),
+                F.count("*").alias("rows"), flag.alias("synthetic_rows"), F.count(c).alias("filled"),
+                (F.count_if(c.rlike(EMAIL_PATTERN)) if text else F.lit(0)).cast("bigint").alias("emails"),
+                (F.count_if(c.rlike(PHONE_PATTERN)) if text else F.lit(0)).cast("bigint").alias("phones"),
+                (F.min(time) if dated else F.lit(None)).cast("date").alias("first_day"), (F.max(time) if dated else F.lit(None)).cast("date").alias("last_day"),
+                (F.count_if(time > today) if dated else F.lit(0)).cast("bigint").alias("future"), (F.count_if(time.isNull()) if dated else F.lit(0)).cast("bigint").alias("missing"),
+            ))
+            synthetic = 0 if "synthetic_flag" in df.columns else None
+            none.append((name, None, position, field.name, text, dated, 0, synthetic, 0, 0, 0, None, None, 0, 0))
+        value = (F.col(COUNTED) if COUNTED in df.columns else F.lit(None)).cast("string").alias("value")
+        seen = df.groupBy(value).agg(F.array(*cells).alias("cells"))
+        parts.append(seen.select(F.lit(name).alias("table_name"), "value", F.explode("cells").alias("c")).select("table_name", "value", "c.*"))
+    # a table without rows has its columns nevertheless
+    return settle(_stack([*parts, spark.createDataFrame(none, _CELLS)]), "audit")
+
+
+def scanned_inventory(scan: DataFrame) -> DataFrame:
+    per = scan.groupBy("table_name").agg(
+        F.sum(F.when(F.col("position") == 1, F.col("rows"))).alias("rows"), F.count_if((F.col("column_name") != "tenant_id") & F.col("value").isNull() & (F.col("rows") == 0)).cast("int").alias("columns"),
+        F.sum(F.when(F.col("position") == 1, F.col("synthetic_rows"))).alias("synthetic"),
+    )
+    return per.select("table_name", "rows", "columns", F.try_divide("synthetic", "rows").alias("synthetic_share"))
+
+
+def scanned_columns(scan: DataFrame) -> DataFrame:
+    return scan.groupBy("table_name", "position", "column_name").agg(F.sum("filled").alias("filled_rows"))
+
+
+def scanned_patterns(scan: DataFrame) -> DataFrame:
+    return scan.filter("text").groupBy("table_name", "column_name").agg(F.sum("emails").alias("email_cells"), F.sum("phones").alias("phone_cells"))
+
+
+def scanned_dates(scan: DataFrame) -> DataFrame:
+    return scan.filter("dated").groupBy("table_name", "column_name").agg(
+        F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.sum("future").alias("future_rows"), F.sum("missing").alias("null_rows")
+    )
+
+
+def scanned_value_counts(scan: DataFrame, table: str, n: int = 10) -> DataFrame:
+    counted = scan.filter((F.col("table_name") == table) & (F.col("position") == 1) & F.col("value").isNotNull())
+    return counted.select("value", "rows").orderBy(F.col("rows").desc(), "value").limit(n)

@@ -48,19 +48,20 @@ def audit(tables: Tables, as_of: str) -> dict[str, DataFrame]:
     """Every audit table of a book."""
     children = {t: df for t, df in tables.items() if t != "customers" and "customer_id" in df.columns}
     notes, emails = tables["customer_notes"], tables["customer_email_logs"]
+    scan = quality.audit_scan(tables, as_of)
     return {
-        "inventory": quality.audit_inventory(tables),
+        "inventory": quality.scanned_inventory(scan),
         "coverage": quality.fk_coverage(children, tables["customers"]),
-        "dates": quality.audit_dates(tables, as_of),
+        "dates": quality.scanned_dates(scan),
         "duplicates": quality.audit_duplicates(tables),
-        "scenarios_notes": quality.value_counts(notes, "scenario"),
-        "scenarios_emails": quality.value_counts(emails, "scenario"),
-        "scenarios_reviews": quality.value_counts(tables["customer_review_logs"], "scenario"),
+        "scenarios_notes": quality.scanned_value_counts(scan, "customer_notes"),
+        "scenarios_emails": quality.scanned_value_counts(scan, "customer_email_logs"),
+        "scenarios_reviews": quality.scanned_value_counts(scan, "customer_review_logs"),
         "references": quality.ref_resolution(
             {"customer_notes": notes, "customer_email_logs": emails}, tables["support_tickets"], tables["orders"]
         ),
-        "columns": quality.audit_columns(tables),
-        "patterns": quality.audit_pii_patterns(tables),
+        "columns": quality.scanned_columns(scan),
+        "patterns": quality.scanned_patterns(scan),
         "sample": quality.audit_sample(tables["customers"], tables),
     }
 

@@ -175,3 +175,31 @@ def test_bridge_keeps_its_column_order_and_blanks(spark):
     bridge = spark.createDataFrame([], "ticket_id string, extra string, source_ticket_id bigint, mapping_method string")
     out = repair.rebuild_bridge(repair.drop_broken_columns(tickets.withColumn("first_response_time", F.lit("x"))), bridge)
     assert out.columns == bridge.columns and out.collect()[0][:3] == ("T17", "", 17)
+
+
+def test_one_scan_gives_what_the_single_audits_give(spark, data_dir):
+    from folio.sources.binding import book
+
+    b = book(spark, data_dir)
+    tables = {t: b[t] for t in ("customers", "customer_notes", "customer_email_logs", "customer_contacts", "support_tickets", "customer_review_logs")}
+    tables["orders"] = b["orders"].limit(0)  # no rows, and yet columns
+    plain = tables["support_tickets"].withColumn("first_response_time", F.when(F.col("ticket_id") > "T5", "soon").otherwise("2024-01-02 10:00:00"))
+    tables["support_tickets"] = plain
+    scan = quality.audit_scan(tables, "2024-01-01")
+    for got, want in (
+        (quality.scanned_inventory(scan), quality.audit_inventory(tables)), (quality.scanned_dates(scan), quality.audit_dates(tables, "2024-01-01")),
+        (quality.scanned_columns(scan), quality.audit_columns(tables)), (quality.scanned_patterns(scan), quality.audit_pii_patterns(tables)),
+        (quality.scanned_value_counts(scan, "customer_notes", 2), quality.value_counts(tables["customer_notes"], "scenario", 2)),
+    ):
+        assert collect(got, *sorted(got.columns)) == collect(want, *sorted(got.columns))
+
+
+def test_the_scan_reads_each_table_once(spark, data_dir, monkeypatch):
+    from folio.sources.binding import book
+
+    b = book(spark, data_dir)
+    tables = {t: b[t] for t in ("orders", "customer_notes")}
+    plans = []
+    monkeypatch.setattr(quality, "settle", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    quality.audit_scan(tables, "2024-01-01")
+    assert plans[0].split("== Initial Plan")[0].count("FileScan parquet") == 2
