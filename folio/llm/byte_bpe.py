@@ -12,7 +12,7 @@ import json
 import numpy as np
 import tiktoken
 
-from folio.llm.text import SPACE, ragged, running_hash, span_hash
+from folio.llm.text import SPACE, UnitCache, ragged
 
 #: The pre-tokenizing pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -71,13 +71,7 @@ class Encoder:
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.size[i] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.cache = UnitCache(lambda body, begin, end, kind: self._units(body, begin, end), np.uint32, CACHE_UNITS)
 
     def encode(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and n+1 offsets."""
@@ -86,25 +80,9 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         end = np.append(begin[1:], len(body))
         # an empty text has no unit; a unit ends with its text
-        names, first, unit = np.unique(span_hash(running_hash(body), begin, end), return_index=True, return_inverse=True)
-        if len(self.hash) > CACHE_UNITS:
-            self.forget()
-        slot = np.searchsorted(self.hash, names)
-        known = slot < len(self.hash)
-        known[known] = self.hash[slot[known]] == names[known]
-        fresh = np.flatnonzero(~known)
-        if len(fresh):
-            ids, count = self._units(body, begin[first[fresh]], end[first[fresh]])
-            at_slot = slot[fresh]
-            self.start = np.insert(self.start, at_slot, len(self.ids) + np.cumsum(count) - count)
-            self.count = np.insert(self.count, at_slot, count)
-            self.hash = np.insert(self.hash, at_slot, names[fresh])
-            self.ids = np.concatenate([self.ids, ids])
-            slot = np.searchsorted(self.hash, names)
-        slot = slot[unit]
-        count = self.count[slot]
+        ids, count = self.cache.ids_of(body, begin, end)
         total = np.append(0, np.cumsum(count))
-        return self.ids[ragged(self.start[slot], count)], total[np.searchsorted(begin, at)]
+        return ids, total[np.searchsorted(begin, at)]
 
     def _units(self, body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units end to end and how many each has.

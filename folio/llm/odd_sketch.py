@@ -25,18 +25,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from folio.llm.cluster import ready
 from folio.llm.components import merge_labels, no_labels
-from folio.llm.text import FOLDED_VALUES, binary_column, mix, running_hash, slices, span_hash, text_bytes, words
+from folio.llm.text import binary_column, mix, slices, text_bytes, text_hash, words
+from folio.operators.ranking import GROUP_LIMIT, number_rows, top_per
 from folio.session import settle
 
-#: At a similarity of 0.8 a pair shares no band with a probability of 5e-6; at 0.4 it shares one with 0.15.
+#: At a similarity of 0.8 a pair shares no band with a probability of 5e-6, and its sketches differ too much with
+#: one of about 1e-6; at 0.4 it shares a band with 0.15.
 BANDS, BAND_ROWS = 40, 6
 SKETCH_BITS = 1024
 #: Standard deviations that an estimate may fall short before a pair is dropped.
-MARGIN = 4.0
+MARGIN = 5.0
 FIRST_PIVOTS, MORE_PIVOTS = 8, 8
 
 _SAMPLES = BANDS * BAND_ROWS
@@ -50,7 +52,7 @@ _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<lon
 def shingle_sets(body: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     start, end, first = words(body, at)
-    hashes = span_hash(running_hash(body, FOLDED_VALUES), start, end)
+    hashes = text_hash(body, start, end, folded=True)
     places = _PLACES if k <= len(_PLACES) else mix(np.arange(1, k + 1, dtype=np.uint64))
     n = len(hashes)
     joined = np.zeros(max(0, n - k + 1), np.uint64)
@@ -93,9 +95,16 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def most_differing(similarity: float) -> int:
-    """Differing bits beyond which an estimate is below ``similarity`` by more than the margin."""
-    low = max(0.0, similarity - MARGIN * (similarity * (1 - similarity) / _SAMPLES) ** 0.5)
-    return int(np.ceil(SKETCH_BITS / 2 * (1 - np.exp(-4 * _SAMPLES * (1 - low) / SKETCH_BITS)) + MARGIN))
+    """Differing bits beyond which an estimate is below ``similarity`` by more than the margin.
+
+    Both draws vary: which samples differ, and which of their places in the sketch coincide.
+    """
+    differing = _SAMPLES * (1 - similarity)
+    kept = np.exp(-4 * differing / SKETCH_BITS)
+    of_samples = 2 * kept * (differing * similarity) ** 0.5
+    # two of the 2d places coincide in about 2d * d / bits pairs, each of which hides two
+    of_places = 2 * (2 * differing * differing / SKETCH_BITS) ** 0.5
+    return int(np.ceil(SKETCH_BITS / 2 * (1 - kept) + MARGIN * (of_samples**2 + of_places**2) ** 0.5))
 
 
 def _signatures(k: int):
@@ -216,8 +225,13 @@ def near_groups(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFra
         if members.isEmpty():
             break
         # rows get their place among all members of the bucket, which no later round changes
-        order = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-        centres = members.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= pivots)
+        order = [F.xxhash64("rep").asc(), F.col("rep").asc()]
+        if pivots <= GROUP_LIMIT:
+            centres = top_per(members, ["key"], order, pivots, "_place")
+        else:
+            # a bucket this large is numbered over range partitions, by its keys alone
+            placed = number_rows(members.select("key", "rep"), ["key"], order, "_place").filter((F.col("_place") <= pivots) & (F.col("_place") > done))
+            centres = members.join(settle(placed, "placed"), ["key", "rep"])
         columns = ["key", "component", *known_own.columns]
         centres = settle(centres.select("_place", *(F.col(c).alias(f"_{c}") for c in columns)), "pivots")
         likely = _may_link(F.col("n_shingles"), F.col("sketch"), F.col("_n_shingles"), F.col("_sketch"), percent)

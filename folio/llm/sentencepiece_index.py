@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folio.llm.cluster import ready
 from folio.llm.suffix_dedup import eight_bytes, suffix_array
-from folio.llm.text import mix, ragged, running_hash, slices, span_hash, text_bytes
+from folio.llm.text import UnitCache, ragged, slices, text_bytes
 
 _MARK = "▁"
 #: Units that a task remembers before it starts anew.
@@ -248,10 +248,7 @@ class UnitEncoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.forget()
-
-    def forget(self) -> None:
-        self.hash, self.start, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.cache = UnitCache(self._units, np.int64, CACHE_UNITS)
 
     def encode(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and n+1 offsets."""
@@ -262,30 +259,14 @@ class UnitEncoder:
         first[at[:-1][at[:-1] < at[1:]]] = True
         begin = np.flatnonzero(first | (space & ~np.append(False, space[:-1])))
         end = np.append(begin[1:], len(body))
-        hashes = span_hash(running_hash(body), begin, end)
         # a text's first unit has a space put before it
-        hashes = np.where(first[begin], mix(hashes ^ np.uint64(0x1F)), hashes)
-        names, place, unit = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hash) > CACHE_UNITS:
-            self.forget()
-        slot = np.searchsorted(self.hash, names)
-        known = slot < len(self.hash)
-        known[known] = self.hash[slot[known]] == names[known]
-        fresh = np.flatnonzero(~known)
-        if len(fresh):
-            data = body.tobytes()
-            some = place[fresh]
-            units = [(b" " if f else b"") + data[a:b] for a, b, f in zip(begin[some].tolist(), end[some].tolist(), first[begin[some]].tolist(), strict=True)]
-            ids, count = encode_units(self.pieces, units)
-            self.start = np.insert(self.start, slot[fresh], len(self.ids) + np.cumsum(count) - count)
-            self.count = np.insert(self.count, slot[fresh], count)
-            self.hash = np.insert(self.hash, slot[fresh], names[fresh])
-            self.ids = np.concatenate([self.ids, ids])
-            slot = np.searchsorted(self.hash, names)
-        slot = slot[unit]
-        count = self.count[slot]
+        ids, count = self.cache.ids_of(body, begin, end, first[begin])
         total = np.append(0, np.cumsum(count))
-        return self.ids[ragged(self.start[slot], count)], total[np.searchsorted(begin, at)]
+        return ids, total[np.searchsorted(begin, at)]
+
+    def _units(self, body: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = body.tobytes()
+        return encode_units(self.pieces, [(b" " if f else b"") + data[a:b] for a, b, f in zip(begin.tolist(), end.tolist(), first.tolist(), strict=True)])
 
 
 class Decoder:

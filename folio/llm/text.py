@@ -1,12 +1,16 @@
 """Whole-column work on the UTF-8 bytes of texts, for use inside tasks.
 
-A slice of a text column is one byte array and the places where its texts start.  Words
-and byte strings are identified by 64-bit polynomial hashes read off one running sum.
+A slice of a text column is one byte array and the places where its texts start.  Words and units
+are identified by 64-bit hashes that scramble eight bytes at a time; a polynomial would give one value to
+texts of a regular build, whatever its base.  Byte strings of a fixed, small length are read off one
+running sum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +106,97 @@ def span_hash(running: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((running[end] - running[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: Longer spans are hashed one by one.
+LONG_SPAN = 1024
+_TEXT_SEED = np.uint64(0x2545F4914F6CDD1D)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def text_hash(body: np.ndarray, start: np.ndarray, end: np.ndarray, folded: bool = False) -> np.ndarray:
+    """A hash of each byte string [start, end); folded: A-Z count as a-z."""
+    if folded:
+        body = LOWER[body]
+    size = end - start
+    out = mix(size.astype(np.uint64) ^ _TEXT_SEED)
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    # the eight bytes from any place on
+    eight = np.ndarray((len(body) + 1,), "<u8", padded, 0, (1,))
+    some = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while len(some):
+        part = eight[start[some] + done]
+        left = size[some] - done
+        last = left < 8
+        part[last] &= (np.uint64(1) << (left[last].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[some] = mix((out[some] ^ part) * np.uint64(0x9FB21C651E98DF25))
+        some = some[left > 8]
+        done += 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(body[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> bool:
+    """Whether all spans of a and b are equal, one by one."""
+    return bool((a[ragged(a_start, size)] == b[ragged(b_start, size)]).all())
+
+
+class UnitCache:
+    """Ids of units of text, kept by hash; a unit is the one that is kept only if all its bytes are.
+
+    ``make`` takes bytes, starts, ends and kinds of units, and gives their ids end to end and how many each has.
+    Units of different kinds differ.
+    """
+
+    def __init__(self, make: Callable[..., tuple[np.ndarray, np.ndarray]], kind: type, most: int):
+        self.make, self.id_type, self.most = make, kind, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.kind = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.id_type)
+        self.text, self.text_start, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids_of(self, body: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units end to end, and how many each has."""
+        kind = np.zeros(len(begin), bool) if kind is None else kind
+        size = end - begin
+        hashes = text_hash(body, begin, end)
+        hashes = np.where(kind, mix(hashes ^ np.uint64(0x1F)), hashes)
+        names, place, unit = np.unique(hashes, return_index=True, return_inverse=True)
+        same = place[unit]
+        if not ((size == size[same]).all() and (kind == kind[same]).all() and equal_spans(body, begin, body, begin[same], size)):
+            return self.make(body, begin, end, kind)
+        if len(self.hash) > self.most:
+            self.forget()
+        slot = np.searchsorted(self.hash, names)
+        known = slot < len(self.hash)
+        known[known] = self.hash[slot[known]] == names[known]
+        held, mine = slot[known], place[known]
+        if not (
+            (self.text_size[held] == size[mine]).all() and (self.kind[held] == kind[mine]).all()
+            and equal_spans(self.text, self.text_start[held], body, begin[mine], size[mine])
+        ):
+            return self.make(body, begin, end, kind)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            some = place[fresh]
+            ids, count = self.make(body, begin[some], end[some], kind[some])
+            text = body[ragged(begin[some], size[some])]
+            new = (
+                ("hash", names[fresh]), ("kind", kind[some]), ("count", count), ("start", len(self.ids) + np.cumsum(count) - count),
+                ("text_size", size[some]), ("text_start", len(self.text) + np.cumsum(size[some]) - size[some]),
+            )
+            for field, values in new:
+                setattr(self, field, np.insert(getattr(self, field), slot[fresh], values))
+            self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, text])
+            slot = np.searchsorted(self.hash, names)
+        slot = slot[unit]
+        return self.ids[ragged(self.start[slot], self.count[slot])], self.count[slot]
+
+
 def words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word (a run without white space) and n+1 offsets of the words of each text."""
     space = SPACE[body]
