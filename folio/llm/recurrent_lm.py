@@ -7,9 +7,10 @@ counts, with one added for every word and for the unknown one.  So the model giv
 probability, and without what the network learned it would equal the smoothed counts.
 
 The network (numpy, truncated backpropagation, state carried from window to window) learns from
-the whole texts of all training documents; its output biases start from the counts of all.  In
-every pass over them, rounds of shards train side by side from the same weights, which are then
-averaged by tokens.  A text is scored whole: its state is carried across windows to its end.
+the whole texts of all training documents, in one pass; its output biases start from the counts of all.
+Rounds of shards train side by side from the same weights and moments, which are then averaged by
+tokens.  The frequent words, their classes and what is gathered for them grow with the fourth root of the
+tokens.  A text is scored whole: its state is carried across windows to its end.
 Texts are dealt to shards; a shard is sent the counts of the words that it holds.
 
 Rows: a null text is empty and still has its end.  Rows without id are scored, not held out and
@@ -27,17 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folio.llm.cluster import ready, shard_of, text_total
-from folio.llm.text import FOLDED_VALUES, binary_column, mix, running_hash, slices, span_hash, text_bytes, words
-from folio.llm.training import Adam, fold, sigmoid, softmax
+from folio.llm.text import FOLDED_VALUES, binary_column, mix, slices, text_bytes, text_hash, words
+from folio.llm.training import Adam, fold
 from folio.session import settle
 
-SHARD_BYTES = 4 << 20
-#: Words with outputs of their own, counting the end; words in a class; inputs for all other words.
-SHORTLIST, CLASS_WORDS, TAILS = 1024, 32, 64
-HIDDEN, STEPS, STREAMS, EPOCHS, RATE = 32, 16, 32, 3, 0.004
-#: Shards that train side by side before their weights are averaged, and pieces in which weights are averaged.
-ROUND_SHARDS, PIECES = 64, 16
+SHARD_BYTES = 16 << 20
+#: Words with outputs of their own, counting the end, for each unit of the fourth root of all tokens; rows are
+#: 16-bit numbers.  Inputs for all other words.
+SHORTLIST, MOST_ROWS, TAILS = 16, 65_000, 64
+HIDDEN, STEPS, STREAMS, RATE = 16, 16, 256, 0.012
+#: Shards that train side by side before their weights are averaged, at least; rounds, at most; pieces in which
+#: weights are averaged.
+ROUND_SHARDS, MOST_ROUNDS, PIECES = 16, 32, 16
 WINDOW = 48
+#: Texts that are scored side by side.
+TOGETHER = 512
 
 #: The end of a text as a word; no word has this hash.
 END = np.uint64(0)
@@ -48,7 +53,7 @@ _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def text_words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and tail (a small hash of the last two bytes) of all words, and n+1 offsets."""
     start, end, first = words(body, at)
-    hashes = np.maximum(span_hash(running_hash(body, FOLDED_VALUES), start, end), np.uint64(1))
+    hashes = np.maximum(text_hash(body, start, end, folded=True), np.uint64(1))
     last = FOLDED_VALUES[body[end - 1]] if len(end) else np.zeros(0, np.uint64)
     before = np.where(end - start > 1, FOLDED_VALUES[body[np.maximum(end - 2, 0)]], np.uint64(0)) if len(end) else last
     return hashes, (mix(last * np.uint64(3) + before) % np.uint64(TAILS)).astype(np.int32), first
@@ -69,7 +74,9 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
         self.names, self.counts = names, counts  # by falling count
         self.order = np.argsort(names)
-        self.classes = -(-len(names) // CLASS_WORDS)
+        # as many classes as words in a class
+        self.class_words = max(1, int(np.ceil(len(names) ** 0.5)))
+        self.classes = -(-len(names) // self.class_words)
 
     def chance(self, counts) -> np.ndarray:
         return (np.asarray(counts, np.float64) + 1) / (self.total + self.distinct + 1)
@@ -86,56 +93,61 @@ class Vocabulary:
 
 
 class Network:
-    """A gated recurrent unit with class-factored output."""
+    """A recurrent unit whose gate says how much of each value is kept, with class-factored output."""
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 5):
         rng = np.random.default_rng(seed)
-        n, c = len(vocabulary.names), vocabulary.classes
-        padded = np.full(c * CLASS_WORDS, -1e9)
+        n, c, per = len(vocabulary.names), vocabulary.classes, vocabulary.class_words
+        padded = np.full(c * per, -1e9)
         padded[:n] = np.log(vocabulary.chance(vocabulary.counts))
-        mass = np.exp(padded.reshape(c, CLASS_WORDS)).sum(axis=1)
-        self.rest = c  # the class of all other words
+        mass = np.exp(padded.reshape(c, per)).sum(axis=1)
+        self.class_words, self.rest = per, c  # the last class is that of all other words
         self.weights = {
-            "input": rng.normal(0, 0.1, (n + TAILS, 3 * HIDDEN)).astype(np.float32), "state": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
-            "bias": np.zeros(3 * HIDDEN, np.float32), "classes": np.zeros((HIDDEN, c + 1), np.float32),
-            "classes_bias": np.log(np.append(mass, vocabulary.rest())).astype(np.float32), "words": np.zeros((c, HIDDEN, CLASS_WORDS), np.float32),
-            "words_bias": padded.reshape(c, CLASS_WORDS).astype(np.float32),
+            "input": rng.normal(0, 0.1, (n + TAILS, 2 * HIDDEN)).astype(np.float32), "state": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 2 * HIDDEN)).astype(np.float32),
+            "bias": np.zeros(2 * HIDDEN, np.float32), "classes": np.zeros((HIDDEN, c + 1), np.float32),
+            "classes_bias": np.log(np.append(mass, vocabulary.rest())).astype(np.float32), "words": np.zeros((c, HIDDEN, per), np.float32),
+            "words_bias": padded.reshape(c, per).astype(np.float32),
         }
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
+        self.steps = 0
 
     def copy(self) -> Network:
         other = copy.copy(self)
-        other.weights = {k: v.copy() for k, v in self.weights.items()}
+        other.weights, other.first, other.second = ({k: v.copy() for k, v in part.items()} for part in (self.weights, self.first, self.second))
         return other
 
     def flat(self) -> np.ndarray:
-        """All weights end to end."""
-        return np.concatenate([v.ravel() for v in self.weights.values()])
+        """All weights and their moments end to end, and the steps taken."""
+        parts = [v.ravel() for part in (self.weights, self.first, self.second) for v in part.values()]
+        return np.concatenate([*parts, [np.float32(self.steps)]])
 
     def set_flat(self, values: np.ndarray) -> None:
-        cuts = np.cumsum([v.size for v in self.weights.values()])[:-1]
-        self.weights = {k: part.reshape(v.shape).copy() for (k, v), part in zip(self.weights.items(), np.split(values, cuts), strict=True)}
+        shapes = [(k, v.shape) for k, v in self.weights.items()]
+        cuts = np.cumsum([v.size for v in self.weights.values()] * 3)
+        parts = iter(np.split(values, cuts))
+        self.weights, self.first, self.second = ({k: next(parts).reshape(shape).copy() for k, shape in shapes} for _ in range(3))
+        self.steps = int(next(parts)[0])
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """State after the inputs ``x`` (rows of ``input``)."""
         w, s = self.weights, HIDDEN
-        a = w["input"][x]
+        a = h @ w["state"]
+        a += w["input"][x]
         a += w["bias"]
-        b = h @ w["state"]
-        gates = a[:, : 2 * s]
-        gates += b[:, : 2 * s]
-        gates *= 0.5
-        np.tanh(gates, out=gates)
-        gates += 1
-        gates *= 0.5
-        keep, reset = gates[:, :s], gates[:, s:]
-        inner = b[:, 2 * s :]
-        fresh = np.tanh(a[:, 2 * s :] + reset * inner)
-        return fresh + keep * (h - fresh), keep, reset, inner, fresh
+        a[:, :s] *= 0.5  # the gate's logistic curve is half a tanh
+        np.tanh(a, out=a)
+        keep, fresh = a[:, :s], a[:, s:]
+        keep += 1
+        keep *= 0.5
+        after = h - fresh
+        after *= keep
+        after += fresh
+        return after, keep, fresh
 
     def log_chances(self, states: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each target; of its class only for words of the rest."""
         w = self.weights
-        cls = np.where(ranks >= 0, ranks // CLASS_WORDS, self.rest)
+        cls = np.where(ranks >= 0, ranks // self.class_words, self.rest)
         logits = states @ w["classes"]
         logits += w["classes_bias"]
         out = (logits[np.arange(len(cls)), cls] - _log_sum(logits)).astype(np.float64)
@@ -146,7 +158,7 @@ class Network:
             if len(rows):
                 inner = states[rows] @ w["words"][c]
                 inner += w["words_bias"][c]
-                out[rows] += inner[np.arange(len(rows)), ranks[rows] % CLASS_WORDS] - _log_sum(inner)
+                out[rows] += inner[np.arange(len(rows)), ranks[rows] % self.class_words] - _log_sum(inner)
         return out
 
 
@@ -155,6 +167,15 @@ def _log_sum(logits: np.ndarray) -> np.ndarray:
     return np.log(np.exp(logits - top).sum(axis=1)) + top[:, 0]
 
 
+def _shares(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The softmax of each row plus the bias, in place."""
+    logits += bias
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
 def deal(length: np.ndarray, streams: int) -> list[list[int]]:
     """Whole texts, longest first, each to the stream that is shortest so far; longest stream first."""
     heap = [(0, i) for i in range(min(streams, len(length)))]
@@ -185,7 +206,7 @@ def train(network: Network, inputs: np.ndarray, at: np.ndarray, rate: float) ->
     ends = x == network.end
     known = len(w["input"]) - TAILS
     active = np.searchsorted(-size, -np.arange(size[0]), "left")  # streams longer than t
-    adam = Adam(w, rate)
+    adam = Adam(w, rate, network.first, network.second, network.steps)
     h = np.zeros((len(size), s), np.float32)
     for low in range(0, int(size[0]), STEPS):
         high = min(low + STEPS, int(size[0]))
@@ -202,26 +223,25 @@ def train(network: Network, inputs: np.ndarray, at: np.ndarray, rate: float) ->
         edges = np.append(0, np.cumsum(active[low:high]))
         down = _output_gradients(network, np.concatenate(states), np.where(target < known, target, -1), grads)
         back = np.zeros((active[high - 1], s), np.float32)
-        gates_down, state_down = np.empty((2, len(target), 3 * s), np.float32)
+        gates_down = np.empty((len(target), 2 * s), np.float32)
         state_t = w["state"].T
         for t in reversed(range(high - low)):
-            before, keep, reset, inner, fresh = kept[t]
+            before, keep, fresh = kept[t]
             here = slice(edges[t], edges[t + 1])
             d = down[here]
             d[: len(back)] += back  # streams that go on
-            d_fresh = d * (1 - keep)
-            d_keep = d_fresh * keep
-            d_keep *= before - fresh
-            d_fresh *= 1 - fresh * fresh
-            d_inner = d_fresh * reset
-            g, b = gates_down[here], state_down[here]
-            g[:, :s] = b[:, :s] = d_keep
-            g[:, s : 2 * s] = b[:, s : 2 * s] = d_inner * inner * (1 - reset)
-            g[:, 2 * s :], b[:, 2 * s :] = d_fresh, d_inner
             back = d * keep
-            back += b @ state_t
+            d -= back
+            g = gates_down[here]
+            np.subtract(before, fresh, out=g[:, :s])
+            g[:, :s] *= d
+            g[:, :s] *= keep
+            np.multiply(fresh, fresh, out=g[:, s:])
+            np.subtract(1, g[:, s:], out=g[:, s:])
+            g[:, s:] *= d
+            back += g @ state_t
             back[ends[low + t, : len(back)]] = 0
-        grads["state"] = np.concatenate([k[0] for k in kept]).T @ state_down
+        grads["state"] = np.concatenate([k[0] for k in kept]).T @ gates_down
         rows = np.concatenate([x[t, : active[t]] for t in range(low, high)])
         by = np.argsort(rows, kind="stable")
         first = np.flatnonzero(np.append(True, rows[by][1:] != rows[by][:-1]))
@@ -230,12 +250,13 @@ def train(network: Network, inputs: np.ndarray, at: np.ndarray, rate: float) ->
         for g in grads.values():
             np.clip(g, -1, 1, out=g)
         adam.step(grads)
+    network.steps = adam.steps
 
 
 def _output_gradients(network: Network, states: np.ndarray, ranks: np.ndarray, grads: dict) -> np.ndarray:
     w, n = network.weights, len(ranks)
-    cls = np.where(ranks >= 0, ranks // CLASS_WORDS, network.rest)
-    error = softmax(states @ w["classes"] + w["classes_bias"])
+    cls = np.where(ranks >= 0, ranks // network.class_words, network.rest)
+    error = _shares(states @ w["classes"], w["classes_bias"])
     error[np.arange(n), cls] -= 1
     error /= n
     grads["classes"] += states.T @ error
@@ -243,10 +264,10 @@ def _output_gradients(network: Network, states: np.ndarray, ranks: np.ndarray, g
     down = error @ w["classes"].T
     by = np.argsort(cls, kind="stable")
     edges = np.searchsorted(cls[by], np.arange(network.rest + 1))
-    ordered, place, inner_down = states[by], ranks[by] % CLASS_WORDS, np.zeros_like(down)
+    ordered, place, inner_down = states[by], ranks[by] % network.class_words, np.zeros_like(down)
     for c in np.flatnonzero(np.diff(edges)):
         own = slice(edges[c], edges[c + 1])
-        inner = softmax(ordered[own] @ w["words"][c] + w["words_bias"][c])
+        inner = _shares(ordered[own] @ w["words"][c], w["words_bias"][c])
         inner[np.arange(len(inner)), place[own]] -= 1
         inner /= n
         grads["words"][c] = ordered[own].T @ inner
@@ -259,17 +280,24 @@ def _output_gradients(network: Network, states: np.ndarray, ranks: np.ndarray, g
 def score_texts(network: Network, inputs: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural logarithm of each text's probability (of its classes, for words of the rest).
 
-    All texts advance together, longest first; states are kept for a window, whose outputs are
+    Texts of like length advance together; states are kept for a window, whose outputs are
     then computed at once, and carried into the next.
     """
-    length = np.diff(at)
-    order = np.argsort(-length, kind="stable")
-    size = length[order]
-    out = np.zeros(len(length))
-    h = np.zeros((len(order), HIDDEN), np.float32)
-    start, low = at[:-1][order], 0
-    previous = np.full(len(order), network.end, np.int64)
-    while low < (size[0] if len(size) else 0):
+    by_length = np.argsort(-np.diff(at), kind="stable")
+    out = np.zeros(len(by_length))
+    for low in range(0, len(by_length), TOGETHER):
+        texts = by_length[low : low + TOGETHER]
+        out[texts] = _score_together(network, inputs, ranks, at[:-1][texts], np.diff(at)[texts])
+    return out
+
+
+def _score_together(network: Network, inputs: np.ndarray, ranks: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Scores of texts in order of length, longest first."""
+    out = np.zeros(len(size))
+    h = np.zeros((len(size), HIDDEN), np.float32)
+    low = 0
+    previous = np.full(len(size), network.end, np.int64)
+    while low < size[0]:
         high = min(low + WINDOW, int(size[0]))
         states, targets, rows = [], [], []
         for t in range(low, high):
@@ -283,9 +311,7 @@ def score_texts(network: Network, inputs: np.ndarray, ranks: np.ndarray, at: np.
         logs = network.log_chances(np.concatenate(states), np.concatenate(targets))
         out += np.bincount(np.concatenate(rows), logs, len(out))
         low = high
-    result = np.empty(len(out))
-    result[order] = out
-    return result
+    return out
 
 
 # ---- on Spark --------------------------------------------------------------------------------
@@ -371,15 +397,15 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> Network | None:
         return None
     network = Network(vocabulary)
     network.end = int(vocabulary.ranks(np.array([END]))[0])
-    rounds = -(-shards // ROUND_SHARDS)
+    # with more shards than fill so many rounds, each round has more of them
+    rounds = min(-(-shards // ROUND_SHARDS), MOST_ROUNDS)
     packed = settle(learned_shards(docs, vocabulary), "learned")
-    for epoch in range(EPOCHS):
-        for r in range(rounds):
-            own = packed.filter(F.col("shard") % rounds == r).repartitionById(min(shards, ROUND_SHARDS), F.floor(F.col("shard") / rounds).cast("int"))
-            trained = own.mapInArrow(_train(network, RATE * (1 - epoch / EPOCHS)), "shard int, n long, piece int, weights binary")
-            pieces = trained.groupBy("piece").applyInArrow(_average, "piece int, weights binary").collect()
-            if pieces:  # a round's shards may hold no learned document
-                network.set_flat(np.concatenate([np.frombuffer(p.weights, np.float32) for p in sorted(pieces, key=lambda p: p.piece)]))
+    for r in range(rounds):
+        own = packed.filter(F.col("shard") % rounds == r).repartitionById(-(-shards // rounds), F.floor(F.col("shard") / rounds).cast("int"))
+        trained = own.mapInArrow(_train(network, RATE * (1 - 0.75 * r / rounds)), "shard int, n long, piece int, weights binary")
+        pieces = trained.groupBy("piece").applyInArrow(_average, "piece int, weights binary").collect()
+        if pieces:  # a round's shards may hold no learned document
+            network.set_flat(np.concatenate([np.frombuffer(p.weights, np.float32) for p in sorted(pieces, key=lambda p: p.piece)]))
     return network
 
 
@@ -426,14 +452,16 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, shard_bytes:
     shards = max(1, -(-text_total(docs) // shard_bytes))
     rows = rows.withColumn("shard", shard_of(shards, "doc_id", "text"))
     listed = rows.groupBy("shard").applyInArrow(_list_words, "shard int, word long, n long")
-    counts = listed.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shard")).filter("n > 0")
-    counts = settle(counts, "counts")
+    listed = settle(listed, "listed")
+    counts = settle(listed.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "counts")
     ends = rows.filter("learned").count()
     found = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.select("word", "n").orderBy(F.desc("n"), "word").limit(SHORTLIST - 1).collect()
+    shortlist = min(int(SHORTLIST * (found[0] + ends) ** 0.25) + 1, MOST_ROWS)
+    frequent = counts.select("word", "n").orderBy(F.desc("n"), "word").limit(shortlist - 1).collect()
     both = [(r.n, np.int64(r.word).astype(np.uint64)) for r in frequent] + ([(ends, END)] if ends else [])
     both.sort(key=lambda x: (-x[0], int(x[1])))
     vocabulary = Vocabulary(found[0] + ends, found[1] + bool(ends), np.array([w for _, w in both], np.uint64), np.array([n for n, _ in both], np.int64))
     network = fit(rows, vocabulary, shards)
-    wanted = counts.select(F.explode("shard").alias("shard"), "word", "n")
+    # both sides are plain reads: a word that every shard has is split by AQE
+    wanted = listed.select("shard", "word").join(counts, "word")
     return rows.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_score(network, vocabulary, ends), _RESULT)

@@ -20,13 +20,20 @@ def bounded_sample(rows: DataFrame, by: str, each: int, key: str) -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= each).drop("_place")
 
 
+def draw(rows: int, most: int, seed: int | None) -> np.ndarray:
+    """At most ``most`` of so many rows, spread over all of them by a seeded draw, in order."""
+    if rows <= most:
+        return np.arange(rows)
+    return np.sort(np.random.default_rng(abs(seed or 0)).choice(rows, most, replace=False))
+
+
 class Adam:
     """Gradient steps with first and second moments."""
 
-    def __init__(self, weights: dict[str, np.ndarray], rate: float):
-        self.weights, self.rate, self.steps = weights, rate, 0
-        self.first = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.second = {k: np.zeros_like(v) for k, v in weights.items()}
+    def __init__(self, weights: dict[str, np.ndarray], rate: float, first: dict | None = None, second: dict | None = None, steps: int = 0):
+        self.weights, self.rate, self.steps = weights, rate, steps
+        self.first = first or {k: np.zeros_like(v) for k, v in weights.items()}
+        self.second = second or {k: np.zeros_like(v) for k, v in weights.items()}
 
     def step(self, gradients: dict[str, np.ndarray]) -> None:
         self.steps += 1
