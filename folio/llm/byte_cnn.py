@@ -4,7 +4,7 @@ A text's bytes (A-Z as a-z) are cut into windows of fixed length.  Filters of se
 run over each window's byte embeddings, the largest response of each filter is kept, and a
 softmax over those gives the languages' probabilities; a text's are the mean of its windows',
 weighted by their bytes.  The network is trained in numpy on a bounded sample of labelled
-texts.  For prediction, embeddings and filters are multiplied out into tables over pairs of
+texts, with windows drawn from the whole of each; every language of the training rows is learned.  For prediction, embeddings and filters are multiplied out into tables over pairs of
 bytes, so a filter response is a sum of table rows.
 
 Rows: a text that is null or has no letter gets ``und`` with score 0; so does every text when
@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from folio.llm.cluster import ready
 from folio.llm.text import slices, text_bytes
-from folio.llm.training import Adam, bounded_sample, fold, softmax
+from folio.llm.training import Adam, bounded_sample, draw, fold, softmax
+from folio.session import settle
 
 WINDOW = 128
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 8, 8
-#: Texts per language, bytes of each, and languages, that training sees at most.
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_LANGUAGES = 600, 3000, 200
+#: Texts per language, texts of all languages (but one of each), and windows of a text, that training sees at most.
+SAMPLE_TEXTS, SAMPLE_ALL, SAMPLE_WINDOWS = 600, 8000, 24
 STEPS, BATCH, RATE = 700, 96, 0.01
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -148,17 +149,33 @@ def _predict(weights: dict[str, np.ndarray] | None, languages: list[str]):
     return run
 
 
+def _drawn(batches):
+    """Windows drawn from the whole of each text, and their sizes."""
+    for batch in batches:
+        for low, high in slices(batch.column(2)):
+            x, text, size = windows(*text_bytes(batch.column(2)[low:high]))
+            at = np.searchsorted(text, np.arange(high - low + 1))
+            ids = batch.column(0)[low:high].to_pylist()
+            own = [a + draw(b - a, SAMPLE_WINDOWS, i) for a, b, i in zip(at[:-1].tolist(), at[1:].tolist(), ids, strict=True)]
+            columns = [pa.array([v[rows].tobytes() for rows in own], pa.binary()) for v in (x, size.astype("<i8"))]
+            yield pa.record_batch([batch.column(0)[low:high], batch.column(1)[low:high], *columns], names=["doc_id", "lang", "windows", "sizes"])
+
+
 def fit(docs: DataFrame, held_out) -> tuple[dict[str, np.ndarray] | None, list[str]]:
     """The network, and its languages, learned from a bounded sample of the rows not held out."""
-    known = docs.filter(held_out.isNotNull() & ~held_out & F.col("lang").isNotNull() & (F.length("text") > 0))
-    some = known.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    names = [r[0] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGUAGES).select("lang").collect()]
+    known = docs.withColumn("lang", F.col("lang").cast("string")).filter(held_out.isNotNull() & ~held_out & F.col("lang").isNotNull() & (F.length("text") > 0))
+    names = sorted(r[0] for r in known.select("lang").distinct().collect())
     if not names:
         return None, []
-    rows = bounded_sample(some.filter(F.col("lang").isin(names)), "lang", SAMPLE_TEXTS, "doc_id").orderBy("lang", "doc_id", "text").collect()
-    names.sort()
-    x, text, size = windows(*text_bytes(pa.array([r.text for r in rows], pa.string())))
-    labels = np.array([names.index(r.lang) for r in rows])[text]
+    each = max(1, min(SAMPLE_TEXTS, SAMPLE_ALL // len(names)))
+    # ids are sampled before any text is fetched
+    chosen = settle(bounded_sample(known.select("doc_id", "lang"), "lang", each, "doc_id").distinct(), "sample")
+    drawn = known.join(chosen, ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").mapInArrow(_drawn, "doc_id long, lang string, windows binary, sizes binary")
+    rows = drawn.orderBy("lang", "doc_id", "windows").collect()
+    x = np.frombuffer(b"".join(r.windows for r in rows), np.uint8).reshape(-1, WINDOW)
+    size = np.frombuffer(b"".join(r.sizes for r in rows), "<i8")
+    number = {name: i for i, name in enumerate(names)}
+    labels = np.repeat([number[r.lang] for r in rows], [len(r.sizes) // 8 for r in rows])
     whole = (size >= WINDOW // 4) | ~np.isin(labels, labels[size >= WINDOW // 4])
     return train(x[whole], labels[whole], len(names)), names
 

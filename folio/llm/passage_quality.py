@@ -1,9 +1,9 @@
 """Quality of documents by attention-based multiple-instance learning.
 
-A document is a bag of passages of fixed length.  Each passage is described by what its bytes
-and words look like, encoded by a layer, and weighted by gated attention; the weighted sum is
-scored by a logistic unit.  Only documents have labels: the attention weights are learned from
-them, in numpy, on a bounded sample of labelled documents.
+A document is a bag of passages of fixed length.  Each passage is described by its words, hashed, and by
+what its bytes and words look like; it is encoded by a layer and weighted by gated attention; the weighted
+sum is scored by a logistic unit.  Only documents have labels: the attention weights are learned from
+them, in numpy, on a bounded sample of labelled documents, with passages drawn from the whole of each.
 
 Rows: null and empty texts are a bag of one empty passage.  Rows without id, and labels that
 are null, are not learned from; without any label every score is 0.5.  Of several labels of a
@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folio.llm.cluster import ready
-from folio.llm.text import FOLDED_VALUES, running_hash, slices, span_hash, text_bytes, words
-from folio.llm.training import Adam, bounded_sample, fold, sigmoid
+from folio.llm.text import slices, text_bytes, text_hash, words
+from folio.llm.training import Adam, bounded_sample, draw, fold, sigmoid
+from folio.session import settle
 
 PASSAGE = 512
 #: Labelled documents of each class that training sees at most, and passages of each.
@@ -34,7 +35,9 @@ _CLASS[32], _CLASS[10], _CLASS[[9, 11, 12, 13]] = 5, 6, 7
 for _i, _b in enumerate(_SYMBOLS):
     _CLASS[_b] = 8 + _i
 _CLASSES = 8 + len(_SYMBOLS)
-FEATURES = _CLASSES + 7
+#: Buckets of hashed words.
+WORDS = 64
+FEATURES = _CLASSES + 7 + WORDS
 
 
 def passages(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +52,7 @@ def passages(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(total), size)
     shares = np.bincount(owner * _CLASSES + _CLASS[body], minlength=total * _CLASSES).reshape(total, _CLASSES) / np.maximum(size, 1)[:, None]
     start, end, _ = words(body, at)
-    name = span_hash(running_hash(body, FOLDED_VALUES), start, end)
+    name = text_hash(body, start, end, folded=True)
     own = owner[start] if len(start) else np.zeros(0, np.int64)
     per = np.bincount(own, minlength=total)
     many = np.maximum(per, 1)
@@ -64,9 +67,10 @@ def passages(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.log1p(size), np.bincount(own, size_of, total) / many / 10, np.bincount(own, again, total) / many, np.bincount(own[order], fresh, total) / many,
         np.bincount(own, marked, total) / many, np.bincount(own, size_of > 20, total) / many, np.bincount(own, size_of == 1, total) / many,
     ]
-    out = np.concatenate([shares, np.stack(more, axis=1)], axis=1)
+    hashed = np.bincount(own * WORDS + (name % np.uint64(WORDS)).astype(np.int64), minlength=total * WORDS).reshape(total, WORDS) / many[:, None]
+    out = np.concatenate([shares, hashed, np.stack(more, axis=1)], axis=1)
     # shares are small: their roots spread them
-    out[:, :_CLASSES] = np.sqrt(out[:, :_CLASSES])
+    out[:, : _CLASSES + WORDS] = np.sqrt(out[:, : _CLASSES + WORDS])
     return out.astype(np.float32), text
 
 
@@ -148,7 +152,8 @@ def _features(batches):
         for low, high in slices(batch.column(1)):
             rows, text = passages(*text_bytes(batch.column(1)[low:high]))
             at = np.searchsorted(text, np.arange(high - low + 1))
-            keep = [rows[a : min(b, a + SAMPLE_PASSAGES)].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            ids = batch.column(0)[low:high].to_pylist()
+            keep = [rows[a + draw(b - a, SAMPLE_PASSAGES, i)].tobytes() for a, b, i in zip(at[:-1].tolist(), at[1:].tolist(), ids, strict=True)]
             yield pa.record_batch([batch.column(0)[low:high], batch.column(2)[low:high], pa.array(keep, pa.binary())], names=["doc_id", "quality", "rows"])
 
 
@@ -156,8 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out) -> Bags | None:
     """The model learned from a bounded sample, equally of both classes if there are enough, of the rows not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("quality"))
-    chosen = bounded_sample(known.filter(~held_out), "quality", SAMPLE_DOCS, "doc_id")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(_features, "doc_id long, quality int, rows binary")
+    # written, so that the planner knows how small it is
+    chosen = settle(bounded_sample(known.filter(~held_out), "quality", SAMPLE_DOCS, "doc_id"), "sample")
+    rows = docs.join(chosen, "doc_id").select("doc_id", "text", "quality").mapInArrow(_features, "doc_id long, quality int, rows binary")
     found = rows.orderBy("doc_id", "rows").collect()
     if not found:
         return None
