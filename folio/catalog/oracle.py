@@ -268,6 +268,22 @@ def _redacted_cells() -> str:
     return " union all ".join(parts)
 
 
+def _case_texts() -> str:
+    """The sampled cases with the sizes and every blind text of their feeds."""
+    fields = {"orders": "recent_orders", "tickets": "recent_tickets", "notes": "recent_notes", "emails": "recent_emails", "fulfil": "fulfillment_events"}
+    joins, columns = [], []
+    for t, feed, key in FEEDS:
+        texts = [redacted(f"w.{c}", "c.customer_full_name") for c in text_columns(t, RECORD_COLUMNS[t]) if c not in BLIND_DROP_FIELDS]
+        joins.append(
+            f"left join (select r.tenant_id, r.customer_id, count(*) n, string_agg(concat_ws('|', {', '.join(texts)}), '||' order by rn) x from s_recent5 r "
+            f"join {whole(t)} w on w.tenant_id=r.tenant_id and w.{key}=r.id join s_customers c on c.tenant_id=r.tenant_id and c.customer_id=r.customer_id "
+            f"where feed='{feed}' and rn<=5 group by all) f_{feed} on f_{feed}.tenant_id=s.tenant_id and f_{feed}.customer_id=s.customer_id")
+        columns.append(f"coalesce(f_{feed}.n,0) {fields[feed]}, coalesce(f_{feed}.x,'') {fields[feed]}_texts")
+    return (
+        f"select s.tenant_id, concat('H',lpad(cast(\"position\" as varchar),3,'0')) case_id, review_id, s.customer_id, reviewed_at review_date, {', '.join(columns)} "
+        f"from s_sample20 s {' '.join(joins)}")
+
+
 def _leaks() -> str:
     """Accounts whose bundle shows a tag in any text, or a decision or notes of a prior review; and the same after redaction."""
     own = [c for c in text_columns("customers", RECORD_COLUMNS["customers"]) if c not in LEAKY_FIELDS]
@@ -490,13 +506,7 @@ from s_reviews k left join s_bundle using (tenant_id, customer_id)""",
 select * from (select tenant_id, customer_id, review_id, human_decision, outcome_status, follow_up_required, row_number() over (partition by tenant_id order by md5(concat('43:',review_id)), review_id) "position"
 from (select *, row_number() over (partition by tenant_id, human_decision order by md5(concat('42:',review_id)), review_id) draw from s_labelled) x
 join (select tenant_id, count(distinct human_decision) classes from s_labelled group by all) c using (tenant_id) where draw<=greatest(2,10//classes)) y where "position"<=10""",
-        "label_cases": f"""
-select tenant_id, concat('H',lpad(cast("position" as varchar),3,'0')) case_id, review_id, customer_id, reviewed_at review_date,
-  coalesce(o,0) recent_orders, coalesce(t,0) recent_tickets, coalesce(n,0) recent_notes, coalesce(e,0) recent_emails, coalesce(f,0) fulfillment_events, coalesce(note_texts,'') note_texts
-from s_sample20 left join (select r.tenant_id, r.customer_id, count(*) filter (feed='orders') o, count(*) filter (feed='tickets') t, count(*) filter (feed='notes') n,
-    count(*) filter (feed='emails') e, count(*) filter (feed='fulfil') f,
-    string_agg({redacted('note_text', 'customer_full_name')}, '|' order by rn) filter (feed='notes') note_texts
-  from s_recent5 r left join s_notes s on feed='notes' and s.note_id=r.id where rn<=5 group by all) b using (tenant_id, customer_id)""",
+        "label_cases": _case_texts(),
         "redact_notes": _redacted_cells(),
         "leak_check": _leaks(),
         "score_predictions": "select * replace (round(citation_validity,6) as citation_validity) from (select *, case when cited_count>0 then valid_citations/cited_count else 1.0 end citation_validity from s_scored) x",

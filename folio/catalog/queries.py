@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from folio.functions import columns as fx
 from folio.operators.name_index import NameIndex, write_name_index
@@ -707,10 +708,13 @@ def holdout(b: Book) -> DataFrame:
 def label_cases(b: Book) -> DataFrame:
     out = evidence.label_cases(b, 20, 7)
     sizes = [F.size(f"bundle.{f}").alias(f) for f in evidence.BUNDLE_FEEDS.values()]
-    return out.select(
-        "tenant_id", "case_id", "review_id", "customer_id", "review_date", *sizes,
-        F.array_join(F.transform("bundle.recent_notes", lambda r: r["note_text"]), "|").alias("note_texts"),
-    )
+    fields = {f: out.schema["bundle"].dataType[f].dataType.elementType for f in evidence.BUNDLE_FEEDS.values()}
+
+    def texts(field: str) -> Column:
+        names = [f.name for f in fields[field] if isinstance(f.dataType, StringType)]
+        return F.array_join(F.transform(f"bundle.{field}", lambda r: F.concat_ws("|", *[r[n] for n in names])), "||").alias(f"{field}_texts")
+
+    return out.select("tenant_id", "case_id", "review_id", "customer_id", "review_date", *sizes, *[texts(f) for f in fields])
 
 
 @query
@@ -878,7 +882,7 @@ def decision_trail(b: Book) -> DataFrame:
 
 @query
 def decided_actions(b: Book) -> DataFrame:
-    out = ledger.decided_actions(ledger.action_state(b["ledger"]), ledger.decisions(b["ledger"]), 20)
+    out = ledger.decided_actions(*ledger.state_and_trail(b["ledger"]), 20)
     return out.select("tenant_id", "action_id", "customer_full_name", "status", "decided_at", "decided_by", "decision_id", "decision_notes", "rank")
 
 

@@ -150,8 +150,17 @@ def action_by_id(state: DataFrame, *ids: str) -> DataFrame:
 
 def decisions(events: DataFrame) -> DataFrame:
     """The audit trail: one row per decision on an existing action, repeats included."""
-    decided = effective_events(events).filter("event_type = 'decide'")
-    return decided.select(
+    return _trail(effective_events(events))
+
+
+def state_and_trail(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The current state and the audit trail, from events that are cleaned once."""
+    effective = settle(effective_events(events), "effective")
+    return fold(effective), _trail(effective)
+
+
+def _trail(effective: DataFrame) -> DataFrame:
+    return effective.filter("event_type = 'decide'").select(
         "tenant_id", F.concat(F.lit("DEC-"), F.col("event_seq").cast("string")).alias("decision_id"), "customer_id", "customer_full_name",
         F.col("status").alias("decision"), F.col("actor").alias("decided_by"), F.col("event_ts").alias("decided_at"),
         F.col("notes").alias("decision_notes"), F.col("action_id").alias("related_action_id"),

@@ -43,9 +43,17 @@ def local_session(cores: str = "*", name: str = "folio", partitions: int = 8, **
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``, or else the warehouse, which all executors share as well."""
+    """The folder the cluster names in ``spark.checkpoint.dir``, or else the warehouse, which all executors share as well.
+
+    On a cluster a warehouse on a local disk is no shared folder: the job fails instead of losing rows.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.split("://")[0].startswith(("file", "/")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share: the warehouse {warehouse} is on a local disk")
+    return warehouse
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio.functions.columns import normalise_decision
 
+# The columns of a label sheet.
 SHEET_COLUMNS = ("case_id", "decision", "confidence", "labeler", "notes")
 
 
