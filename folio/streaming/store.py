@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from folio.sources.manifest import Manifests
+
 BUCKET, VERSION = "_bucket", "_version"
 BUCKETS = 32
 COMPACT_EVERY = 10
@@ -51,46 +53,22 @@ class KeyedTable:
     ):
         self.spark, self.folder, self.keys, self.sort_by, self.files = spark, folder.rstrip("/"), keys, list(sort_by), files
         self.buckets, self.compact_every = buckets, compact_every
-        self.fs_package = spark._jvm.org.apache.hadoop.fs
-        self.configuration = spark._jsc.hadoopConfiguration()
-        self.fs = self._path(self.folder).getFileSystem(self.configuration)
+        self.manifests = Manifests(spark, f"{self.folder}/manifest")
+        self.fs = self.manifests.fs
 
     # ---- manifests ------------------------------------------------------------------
 
-    def _path(self, path: str):
-        return self.fs_package.Path(path)
-
-    def _manifests(self) -> list[int]:
-        folder = self._path(f"{self.folder}/manifest")
-        if not self.fs.exists(folder):
-            return []
-        names = [f.getPath().getName() for f in self.fs.listStatus(folder)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
     def _read(self, number: int) -> Manifest:
-        stream = self.fs.open(self._path(f"{self.folder}/manifest/{number:012d}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        content = json.loads(text)
+        content = self.manifests.read(number)
         return Manifest(number, content["schema"], content["base"], [tuple(b) for b in content["batches"]], content["through"])
 
     def manifest(self) -> Manifest:
         """The newest one; an empty table has none."""
-        numbers = self._manifests()
+        numbers = self.manifests.numbers()
         return self._read(numbers[-1]) if numbers else Manifest()
 
     def _publish(self, new: Manifest) -> None:
-        content = {"schema": new.schema, "base": new.base, "batches": new.batches, "through": new.through}
-        unfinished = f"{self.folder}/manifest/unfinished-{uuid.uuid4().hex}"
-        out = self.fs.create(self._path(unfinished), False)
-        out.write(json.dumps(content).encode())
-        out.close()
-        target = self._path(f"{self.folder}/manifest/{new.number:012d}.json")
-        context = self.fs_package.FileContext.getFileContext(self.fs.getUri(), self.configuration)
-        # no options: the rename fails where another writer has published this number
-        context.rename(self._path(unfinished), target, self.spark._sc._gateway.new_array(self.fs_package.Options.Rename, 0))
+        self.manifests.publish(new.number, {"schema": new.schema, "base": new.base, "batches": new.batches, "through": new.through})
 
     # ---- writing ----------------------------------------------------------------------
 
@@ -136,15 +114,15 @@ class KeyedTable:
 
         Not for use while a batch is being written.
         """
-        numbers = self._manifests()
+        numbers = self.manifests.numbers()
         kept = set().union(*(self._read(n).folders() for n in numbers[-keep:])) if numbers else set()
-        data = self._path(f"{self.folder}/data")
+        data = self.manifests.path(f"{self.folder}/data")
         found = [f"{self.folder}/data/{f.getPath().getName()}" for f in self.fs.listStatus(data)] if self.fs.exists(data) else []
         gone = [p for p in found if p not in kept]
         for n in numbers[:-keep]:
-            self.fs.delete(self._path(f"{self.folder}/manifest/{n:012d}.json"), False)
+            self.manifests.remove(n)
         for path in gone:
-            self.fs.delete(self._path(path), True)
+            self.fs.delete(self.manifests.path(path), True)
         return gone
 
     # ---- reading ------------------------------------------------------------------------
