@@ -3,9 +3,9 @@
 Headers alone (id, address, length, digest) are shuffled by payload digest: of records with
 equal payloads of at least ``MIN_PAYLOAD`` bytes, the smallest page id is the response and
 the others revisit it.  Archives are written by Spark's text writer, whose commit protocol
-survives lost tasks, in files of a bounded number of records; a record's closing line
-breaks are the line separator.  Reading takes the archives as binary files, cuts them by
-Content-Length, digests what it finds and joins revisits to their responses.
+survives lost tasks, in files bounded by bytes (``FILE_SIZES``); a record's closing line
+breaks are the line separator.  Reading takes the archives as binary files, inflates them piece by piece, cuts
+them by Content-Length, digests what it finds and joins revisits to their responses.
 
 Rows: a null html is an empty payload, a null address gives no WARC-Target-URI, a row
 without page id is always a response; rows that repeat the smallest page id are all responses.
@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folio.llm.cluster import ready
-from folio.session import scratch_path, settle
+from folio.session import join_small, scratch_path, settle
 
 #: Smaller payloads are never replaced by a revisit record.
 MIN_PAYLOAD = 100
-#: Records in an archive file.
-FILE_RECORDS = 4000
+#: Records in an archive file, for payloads of up to so many bytes: 256 MB, or one larger record.
+FILE_SIZES = ((1 << 16, 4000), (1 << 22, 64), (1 << 62, 1))
+#: Bytes read from an archive at once.
+PIECE = 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 
@@ -47,7 +49,8 @@ def revisits(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     known = headers(pages).filter((F.col("payload_bytes") >= min_payload) & F.col("page_id").isNotNull())
     first = known.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last"))
     shared = first.filter(F.col("_last") > F.col("refers_to")).drop("_last")
-    joined = known.select("page_id", "payload_digest").join(shared, "payload_digest")
+    # both sides are plain shuffles, so a payload that very many pages have is split
+    joined = join_small(known.select("page_id", "payload_digest"), shared, ["payload_digest"], "inner")
     return joined.filter(F.col("page_id") > F.col("refers_to")).dropDuplicates(["page_id", "payload_digest"])
 
 
@@ -88,39 +91,91 @@ def records(pages: DataFrame, date: str, min_payload: int = MIN_PAYLOAD) -> Data
     return rows.select(F.concat(head, F.col("block")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, date: str | None = None, file_records: int = FILE_RECORDS) -> None:
-    """Write ``pages`` as deduplicated, compressed archives below ``path``."""
+def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, date: str | None = None, file_records: int | None = None) -> None:
+    """Write ``pages`` as deduplicated, compressed archives below ``path``.
+
+    Equal payloads have equal sizes, so they are written together.  ``file_records`` lowers the records of a file further.
+    """
     date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    writer = records(pages, date, min_payload).write.option("lineSep", _END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", file_records).text(path)
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+    lows = [0, *(most + 1 for most, _ in FILE_SIZES[:-1])]
+    own = [(size >= low) & (size <= most) for low, (most, _) in zip(lows, FILE_SIZES, strict=True)]
+    held = pages.agg(*[F.count_if(c) for c in own]).first()
+    for i, (_, most) in enumerate(FILE_SIZES):
+        if held[i] or (i == 0 and not any(held)):
+            writer = records(pages.filter(own[i]), date, min_payload).write.mode("append").option("lineSep", _END).option("compression", "gzip")
+            writer.option("maxRecordsPerFile", min(most, file_records or most)).text(path)
 
 
 _ID = re.compile(r"<urn:page:(-?\d+)>")
 _READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def _inflate(content: bytes) -> bytes:
-    parts = []
-    while content:
-        stream = zlib.decompressobj(wbits=47)
-        parts += [stream.decompress(content), stream.flush()]
-        content = stream.unused_data
-    return b"".join(parts)
-
-
-def parse(data: bytes) -> Iterator[tuple]:
+def inflate(content: bytes) -> Iterator[bytes]:
+    """The bytes of a compressed file of any number of members, in pieces."""
+    stream = zlib.decompressobj(wbits=47)
+    for at in range(0, len(content), PIECE):
+        data = content[at : at + PIECE]
+        while data:
+            out = stream.decompress(data, 4 * PIECE)
+            if out:
+                yield out
+            data = stream.unconsumed_tail
+            if stream.eof:
+                data, stream = stream.unused_data, zlib.decompressobj(wbits=47)
+    out = stream.flush()
+    if out:
+        yield out
+
+
+class _Buffer:
+    """Bytes that arrive in pieces; what has been used up is let go."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.data, self.at = iter(pieces), b"", 0
+
+    def more(self, wanted: int = 1) -> bool:
+        """Bring at least so many more bytes, if there are any."""
+        parts, got = [self.data[self.at :]], 0
+        self.at = 0
+        for piece in self.pieces:
+            parts.append(piece)
+            got += len(piece)
+            if got >= wanted:
+                break
+        self.data = b"".join(parts)
+        return got > 0
+
+    def find(self, mark: bytes) -> int:
+        stop = self.data.find(mark, self.at)
+        while stop < 0 and self.more():
+            stop = self.data.find(mark, self.at)
+        return stop
+
+    def take(self, size: int) -> bytes:
+        missing = self.at + size - len(self.data)
+        if missing > 0:
+            self.more(missing)
+        out = self.data[self.at : self.at + size]
+        self.at += size
+        return out
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
     """The records of one archive, cut by their Content-Length; what they declare is checked."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:stop].decode().split("\r\n")
+    buffer = _Buffer(pieces)
+    while buffer.at < len(buffer.data) or buffer.more():
+        stop = buffer.find(b"\r\n\r\n")
+        version, *lines = buffer.take(max(0, stop - buffer.at)).decode().split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"not a WARC record at byte {at}")
+            raise ValueError(f"not a WARC record: {version[:80]}")
+        buffer.take(4)
         head = dict(line.split(": ", 1) for line in lines)
-        size = int(head["Content-Length"])
-        body = stop + 4
-        http = data.index(b"\r\n\r\n", body, body + size) + 4
-        payload = view[http : body + size]
+        body = buffer.take(int(head["Content-Length"]))
+        if len(body) != int(head["Content-Length"]):
+            raise ValueError(f"{head['WARC-Record-ID']}: the archive ends within the record")
+        buffer.take(4)
+        payload = memoryview(body)[body.index(b"\r\n\r\n") + 4 :]
         page = _ID.fullmatch(head["WARC-Record-ID"])
         refers = _ID.fullmatch(head.get("WARC-Refers-To", ""))
         if refers is None and f"sha256:{hashlib.sha256(payload).hexdigest()}" != head["WARC-Payload-Digest"]:
@@ -129,7 +184,6 @@ def parse(data: bytes) -> Iterator[tuple]:
             int(page[1]) if page else None, head.get("WARC-Target-URI"), head["WARC-Type"], len(payload) if refers is None else None,
             head["WARC-Payload-Digest"].removeprefix("sha256:"), int(refers[1]) if refers else None, payload,
         )
-        at = body + size + 4
 
 
 def _read(payloads: bool):
@@ -143,7 +197,7 @@ def _read(payloads: bool):
         for files in batches:
             for content in files.column(0):
                 rows, held = [], 0
-                for record in parse(_inflate(content.as_py())):
+                for record in parse(inflate(content.as_py())):
                     rows.append((*record[:-1], bytes(record[-1]) if payloads and record[2] == "response" else None))
                     held += len(rows[-1][-1] or b"")
                     if len(rows) == 5000 or held > 8 << 20:
