@@ -566,6 +566,8 @@ where not exists (from s_emails m where m.direction='assistant' and m.tenant_id=
     sql["top_decile_revenue_bracketed"] = sql["top_decile_revenue"]
     for scanned in ("inventory", "dates", "columns"):
         sql[f"scanned_{scanned}"] = sql[f"audit_{scanned}"]
+    for counted in ("fk_coverage", "audit_duplicates"):
+        sql[f"{counted}_bitmaps"] = sql[counted]
     sql["scanned_patterns"] = sql["audit_pii_patterns"]
     sql["scanned_value_counts"] = sql["value_counts"]
     sql["evidence_bundle_bucketed"] = sql["evidence_bundle"]

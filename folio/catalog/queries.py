@@ -496,6 +496,19 @@ def fk_coverage(b: Book) -> DataFrame:
     )
 
 
+@query
+def fk_coverage_bitmaps(b: Book) -> DataFrame:
+    children = {t: df for t, df in b.spine().items() if t != "customers"}
+    return quality.fk_coverage_bitmaps(children, b["customers"]).select(
+        "table_name", "named_ids", "unknown_ids", "covered", *rounded(6, "coverage")
+    )
+
+
+@query
+def audit_duplicates_bitmaps(b: Book) -> DataFrame:
+    return quality.audit_duplicates_bitmaps(b.spine())
+
+
 @query
 def audit_dates(b: Book) -> DataFrame:
     return quality.audit_dates(b.spine(), AUDIT_DAY)

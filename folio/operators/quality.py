@@ -12,7 +12,7 @@ from folio.functions.columns import EMAIL_PATTERN, PHONE_PATTERN, blank, seeded_
 from folio.operators.activity import ACCOUNT, activity_counts
 from folio.operators.ranking import top_per
 from folio.schemas import DATE_COLUMNS, PRIMARY_KEY
-from folio.session import settle
+from folio.session import join_small, settle
 
 Tables = Mapping[str, DataFrame]
 
@@ -226,3 +226,74 @@ def scanned_dates(scan: DataFrame) -> DataFrame:
 def scanned_value_counts(scan: DataFrame, table: str, n: int = 10) -> DataFrame:
     counted = scan.filter((F.col("table_name") == table) & (F.col("position") == 1) & F.col("value").isNotNull())
     return counted.select("value", "rows").orderBy(F.col("rows").desc(), "value").limit(n)
+
+
+# ---- exact distinct counts by bitmaps ----------------------------------------------
+
+#: An id that is text and a number without leading zeros stands for that number, and no other id does.
+_NUMBERED = r"^(\D*)(0|[1-9][0-9]{0,17})$"
+#: Bits in a bitmap, and ids that a bitmap must stand for to cost less than they do.
+BITMAP_BITS, DENSE = 32_768, 128
+
+
+def _numbered(df: DataFrame, key: str) -> DataFrame:
+    """The text, bitmap and bit of each id; null for ids of another form."""
+    number = F.regexp_extract(key, _NUMBERED, 2).try_cast("bigint")
+    return df.withColumns({
+        "_text": F.when(number.isNotNull(), F.regexp_extract(key, _NUMBERED, 1)), "_map": F.bitmap_bucket_number(number), "_bit": F.bitmap_bit_position(number),
+    })
+
+
+def _dense_maps(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The bitmaps that stand for enough rows."""
+    return rows.filter("_map is not null").groupBy(*by, "_text", "_map").agg(F.count("*").alias("_n")).filter(F.col("_n") >= DENSE).drop("_n")
+
+
+def _routed(rows: DataFrame, maps: DataFrame, by: list[str]) -> DataFrame:
+    """``_dense`` says whether a row's id is counted by bitmap."""
+    return join_small(rows, maps.withColumn("_dense", F.lit(True)), [*by, "_text", "_map"])
+
+
+def fk_coverage_bitmaps(children: Tables, customers: DataFrame) -> DataFrame:
+    """``fk_coverage`` with bitmaps shuffled in place of ids, where the ids of the book are dense numbers.
+
+    Ids of another form, and numbers far from any account's, are counted one by one.
+    """
+    place = ["tenant_id", "_text", "_map"]
+    book = _numbered(customers.select(*ACCOUNT), "customer_id")
+    maps = settle(_dense_maps(book, ["tenant_id"]), "maps")
+    known = _routed(book, maps, ["tenant_id"])
+    bits = settle(known.filter("_dense").groupBy(*place).agg(F.bitmap_construct_agg("_bit").alias("bits")), "known")
+    named = _stack([df.filter("customer_id is not null").select(F.lit(n).alias("table_name"), *ACCOUNT) for n, df in children.items()])
+    named = _routed(_numbered(named, "customer_id"), maps, ["tenant_id"])
+
+    own = named.filter("_dense").groupBy("table_name", *place).agg(F.bitmap_construct_agg("_bit").alias("bits"))
+    names = F.explode(F.array(*[F.lit(n) for n in children]))
+    both = own.withColumn("own", F.bitmap_count("bits")).withColumn("book", F.lit(0).cast("bigint")).unionByName(
+        bits.select(names.alias("table_name"), *place, "bits", F.lit(0).cast("bigint").alias("own"), F.bitmap_count("bits").alias("book"))
+    )
+    # what two bitmaps have in common: their bits less those of their union
+    met = both.groupBy("table_name", *place).agg(F.sum("own").alias("own"), F.sum("book").alias("book"), F.bitmap_count(F.bitmap_or_agg("bits")).alias("any"))
+    by_map = met.select("table_name", F.col("own").alias("named"), (F.col("own") + F.col("book") - F.col("any")).alias("covered"))
+
+    single = known.filter("_dense is null").select(*ACCOUNT).distinct().withColumn("known", F.lit(True))
+    others = named.filter("_dense is null").select("table_name", *ACCOUNT).distinct().join(single, ACCOUNT, "left")
+    by_id = others.select("table_name", F.lit(1).cast("bigint").alias("named"), F.when(F.col("known"), 1).otherwise(0).cast("bigint").alias("covered"))
+    size = bits.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n")).scalar() + single.agg(F.count("*").alias("n")).scalar()
+    counted = by_map.unionByName(by_id).groupBy("table_name").agg(F.sum("named").alias("named_ids"), F.sum("covered").alias("covered")).filter("named_ids > 0")
+    return counted.select("table_name", "named_ids", (F.col("named_ids") - F.col("covered")).alias("unknown_ids"), "covered", (F.col("covered") / size).alias("coverage"))
+
+
+def audit_duplicates_bitmaps(tables: Tables) -> DataFrame:
+    """``audit_duplicates`` with bitmaps shuffled in place of ids, where a table's keys are dense numbers."""
+    by = ["table_name", "key_column", "tenant_id"]
+    keyed = _stack([
+        tables[name].select(F.lit(name).alias("table_name"), F.lit(key).alias("key_column"), "tenant_id", F.col(key).cast("string").alias("key"))
+        for name, key in PRIMARY_KEY.items() if name in tables and key in tables[name].columns
+    ])
+    keyed = _numbered(keyed, "key")
+    rows = _routed(keyed, _dense_maps(keyed, by), by)
+    by_map = rows.filter("_dense").groupBy(*by, "_text", "_map").agg(F.count("*").alias("rows"), F.bitmap_count(F.bitmap_construct_agg("_bit")).alias("keys"))
+    by_key = rows.filter("_dense is null").groupBy(*by, "key").agg(F.count("*").alias("rows")).withColumn("keys", F.lit(1).cast("bigint"))
+    both = by_map.select(*by[:2], "rows", "keys").unionByName(by_key.select(*by[:2], "rows", "keys"))
+    return both.groupBy(*by[:2]).agg((F.sum("rows") - F.sum("keys")).alias("duplicates"))

@@ -203,3 +203,26 @@ def test_the_scan_reads_each_table_once(spark, data_dir, monkeypatch):
     monkeypatch.setattr(quality, "settle", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
     quality.audit_scan(tables, "2024-01-01")
     assert plans[0].split("== Initial Plan")[0].count("FileScan parquet") == 2
+
+
+ODD_IDS = ["C01", "C1", "c1", "C", "", None, "C-1", "12", "C99999999999999999999", "C999999999999999999", "é7", "C7x", "0", "00", "C0"]
+
+
+def test_distinct_counts_by_bitmaps_are_those_by_ids(spark):
+    book = [(t, f"C{i}") for t in "tu" for i in range(400 if t == "t" else 40_000, 41_000 if t == "u" else 1200)] + [("t", i) for i in ODD_IDS[:9]] + [(None, "C1"), ("t", "C401")]
+    child = [("t", f"C{i}") for i in range(0, 3000, 3)] * 2 + [("u", f"C{i}") for i in range(39_000, 42_000, 7)] + [("t", i) for i in ODD_IDS] * 2 + [("w", "C5"), (None, "C1")]
+    customers = spark.createDataFrame(book, "tenant_id string, customer_id string")
+    children = {"orders": spark.createDataFrame(child, "tenant_id string, customer_id string"), "notes": customers.limit(5), "none": customers.limit(0)}
+    got, want = quality.fk_coverage_bitmaps(children, customers), quality.fk_coverage(children, customers)
+    assert collect(got, *want.columns) == collect(want)
+    tables = {"customers": customers, "orders": children["orders"].withColumnRenamed("customer_id", "order_id")}
+    got, want = quality.audit_duplicates_bitmaps(tables), quality.audit_duplicates(tables)
+    assert collect(got, *want.columns) == collect(want)
+
+
+def test_bitmaps_are_shuffled_in_place_of_dense_ids(spark):
+    rows = spark.range(100_000).select(F.lit("t").alias("tenant_id"), F.concat(F.lit("O"), (F.col("id") % 60_000).cast("string")).alias("order_id"))
+    df = quality.audit_duplicates_bitmaps({"orders": rows})
+    assert collect(df, "duplicates") == [40_000]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "partial_bitmap_construct_agg" in plan.replace(" ", "")
