@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folio.functions.columns import band_is, blank, priority_rank, seeded_int, seeded_order
 from folio.operators.activity import ACCOUNT
-from folio.operators.ranking import number_rows, running_total, top_per
+from folio.operators.ranking import number_by_text, running_total, top_per
 from folio.session import join_small
 
 Tables = Mapping[str, DataFrame]
@@ -168,8 +168,8 @@ def spread_tickets(customers: DataFrame, tickets: DataFrame, seed: int = 42) ->
     Targets per account follow its band and are scaled to the tickets there are.
     Rounding the running total of the targets gives every account the floor or the
     ceiling of its scaled target and hands out every ticket exactly once; tickets of
-    a tenant without accounts keep what they have.  Tickets
-    and accounts are numbered by range partitions, then meet on the number.
+    a tenant without accounts keep what they have.  Tickets are numbered by the first characters of their
+    ids and accounts by range partitions, then both meet on the number.
     """
     draw = seeded_int(seed, "tickets", F.col("customer_id"))
     wanted = customers.select(
@@ -196,8 +196,7 @@ def spread_tickets(customers: DataFrame, tickets: DataFrame, seed: int = 42) ->
         "tenant_id", F.col("customer_id").alias("new_id"), "new_name", "new_source",
         F.explode(F.sequence("first", "after")).alias("slot"),
     )
-    urgent = [priority_rank(F.col("ticket_priority")).asc(), F.col("ticket_id").asc()]
-    numbered = number_rows(tickets, ["tenant_id"], urgent, "slot")
+    numbered = number_by_text(tickets, ["tenant_id"], priority_rank(F.col("ticket_priority")), "ticket_id", "slot")
     # both sides have a row per ticket; the planner would take the unexploded slots for a small side
     handed = numbered.join(slots.hint("merge"), ["tenant_id", "slot"], "left")
     # tickets of a tenant without accounts have no slot and stay as they are

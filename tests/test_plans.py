@@ -5,6 +5,7 @@ from __future__ import annotations
 from folio.operators import accounts, activity, ledger, portfolio
 from folio.operators.ranking import GROUP_LIMIT, number_rows, running_total, top_per
 from folio.sources.binding import book
+import pytest
 from pyspark.sql import functions as F
 
 def plan_of(df) -> str:
@@ -117,3 +118,27 @@ def test_a_third_of_the_events_on_one_action_is_split(spark):
     edits = [i for i in hot if first < i < decided and i % 50 not in (7, 9) and i % 5 != 1]
     assert rows["HOT"].payload_json == str(edits[-1] if edits else first)
     assert rows["HOT"].status == "approved"
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 40, 1])
+def test_numbers_by_the_first_characters_of_an_id(spark, monkeypatch, limit):
+    from folio.operators import ranking
+
+    monkeypatch.setattr(ranking, "GROUP_ROWS", limit)
+    ids = [f"TK-{i * 7919 % 100_003}" for i in range(1500)] + ["TK-", "TK-é1", "TK-日"]
+    rows = [("big" if n % 5 else "small", n % 4, i) for n, i in enumerate(ids)] + [("big", 1, None)]
+    df = spark.createDataFrame(rows, "g string, r int, id string").repartition(5)
+    got = {(r.g, r.id): r.row_no for r in ranking.number_by_text(df, ["g"], F.col("r"), "id").collect()}
+    for g in ("big", "small"):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2] is not None, (r[2] or "").encode()))
+        assert [got[g, r[2]] for r in own] == list(range(1, len(own) + 1))
+    empty = ranking.number_by_text(df.limit(0), ["g"], F.col("r"), "id")
+    assert empty.count() == 0
+
+
+def test_all_ids_alike_and_one_row(spark):
+    from folio.operators.ranking import number_by_text
+
+    same = spark.createDataFrame([("g", 0, "A")] * 3, "g string, r int, id string")
+    assert sorted(r.row_no for r in number_by_text(same, ["g"], F.col("r"), "id").collect()) == [1, 2, 3]
+    assert [r.row_no for r in number_by_text(same.limit(1), ["g"], F.col("r"), "id").collect()] == [1]
