@@ -34,17 +34,22 @@ from folio.operators.ranking import GROUP_LIMIT, number_rows, top_per
 from folio.session import settle
 
 #: At a similarity of 0.8 a pair shares no band with a probability of 5e-6, and its sketches differ too much with
-#: one of about 1e-6; at 0.4 it shares a band with 0.15.
+#: one of about 2e-6; at 0.4 it shares a band with 0.15.
 BANDS, BAND_ROWS = 40, 6
 SKETCH_BITS = 1024
 #: Standard deviations that an estimate may fall short before a pair is dropped.
 MARGIN = 5.0
 FIRST_PIVOTS, MORE_PIVOTS = 8, 8
+#: What meets several others of its bucket gets a sketch of so many times the samples and bits: half the deviation.
+FINER = 4
 
 _SAMPLES = BANDS * BAND_ROWS
 _SEEDS = mix(np.arange(1, 2 * _SAMPLES + 1, dtype=np.uint64))
 _XOR = (_SEEDS[:_SAMPLES] >> np.uint64(32)).astype(np.uint32)
 _TIMES = (_SEEDS[_SAMPLES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_FINE = mix(np.arange(1, 2 * FINER * _SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_FINE_XOR = (_FINE[: FINER * _SAMPLES] >> np.uint64(32)).astype(np.uint32)
+_FINE_TIMES = (_FINE[FINER * _SAMPLES :] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
@@ -76,35 +81,36 @@ def shingle_sets(body: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def min_hashes(items: np.ndarray) -> np.ndarray:
+def min_hashes(items: np.ndarray, xor: np.ndarray = _XOR, times: np.ndarray = _TIMES) -> np.ndarray:
     low = (items >> np.uint64(32)).astype(np.uint32)
-    best = np.full(_SAMPLES, 0xFFFFFFFF, np.uint32)
+    best = np.full(len(xor), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 512):
-        block = low[at : at + 512, None] ^ _XOR
-        block *= _TIMES
+        block = low[at : at + 512, None] ^ xor
+        block *= times
         np.minimum(best, block.min(axis=0), out=best)
     return best
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity bitmaps (rows of 64-bit words) of rows of MinHash samples."""
-    places = mix(samples.astype(np.uint64) + (np.arange(samples.shape[1], dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    counts = np.zeros((len(samples), SKETCH_BITS), np.uint8)
+    places = mix(samples.astype(np.uint64) + (np.arange(samples.shape[1], dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
+    counts = np.zeros((len(samples), bits), np.uint8)
     np.add.at(counts, (np.arange(len(samples))[:, None], places.astype(np.int64)), 1)
     return np.packbits(counts & 1, axis=1, bitorder="little").view(np.int64)
 
 
-def most_differing(similarity: float) -> int:
+def most_differing(similarity: float, finer: int = 1) -> int:
     """Differing bits beyond which an estimate is below ``similarity`` by more than the margin.
 
     Both draws vary: which samples differ, and which of their places in the sketch coincide.
     """
-    differing = _SAMPLES * (1 - similarity)
-    kept = np.exp(-4 * differing / SKETCH_BITS)
+    bits = finer * SKETCH_BITS
+    differing = finer * _SAMPLES * (1 - similarity)
+    kept = np.exp(-4 * differing / bits)
     of_samples = 2 * kept * (differing * similarity) ** 0.5
     # two of the 2d places coincide in about 2d * d / bits pairs, each of which hides two
-    of_places = 2 * (2 * differing * differing / SKETCH_BITS) ** 0.5
-    return int(np.ceil(SKETCH_BITS / 2 * (1 - kept) + MARGIN * (of_samples**2 + of_places**2) ** 0.5))
+    of_places = 2 * (2 * differing * differing / bits) ** 0.5
+    return int(np.ceil(bits / 2 * (1 - kept) + MARGIN * (of_samples**2 + of_places**2) ** 0.5))
 
 
 def _signatures(k: int):
@@ -159,6 +165,14 @@ def _items(batches):
         yield pa.record_batch([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), at))], names=["item", "rep"])
 
 
+def _fine_sketches(batches):
+    for batch in batches:
+        body, at = text_bytes(batch.column(1))
+        items = np.frombuffer(body.tobytes(), np.uint64)
+        fine = [odd_sketch(min_hashes(items[a:b], _FINE_XOR, _FINE_TIMES)[None], FINER * SKETCH_BITS)[0] for a, b in zip(at[:-1] // 8, at[1:] // 8, strict=True)]
+        yield pa.record_batch([batch.column(0), pa.array([f.tolist() for f in fine], pa.list_(pa.int64()))], names=["rep", "fine"])
+
+
 def own_items(sets: DataFrame) -> DataFrame:
     """rep and n_own, the number of its items that no other of these sets has."""
     items = sets.mapInArrow(_items, "item long, rep long")
@@ -172,10 +186,10 @@ def _could_share(n_a, own_a, n_b, own_b, percent: int):
     return 100 * most >= percent * (n_a + n_b - most)
 
 
-def _may_link(n_a, s_a, n_b, s_b, percent: int):
+def _may_link(n_a, s_a, n_b, s_b, percent: int, finer: int = 1):
     """Whether sizes and sketches allow the similarity."""
     differing = F.aggregate(F.zip_with(s_a, s_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differing <= most_differing(percent / 100))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differing <= most_differing(percent / 100, finer))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,6 +235,8 @@ def near_groups(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFra
             rest = sets.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
             known_own = settle(sketches.join(own_items(rest), "rep", "left").na.fill(0, ["n_own"]), "own")
             known_own = known_own.filter(100 * (F.col("n_shingles") - F.col("n_own")) >= percent * F.col("n_shingles"))
+            fine = sets.join(known_own.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_fine_sketches, "rep long, fine array<long>")
+            known_own = settle(known_own.drop("sketch").join(fine, "rep"), "fine")
         members = settle(members.join(known_own, "rep"), "open")
         if members.isEmpty():
             break
@@ -234,7 +250,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFra
             centres = members.join(settle(placed, "placed"), ["key", "rep"])
         columns = ["key", "component", *known_own.columns]
         centres = settle(centres.select("_place", *(F.col(c).alias(f"_{c}") for c in columns)), "pivots")
-        likely = _may_link(F.col("n_shingles"), F.col("sketch"), F.col("_n_shingles"), F.col("_sketch"), percent)
+        likely = _may_link(F.col("n_shingles"), F.col("fine"), F.col("_n_shingles"), F.col("_fine"), percent, FINER)
         likely &= _could_share(F.col("n_shingles"), F.col("n_own"), F.col("_n_shingles"), F.col("_n_own"), percent)
         common = F.array_position(F.zip_with("bands", "_bands", lambda x, y: x == y), True)
         likely &= F.element_at("bands", common.cast("int")) == F.col("key")
