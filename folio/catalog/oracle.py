@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StringType
-
 from folio.catalog.oracle_spine import with_views
 from folio.functions.columns import BLIND_DROP_FIELDS, LEAKY_FIELDS
-from folio.schemas import RECORD_COLUMNS, declared
+from folio.schemas import RECORD_COLUMNS, SPINE_DDL
 
 CARD = "tenant_id, customer_id, customer_full_name, risk_score, risk_band, total_sales"
 RISK = "risk_score desc nulls last, customer_id"
@@ -219,23 +217,28 @@ def _label_report() -> str:
     return " union all ".join(parts)
 
 
+def fields(table: str) -> list[tuple[str, str]]:
+    """Name and type of the declared columns, without a session."""
+    return [tuple(x.split()) for x in SPINE_DDL[table].split(",")]
+
+
 def whole(table: str) -> str:
     """A table with all its declared columns; those that the source does not fill are null."""
     kinds = {"string": "varchar", "timestamp_ntz": "timestamp"}
-    empty = ", ".join(f"cast(null as {kinds.get(f.dataType.simpleString(), f.dataType.simpleString())}) {f.name}" for f in declared(table))
+    empty = ", ".join(f"cast(null as {kinds.get(kind, kind)}) {name}" for name, kind in fields(table))
     return f"(select {empty} where false union all by name select * from {ALL_TABLES[table]})"
 
 
 def text_columns(table: str, columns: tuple[str, ...] = ()) -> list[str]:
     """The declared text columns, or those of them that are asked for."""
-    texts = ["tenant_id", *(f.name for f in declared(table) if isinstance(f.dataType, StringType))]
+    texts = ["tenant_id", *(name for name, kind in fields(table) if kind == "string")]
     return [c for c in columns or texts if c in texts]
 
 
 def _columns() -> str:
     parts = []
     for t in ALL_TABLES:
-        names = ["tenant_id", *(f.name for f in declared(t))]
+        names = ["tenant_id", *(name for name, _ in fields(t))]
         entries = ", ".join(f"{{'position': {i}, 'column_name': '{c}', 'filled_rows': count({c})}}" for i, c in enumerate(names, start=1))
         parts.append(f"select '{t}' table_name, x.position \"position\", x.column_name, x.filled_rows from (select unnest([{entries}]) x from {whole(t)} w) c")
     return " union all ".join(parts)
