@@ -414,6 +414,8 @@ def _score(network: Network | None, vocabulary: Vocabulary, end_count: int):
         names = counts.column("word").to_numpy().view(np.uint64)
         by = np.argsort(names)
         names, number = np.append(names[by], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(counts.column("n").to_numpy()[by], 0)
+        # in one order however they arrived: a row's place in a product may show in its last digits
+        docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         texts = docs.column("text").combine_chunks()
         parts = []
         for low, high in slices(texts):
