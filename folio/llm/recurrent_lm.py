@@ -37,6 +37,8 @@ SHARD_BYTES = 16 << 20
 #: 16-bit numbers.  Inputs for all other words.
 SHORTLIST, MOST_ROWS, TAILS = 16, 65_000, 64
 HIDDEN, STEPS, STREAMS, RATE = 16, 16, 256, 0.012
+#: A shard with fewer tokens for each stream has fewer streams, so that it still takes many steps.
+STREAM_TOKENS = 4096
 #: Shards that train side by side before their weights are averaged, at least; rounds, at most; pieces in which
 #: weights are averaged.
 ROUND_SHARDS, MOST_ROUNDS, PIECES = 16, 32, 16
@@ -193,7 +195,7 @@ def train(network: Network, inputs: np.ndarray, at: np.ndarray, rate: float) ->
     ``inputs`` are the rows of all tokens, each text's end included.  State is carried between
     windows, gradients are not; every text starts anew from the end before it.
     """
-    streams = deal(np.diff(at), STREAMS)
+    streams = deal(np.diff(at), min(STREAMS, max(8, int(at[-1]) // STREAM_TOKENS)))
     own = [np.concatenate([inputs[at[t] : at[t + 1]] for t in texts]).astype(np.int64) for texts in streams]
     size = np.array([len(x) for x in own])
     if not len(size):
