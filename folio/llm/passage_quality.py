@@ -35,8 +35,8 @@ _CLASS[32], _CLASS[10], _CLASS[[9, 11, 12, 13]] = 5, 6, 7
 for _i, _b in enumerate(_SYMBOLS):
     _CLASS[_b] = 8 + _i
 _CLASSES = 8 + len(_SYMBOLS)
-#: Buckets of hashed words.
-WORDS = 64
+#: Buckets of hashed words, and labelled documents with which they have half their weight.
+WORDS, FEW_DOCS = 64, 1000
 FEATURES = _CLASSES + 7 + WORDS
 
 
@@ -132,7 +132,10 @@ class Bags:
 
 def train(features: np.ndarray, bag: np.ndarray, labels: np.ndarray, seed: int = 11) -> Bags:
     """Bags learned from the passages (in bag order) of labelled documents."""
-    model = Bags.fresh(features.mean(axis=0), features.std(axis=0) + 0.02, seed)
+    spread = features.std(axis=0) + 0.02
+    # few documents say little about single words: until there are more, words weigh less
+    spread[_CLASSES : _CLASSES + WORDS] *= 1 + FEW_DOCS / len(labels)
+    model = Bags.fresh(features.mean(axis=0), spread, seed)
     learned = {k: v for k, v in model.weights.items() if k not in ("mean", "spread")}
     adam, rng = Adam(learned, RATE), np.random.default_rng(seed)
     at = np.searchsorted(bag, np.arange(len(labels) + 1))
