@@ -13,6 +13,7 @@ from folio.operators.activity import ACCOUNT, FEED_DATE, recent
 from folio.operators.ranking import top_per
 from folio.schemas import PRIMARY_KEY, RECORD_COLUMNS
 from folio.session import join_small, settle
+from folio.sources.binding import Scans
 
 Tables = Mapping[str, DataFrame]
 
@@ -84,8 +85,11 @@ def valid_record_ids(bundle: DataFrame) -> Column:
 def record_ids(tables: Tables, accounts: DataFrame, per_feed: int = PER_FEED) -> DataFrame:
     """Only the citable ids per account, without building the bundles."""
     out = wanted = settle(accounts.select(*ACCOUNT).distinct(), "wanted")
+    # tables read straight from the source leave out the rows of other ids before they join them
+    some = settle(wanted.select("customer_id").distinct(), "ids") if isinstance(tables, Scans) else None
     for feed, field in BUNDLE_FEEDS.items():
-        df = tables[feed].join(wanted, ACCOUNT, "left_semi")
+        df = tables[feed] if some is None else tables.rows_of(feed, some)
+        df = df.join(wanted, ACCOUNT, "left_semi")
         columns = {*ACCOUNT, PRIMARY_KEY[feed], FEED_DATE[feed], *(["message_sequence"] if feed == "customer_email_logs" else [])}
         ids = recent(df.select(*columns), feed, per_feed).groupBy(*ACCOUNT).agg(F.collect_set(PRIMARY_KEY[feed]).alias(field))
         out = out.join(ids, ACCOUNT, "left")

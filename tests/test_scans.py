@@ -8,7 +8,7 @@ import shutil
 import pytest
 
 from folio.catalog.queries import all_queries
-from folio.operators import quality
+from folio.operators import evidence, quality
 from folio.operators.name_index import PART, NameIndex, write_name_index
 from folio.sources.binding import book
 
@@ -75,3 +75,15 @@ def test_long_needles_meet_few_accounts(spark, tmp_path):
 def test_patterns_are_found_in_short_cells_too(spark, text, email, phone):
     out = quality.audit_pii_patterns({"notes": spark.createDataFrame([(text,)], "note string")}).first()
     assert (out.email_cells, out.phone_cells) == (email, phone)
+
+
+def test_feeds_join_the_rows_of_asked_accounts_only(fresh):
+    b = fresh[1]
+    scans = b.scans(*evidence.BUNDLE_FEEDS)
+    asked = b.scan("customer_review_logs").select("tenant_id", "customer_id").limit(5)
+    plan = evidence.record_ids(scans, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi, (concat(C, ") == len(scans)
+    ids = asked.select("customer_id").distinct().localCheckpoint()
+    for table, df in scans.items():
+        some, same = b.scan_of(table, ids), df.join(ids, "customer_id", "left_semi").select(df.columns)
+        assert some.schema == df.schema and some.exceptAll(same).isEmpty() and same.exceptAll(some).isEmpty(), table
