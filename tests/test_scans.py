@@ -6,9 +6,10 @@ import os
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.catalog.queries import all_queries
-from folio.operators import evidence, quality
+from folio.operators import evidence, name_index, quality
 from folio.operators.name_index import PART, NameIndex, write_name_index
 from folio.sources.binding import book
 
@@ -87,3 +88,14 @@ def test_feeds_join_the_rows_of_asked_accounts_only(fresh):
     for table, df in scans.items():
         some, same = b.scan_of(table, ids), df.join(ids, "customer_id", "left_semi").select(df.columns)
         assert some.schema == df.schema and some.exceptAll(same).isEmpty() and same.exceptAll(some).isEmpty(), table
+
+
+def test_a_larger_index_is_sorted_by_more_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(name_index, "TASK_ROWS", 2000, raising=False)
+    people = spark.range(1500).selectExpr("'t' as tenant_id", "concat('C', id) as customer_id", "'Mary Smith' as customer_full_name", "format_string('customer#%09d@example.com', id) as customer_email", "1.0D as risk_score")
+    write_name_index(people, str(tmp_path))
+    index = NameIndex(spark, str(tmp_path))
+    of_file = [r["count"] for r in index.postings.groupBy(F.input_file_name()).count().collect()]
+    assert sum(of_file) > 100_000 and max(of_file) < 10_000
+    assert index.counts.agg(F.sum("rows")).first()[0] == sum(of_file)
+    assert index.counts.count() == index.counts.select("tenant_id", "gram").distinct().count()
