@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from folio.llm.cluster import ready, shard_of, text_total
@@ -69,13 +70,23 @@ def with_ends(values: np.ndarray, first: np.ndarray, end) -> tuple[np.ndarray, n
 # ---- network ---------------------------------------------------------------------------------
 
 
+def _places(values: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Where each value stands among the names, -1 if nowhere: by a hash table, which beats searching sorted names."""
+    return pc.index_in(pa.array(values), value_set=pa.array(names)).fill_null(-1).to_numpy().astype(np.int64)
+
+
+def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of each class in turn, and where each class begins; numbers of 16 bits are sorted by their digits."""
+    by = np.argsort(cls.astype(np.uint16), kind="stable")
+    return by, np.append(0, np.cumsum(np.bincount(cls, minlength=classes)))
+
+
 class Vocabulary:
     """Counts of all training tokens, and the frequent ones by rank."""
 
     def __init__(self, total: int, distinct: int, names: np.ndarray, counts: np.ndarray):
         self.total, self.distinct = total, distinct
         self.names, self.counts = names, counts  # by falling count
-        self.order = np.argsort(names)
         # as many classes as words in a class
         self.class_words = max(1, int(np.ceil(len(names) ** 0.5)))
         self.classes = -(-len(names) // self.class_words)
@@ -89,9 +100,7 @@ class Vocabulary:
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of every word that has its own output, -1 for others."""
-        ordered = self.names[self.order]
-        at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
-        return np.where(ordered[at] == hashes, self.order[at], -1)
+        return _places(hashes, self.names)
 
 
 class Network:
@@ -152,21 +161,26 @@ class Network:
         cls = np.where(ranks >= 0, ranks // self.class_words, self.rest)
         logits = states @ w["classes"]
         logits += w["classes_bias"]
-        out = (logits[np.arange(len(cls)), cls] - _log_sum(logits)).astype(np.float64)
-        by = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[by], np.arange(self.rest + 1))
+        chosen = logits[np.arange(len(cls)), cls]
+        out = (chosen - _log_sum(logits)).astype(np.float64)
+        by, edges = _by_class(cls, self.rest + 1)
+        ordered, place = states[by], ranks[by] % self.class_words
         for c in range(self.rest):
-            rows = by[edges[c] : edges[c + 1]]
-            if len(rows):
-                inner = states[rows] @ w["words"][c]
+            own = slice(edges[c], edges[c + 1])
+            if edges[c] < edges[c + 1]:
+                inner = ordered[own] @ w["words"][c]
                 inner += w["words_bias"][c]
-                out[rows] += inner[np.arange(len(rows)), ranks[rows] % self.class_words] - _log_sum(inner)
+                chosen = inner[np.arange(len(inner)), place[own]]
+                out[by[own]] += chosen - _log_sum(inner)
         return out
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
+    """Of each row; the rows are used up."""
     top = logits.max(axis=1, keepdims=True)
-    return np.log(np.exp(logits - top).sum(axis=1)) + top[:, 0]
+    logits -= top
+    np.exp(logits, out=logits)
+    return np.log(logits.sum(axis=1)) + top[:, 0]
 
 
 def _shares(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -206,6 +220,7 @@ def train(network: Network, inputs: np.ndarray, at: np.ndarray, rate: float) ->
         y[: len(column), i] = column
     x = np.vstack([np.full((1, len(size)), network.end, np.int64), y[:-1]])
     ends = x == network.end
+    some_end = ends.any(axis=1)
     known = len(w["input"]) - TAILS
     active = np.searchsorted(-size, -np.arange(size[0]), "left")  # streams longer than t
     adam = Adam(w, rate, network.first, network.second, network.steps)
@@ -215,7 +230,7 @@ def train(network: Network, inputs: np.ndarray, at: np.ndarray, rate: float) ->
         kept, states = [], []
         for t in range(low, high):
             n = active[t]
-            h = np.where(ends[t, :n, None], np.float32(0), h[:n])  # the end's own row starts the next text
+            h = np.where(ends[t, :n, None], np.float32(0), h[:n]) if some_end[t] else h[:n]  # the end's own row starts the next text
             after, *gates = network.step(x[t, :n], h)
             kept.append((h, *gates))
             states.append(after)
@@ -242,12 +257,14 @@ def train(network: Network, inputs: np.ndarray, at: np.ndarray, rate: float) ->
             np.subtract(1, g[:, s:], out=g[:, s:])
             g[:, s:] *= d
             back += g @ state_t
-            back[ends[low + t, : len(back)]] = 0
+            if some_end[low + t]:
+                back[ends[low + t, : len(back)]] = 0
         grads["state"] = np.concatenate([k[0] for k in kept]).T @ gates_down
         rows = np.concatenate([x[t, : active[t]] for t in range(low, high)])
-        by = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.append(True, rows[by][1:] != rows[by][:-1]))
-        grads["input"][rows[by][first]] = np.add.reduceat(gates_down[by], first, axis=0)
+        by = np.argsort(rows.astype(np.uint16), kind="stable")
+        rows = rows[by]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        grads["input"][rows[first]] = np.add.reduceat(gates_down[by], first, axis=0)
         grads["bias"] += gates_down.sum(axis=0)
         for g in grads.values():
             np.clip(g, -1, 1, out=g)
@@ -264,10 +281,9 @@ def _output_gradients(network: Network, states: np.ndarray, ranks: np.ndarray, g
     grads["classes"] += states.T @ error
     grads["classes_bias"] += error.sum(axis=0)
     down = error @ w["classes"].T
-    by = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[by], np.arange(network.rest + 1))
+    by, edges = _by_class(cls, network.rest + 1)
     ordered, place, inner_down = states[by], ranks[by] % network.class_words, np.zeros_like(down)
-    for c in np.flatnonzero(np.diff(edges)):
+    for c in np.flatnonzero(np.diff(edges[:-1])):
         own = slice(edges[c], edges[c + 1])
         inner = _shares(ordered[own] @ w["words"][c], w["words_bias"][c])
         inner[np.arange(len(inner)), place[own]] -= 1
@@ -298,18 +314,18 @@ def _score_together(network: Network, inputs: np.ndarray, ranks: np.ndarray, sta
     out = np.zeros(len(size))
     h = np.zeros((len(size), HIDDEN), np.float32)
     low = 0
-    previous = np.full(len(size), network.end, np.int64)
+    previous, every = np.full(len(size), network.end, np.int64), np.arange(len(size))
     while low < size[0]:
         high = min(low + WINDOW, int(size[0]))
         states, targets, rows = [], [], []
-        for t in range(low, high):
-            active = int(np.searchsorted(-size, -t, "left"))  # texts longer than t
-            h[:active] = network.step(previous[:active], h[:active])[0]
-            states.append(h[:active].copy())
+        longer = np.searchsorted(-size, -np.arange(low, high), "left")  # texts longer than t
+        for t, active in zip(range(low, high), longer.tolist(), strict=True):
+            h = network.step(previous[:active], h[:active])[0]
+            states.append(h)
             place = start[:active] + t
             targets.append(ranks[place])
-            rows.append(np.arange(active))
-            previous[:active] = inputs[place]
+            rows.append(every[:active])
+            previous = inputs[place]
         logs = network.log_chances(np.concatenate(states), np.concatenate(targets))
         out += np.bincount(np.concatenate(rows), logs, len(out))
         low = high
@@ -319,6 +335,12 @@ def _score_together(network: Network, inputs: np.ndarray, ranks: np.ndarray, sta
 # ---- on Spark --------------------------------------------------------------------------------
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values as they come, and which of them each value is."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def _list_words(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
     """The distinct words of a shard, and how often its training documents have them."""
     learned = docs.column("learned").to_numpy(zero_copy_only=False)
@@ -327,10 +349,10 @@ def _list_words(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
     for low, high in slices(texts):
         hashes, _, first = text_words(*text_bytes(texts[low:high]))
         own = np.repeat(learned[low:high], np.diff(first))
-        name, place = np.unique(hashes, return_inverse=True)
+        name, place = _distinct(hashes)
         names.append(name)
         counts.append(np.bincount(place, own, len(name)).astype(np.int64))
-    name, place = np.unique(np.concatenate(names), return_inverse=True)
+    name, place = _distinct(np.concatenate(names))
     count = np.bincount(place, np.concatenate(counts), len(name)).astype(np.int64)
     return pa.table({"shard": pa.array(np.full(len(name), key[0].as_py(), np.int32)), "word": pa.array(name.view(np.int64)), "n": pa.array(count)})
 
@@ -414,20 +436,18 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> Network | None:
 def _score(network: Network | None, vocabulary: Vocabulary, end_count: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, counts: pa.Table) -> pa.Table:
         names = counts.column("word").to_numpy().view(np.uint64)
-        by = np.argsort(names)
-        names, number = np.append(names[by], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(counts.column("n").to_numpy()[by], 0)
+        number = np.append(counts.column("n").to_numpy(), 0)  # the last: of a word that is not there
         # in one order however they arrived: a row's place in a product may show in its last digits
         docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         texts = docs.column("text").combine_chunks()
         parts = []
         for low, high in slices(texts):
             hashes, tails, first = text_words(*text_bytes(texts[low:high]))
-            place = np.searchsorted(names, hashes)
-            count = np.where(names[place] == hashes, number[place], 0)
-            parts.append((with_ends(hashes, first, END)[0], with_ends(tails, first, 0)[0], with_ends(count, first, end_count)[0], np.diff(first) + 1))
+            parts.append((with_ends(hashes, first, END)[0], with_ends(tails, first, 0)[0], np.diff(first) + 1))
         if not parts:
-            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        hashes, tails, count, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        hashes, tails, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+        count = np.where(hashes == END, end_count, number[_places(hashes, names)])
         at = np.append(0, np.cumsum(length))
         text = np.repeat(np.arange(len(length)), length)
         logs = np.log(vocabulary.chance(count))

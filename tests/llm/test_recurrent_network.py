@@ -117,3 +117,13 @@ def test_training_brings_the_loss_down(network):
     for _ in range(5):
         recurrent_lm.train(network, rows, at, 0.02)
     assert sum(plain(network, rows[a:b]) for a, b in zip(at, at[1:])) > 0.8 * before
+
+
+def test_words_are_found_by_their_hashes():
+    names = np.array([7, 0, 2**64 - 1, 3], np.uint64)
+    assert recurrent_lm._places(np.array([3, 7, 5, 2**64 - 1, 0], np.uint64), names).tolist() == [3, 0, -1, 2, 1]
+    assert recurrent_lm._places(np.zeros(0, np.uint64), names).tolist() == []
+    values, which = recurrent_lm._distinct(np.array([9, 2, 9, 2**63], np.uint64))
+    assert values[which].tolist() == [9, 2, 9, 2**63] and len(values) == 3
+    by, edges = recurrent_lm._by_class(np.array([2, 0, 2, 4]), 5)
+    assert by.tolist() == [1, 0, 2, 3] and edges.tolist() == [0, 1, 1, 3, 3, 4]
