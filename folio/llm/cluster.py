@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio.session import tune
 
-#: Bytes of a batch of rows sent to Python, about.
-BATCH_BYTES = 64 << 20
+#: Bytes of a batch of rows sent to Python, about: Spark and the worker of every core hold one each, Spark's grown by doubling.
+BATCH_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:

@@ -89,6 +89,8 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
         yield start, min(end, rows)
         start = end
+    # the worker goes on to other tasks and stages: what earlier batches took goes back to the system
+    pa.default_memory_pool().release_unused()
 
 
 def running_hash(body: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import bitsliced_topk, byte_cnn, catalog, odd_sketch, packing, passage_quality, recurrent_lm, sentencepiece_index, suffix_dedup, trie_dedup, warc
+from folio.llm.cluster import ready
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, kept string, key string, text_key string, others string"
 SENTENCE = " ".join(f"word{i}" for i in range(40))
@@ -118,3 +120,10 @@ def test_pages(spark):
     n = len(body)
     assert got == {(1, n, "response", None), (2, n, "revisit", 1), (3, 0, "response", None), (4, 0, "response", None), (5, 5, "response", None), (6, 5, "response", None), (None, n, "response", None)}
     assert warc.archive_round_trip(table).count() == 8 and warc.archive_round_trip(table.limit(0)).count() == 0
+
+
+def test_batches_that_go_to_python_are_small(spark):
+    ready(spark)
+    rows = spark.range(0, 3000, 1, 1).selectExpr("repeat(cast(id as string), 3000) as text")
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) > 30_000_000 and max(r.n for r in sizes) <= 12 << 20
