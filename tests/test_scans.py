@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 
 import pytest
@@ -99,3 +100,33 @@ def test_a_larger_index_is_sorted_by_more_tasks(spark, tmp_path, monkeypatch):
     assert sum(of_file) > 100_000 and max(of_file) < 10_000
     assert index.counts.agg(F.sum("rows")).first()[0] == sum(of_file)
     assert index.counts.count() == index.counts.select("tenant_id", "gram").distinct().count()
+
+
+def test_accounts_are_cut_before_they_join_feeds(spark, fresh):
+    b = fresh[1]
+    ids = spark.createDataFrame([("C1",), ("C2",)], "customer_id string").localCheckpoint()
+    for table in evidence.BUNDLE_FEEDS:
+        plan = b.scan_of(table, ids)._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Join LeftSemi, .*concat\(C, cast\((_k|c_custkey)#", plan), table
+
+
+def test_accounts_are_not_shuffled_for_few_labels(spark, tmp_path):
+    """Documents (repeated and missing ones too) too large to broadcast: the labels are, to the accounts."""
+    tables = {
+        "nation": spark.sql("select 0 n_nationkey, 'A' n_name, 1 n_regionkey"),
+        "customer": spark.range(20000).selectExpr("id c_custkey", "0 c_nationkey", "'x' c_name", "0.0D c_acctbal", "'s' c_mktsegment"),
+        "documents": spark.range(40000).selectExpr("id % 39999 doc_id", "id n_chars"),
+        "labels": spark.createDataFrame([(0, 1, 0), (0, 0, 0), (5, 1, 0), (39999, 1, 0), (None, 1, 0), (90000, 1, 0)], "doc_id bigint, quality int, toxic int"),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")
+    try:
+        out = book(spark, str(tmp_path)).scan("predictions")
+        rows = sorted((r.tenant_id, r.review_id) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == [("t1", "R0")] * 4 + [("t1", "R5")]
+    assert "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\((_?k|c_custkey)#", plan)
